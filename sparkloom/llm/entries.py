@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import exact_dedup, line_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op6_exact_dedup": exact_dedup.op6_exact_dedup}
+    return {
+        "op5_line_dedup": line_dedup.op5_line_dedup,
+        "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact_dedup.ORACLE}
+    return {
+        "op5_line_dedup": line_dedup.ORACLE,
+        "op6_exact_dedup": exact_dedup.ORACLE,
+    }
