@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_dedup
+from . import decontaminate, exact_dedup, line_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op7_decontamination": decontaminate.op7_decontamination,
     }
 
 
