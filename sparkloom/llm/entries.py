@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, line_dedup
+from . import chat, decontaminate, exact_dedup, line_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_chat_format": chat.op3_chat_format,
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_decontamination": decontaminate.op7_decontamination,
@@ -21,6 +22,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_chat_format": chat.ORACLE,
         "op5_line_dedup": line_dedup.ORACLE,
         "op6_exact_dedup": exact_dedup.ORACLE,
     }
