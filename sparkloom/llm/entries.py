@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, exact_dedup, line_dedup
+from . import chat, decontaminate, exact_dedup, line_dedup, pii
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_decontamination": decontaminate.op7_decontamination,
+        "op8_pii": pii.op8_pii,
     }
 
 
