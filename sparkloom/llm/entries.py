@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, exact_dedup, line_dedup, pii
+from . import chat, decontaminate, exact_dedup, line_dedup, pii, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,8 @@ def queries() -> dict[str, Query]:
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_decontamination": decontaminate.op7_decontamination,
         "op8_pii": pii.op8_pii,
+        "op9_toxicity": toxicity.op9_toxicity,
+        "op10_quality": quality.op10_quality,
     }
 
 
