@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, exact_dedup, line_dedup, pieces, pii, quality, toxicity
+from . import chat, decontaminate, exact_dedup, jaccard_join, line_dedup, pieces, pii, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_ngram_jaccard": jaccard_join.op1_ngram_jaccard,
         "op2_sentencepiece": pieces.op2_sentencepiece,
         "op3_chat_format": chat.op3_chat_format,
         "op5_line_dedup": line_dedup.op5_line_dedup,
