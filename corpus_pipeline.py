@@ -1,12 +1,55 @@
-"""The corpus pipeline: quality, line dedup, near-duplicate join, decontamination, encoding."""
+"""The corpus pipeline: quality filter, line dedup, near-duplicate join, decontamination, encoding.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
+return the columns of documents.  Stages work on all that the one before kept.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkloom.llm import decontaminate, jaccard_join, line_dedup, pieces, quality
+
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.quality_filter(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies, the smallest doc_id stays."""
+    return jaccard_join.one_of_each(docs, NEAR_WORDS, NEAR_PERCENT)
+
+
+def drop_benchmark_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids, n_tokens, and whether decoding gives the text back."""
+    done = pieces.decode(pieces.encode(docs))
+    return done.select("doc_id", "ids", "n_tokens", (F.col("decoded") == F.col("text")).alias("lossless"))
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("line_dedup", drop_repeated_lines),
+    ("ngram_jaccard", drop_near_copies),
+    ("decontamination", drop_benchmark_spans),
+    ("sentencepiece", encode),
+]
+#: SQL can't express the classifier or the encoder; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)

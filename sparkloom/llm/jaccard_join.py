@@ -49,8 +49,8 @@ HOMES = 2
 #: At most so many frequent shingles are put last in the order; they are all that is broadcast, 8 bytes each.
 MAX_FREQUENT = 200_000
 FREQUENT = 32
-#: Ids of documents to verify are broadcast up to this number (8 bytes each), joined by key beyond it.
-BROADCAST_IDS = 2_000_000
+#: Ids of documents to verify are broadcast up to this number (32 bytes each), joined by key beyond it.
+BROADCAST_IDS = 500_000
 PROPOSALS = (2, 16, 256)  # candidates of each document and region, by round; then all
 
 _rng = np.random.default_rng(20)
