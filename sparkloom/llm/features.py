@@ -74,7 +74,7 @@ def held_out(doc_id: str = "doc_id"):
 def training_rows(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     """doc_id, text, label of the bounded sample; conflicting labels of a doc_id give the larger one."""
     own = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).cast("double").alias("label"))
-    chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN)
+    chosen = F.broadcast(own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN))  # 16 bytes a row
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id").dropDuplicates(["doc_id"])
 
 
