@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, exact_dedup, jaccard_join, line_dedup, pieces, pii, quality, toxicity
+from . import chat, decontaminate, exact_dedup, jaccard_join, line_dedup, pieces, pii, quality, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op1_ngram_jaccard": jaccard_join.op1_ngram_jaccard,
         "op2_sentencepiece": pieces.op2_sentencepiece,
         "op3_chat_format": chat.op3_chat_format,
+        "op4_token_files": token_files.op4_token_files,
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_decontamination": decontaminate.op7_decontamination,
