@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 from functools import lru_cache
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -70,30 +72,31 @@ class Pieces:
         # merges by score; equal scores by place in the word alone, as the library does
         self.order = {piece: cost for cost, _, piece in usual}
         self.array = pa.array(self.surface, pa.binary())
+        # signs that no piece has right after a letter: a word may be parted before them
+        after_letter = {b for p in self.rank for a, b in zip(p, p[1:]) if a.isalpha()}
+        self.enders = "".join(c for c in ".,;:!?|$%&*#)" if c not in after_letter)
         self.caches: dict[tuple, dict[str, bytes]] = {}
 
     def word(self, chunk: str, key: int, dropout: float) -> bytes:
         """Ids of one chunk as little-endian uint16."""
-        parts = list(chunk.replace(_SPACE, _LITERAL).replace(" ", _SPACE))
+        parts = list(chunk.replace(_SPACE, _LITERAL).replace(" ", _SPACE) if _SPACE in chunk else chunk.replace(" ", _SPACE))
         n = len(parts)
-        order, agenda = self.order, []
+        order, rank, agenda = self.order, self.rank, []
         limit = int(dropout * (1 << 32))
         base = xxhash.xxh3_64_intdigest(chunk, key & _MASK) if limit else 0
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        for i in range(n - 1):
-            if (cost := order.get(parts[i] + parts[i + 1])) is not None:
-                heapq.heappush(agenda, (cost, i, parts[i] + parts[i + 1]))
+        for i, pair in enumerate(map(add, parts, parts[1:])):
+            if pair in order:
+                agenda.append((order[pair], i, pair))
+        heapq.heapify(agenda)
         while agenda:
             _, i, piece = heapq.heappop(agenda)
             left = parts[i]
             j = after[i]
             if left is None or j >= n or left + parts[j] != piece:
                 continue
-            if limit:
-                x = (base + self.rank[piece] * 0x9E3779B97F4A7C15 + i * 0xC2B2AE3D27D4EB4F) & _MASK
-                x = (x ^ x >> 29) * 0xBF58476D1CE4E5B9 & _MASK
-                if (x ^ x >> 32) >> 32 < limit:
-                    continue
+            if limit and (base ^ rank[piece] * 0x9E3779B97F4A7C15 ^ i * 0xC2B2AE3D27D4EB4F) * 0xBF58476D1CE4E5B9 >> 32 & 0xFFFFFFFF < limit:
+                continue
             parts[i], parts[j] = piece, None
             k = after[i] = after[j]
             if k < n:
@@ -106,12 +109,19 @@ class Pieces:
         for p in parts:
             if p is None:
                 continue
-            i = self.rank.get(p)
-            if i is not None:
-                ids.append(i)
+            if p in rank:
+                ids.append(rank[p])
             else:
                 ids += [self.byte[b] for b in (_SPACE if p == _LITERAL else p).encode()]
-        return np.array(ids, "<u2").tobytes()
+        return struct.pack(f"<{len(ids)}H", *ids)
+
+    def _remember(self, cache: dict[str, bytes], chunk: str, key: int, dropout: float) -> bytes:
+        ids = self.word(chunk, key, dropout)
+        if len(chunk) <= LONG:
+            if len(cache) >= CACHE:
+                cache.clear()
+            cache[chunk] = ids
+        return ids
 
     def encode(self, text: str, variant: int, seed: int, dropout: float) -> bytes:
         if not text:
@@ -123,11 +133,12 @@ class Pieces:
         for chunk in _CHUNK.findall(" " + text):
             ids = cache.get(chunk)
             if ids is None:
-                ids = self.word(chunk, key, dropout)
-                if len(chunk) <= LONG:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[chunk] = ids
+                core = chunk.rstrip(self.enders)
+                if len(core) < len(chunk) and core[-1:].isalpha():
+                    tail = chunk[len(core) :]
+                    ids = (cache.get(core) or self._remember(cache, core, key, dropout)) + (cache.get(tail) or self._remember(cache, tail, key, dropout))
+                else:
+                    ids = self._remember(cache, chunk, key, dropout)
             out.append(ids)
         return b"".join(out)
 
