@@ -1,0 +1,6 @@
+"""Named queries; importing this package registers them."""
+
+from . import graph_queries, search_queries
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "graph_queries", "search_queries"]
