@@ -11,12 +11,15 @@ kinds of pivots do part it:
   radius lacks at most a tenth of its shingles, so replicating a document to
   the regions of its first tenth, plus one, is the window that no linked pair
   escapes: two such documents meet in the region of their first common shingle.
-* The empty set within each of 64 slices of the shingle space, under symmetric
+* The empty set within each of 512 slices of the shingle space, under symmetric
   difference: the distance to it is the number of a document's shingles in the
-  slice.  By the triangle inequality the sum of differences of these counts is
-  at most the symmetric difference of the documents, which excludes nearly all
-  unrelated pairs of a region without reading their sets; the whole space's
-  empty set gives the window of sizes.
+  slice, of which the last bit is kept.  By the triangle inequality documents
+  differ by one shingle at least in each slice where these bits do, which
+  excludes nearly all unlinked pairs of a region without reading their sets;
+  the whole space's empty set gives the window of sizes.
+
+Two documents that meet in many regions are a candidate only where the shingles
+before the region's differ: their first common region is always such a one.
 
 Recursion: first, documents of one home are held against one pivot document
 each, and what links becomes one component.  Then regions that still hold
@@ -44,7 +47,7 @@ from .common import column, cut, map_arrow, mix64
 from .graph import components
 
 WORDS, PERCENT = 3, 90
-SLICES = 64
+SLICES = 512
 HOMES = 2
 #: At most so many frequent shingles are put last in the order; they are all that is broadcast, 8 bytes each.
 MAX_FREQUENT = 200_000
@@ -111,8 +114,8 @@ def prefix(own: np.ndarray, frequent: np.ndarray | None = None, percent: int = P
 
 
 def slices(own: np.ndarray) -> np.ndarray:
-    """How many of the shingles fall in each slice; counts end at 255, which only loosens the bound."""
-    return np.minimum(np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=SLICES), 255).astype(np.uint8)
+    """Whether an odd number of the shingles falls in each slice, as bits."""
+    return np.packbits(np.bincount((own >> np.uint64(55)).astype(np.int64), minlength=SLICES).astype(np.uint8) & 1)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -157,9 +160,13 @@ def _profiles(rows: DataFrame, frequent: np.ndarray, words: int, percent: int) -
     return map_arrow(rows, step, PROFILE)
 
 
+def _marks(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column(batch, name)), np.uint64).reshape(-1, SLICES // 64)
+
+
 def _within(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
     """Whether the slices' bound allows a link: slices (row, slice), sizes."""
-    differ = np.abs(a.astype(np.int16) - b.astype(np.int16)).sum(1, dtype=np.int64)
+    differ = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
     # inter >= percent/100 * union and union = na + nb - inter
     common = -(-percent * (na + nb) // (100 + percent))
     return differ <= na + nb - 2 * common
@@ -173,8 +180,7 @@ def _star_pairs(classes: DataFrame, percent: int) -> DataFrame:
     wide = met.where((F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * percent)).select(F.col("p.cls").alias("a"), F.col("cls").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"), F.col("p.slices").alias("sa"), F.col("slices").alias("sb"))
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        a, b = (np.frombuffer(b"".join(column(batch, c)), np.uint8).reshape(-1, SLICES) for c in ("sa", "sb"))
-        keep = _within(a, b, batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent)
+        keep = _within(_marks(batch, "sa"), _marks(batch, "sb"), batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent)
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
     return map_arrow(wide, step, "a long, b long").distinct()
@@ -183,19 +189,19 @@ def _star_pairs(classes: DataFrame, percent: int) -> DataFrame:
 def _region_pairs(members: DataFrame, most: int, percent: int) -> DataFrame:
     """(a, b, more): candidates of different components within regions; more says that a document held others back.
 
-    ``members``: s, cls, comp, n, slices.  Sorted by region and size, streamed
+    ``members``: s, before, cls, comp, n, slices.  Sorted by region and size, streamed
     with the rows that later ones of the region can still meet.
     """
-    names = ["s", "cls", "comp", "n", "slices"]
+    names = ["s", "before", "cls", "comp", "n", "slices"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            s, cls, comp, n = (batch.column(k).to_numpy() for k in range(4))
-            marks = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, SLICES)
-            new = len(s)
+            rows = *(batch.column(k).to_numpy() for k in range(5)), _marks(batch, "slices")
+            new = batch.num_rows
             if held is not None:
-                s, cls, comp, n, marks = (np.concatenate(p) for p in zip(held, (s, cls, comp, n, marks), strict=True))
+                rows = tuple(np.concatenate(p) for p in zip(held, rows, strict=True))
+            s, before, cls, comp, n, marks = rows
             fresh = len(s) - new  # rows before have met each other
             found = []
             i = np.arange(len(s) - 1)
@@ -204,7 +210,7 @@ def _region_pairs(members: DataFrame, most: int, percent: int) -> DataFrame:
                 j = i + d
                 ok = (s[i] == s[j]) & (n[i] * 100 >= n[j] * percent)
                 i, j = i[ok], j[ok]
-                test = (j >= fresh) & (comp[i] != comp[j])
+                test = (j >= fresh) & (comp[i] != comp[j]) & (before[i] != before[j])
                 for at in range(0, int(test.sum()), 1 << 16):
                     ti, tj = i[test][at : at + (1 << 16)], j[test][at : at + (1 << 16)]
                     good = _within(marks[ti], marks[tj], n[ti], n[tj], percent)
@@ -214,7 +220,7 @@ def _region_pairs(members: DataFrame, most: int, percent: int) -> DataFrame:
                 i = i[i + d < len(s)]
             last = len(s) - 1
             keep = np.flatnonzero((s == s[last]) & (n * 100 >= n[last] * percent))
-            held = tuple(x[keep].copy() for x in (s, cls, comp, n, marks))
+            held = tuple(x[keep] for x in rows)
             if found:
                 a, b = (np.concatenate(x) for x in zip(*found, strict=True))
                 near = np.abs(n[a] - n[b])
@@ -289,7 +295,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     links = verified(cut(_star_pairs(classes, percent), "star-pairs"))
     comps = components(links)
 
-    postings = classes.select("cls", F.explode("first").alias("s"))
+    # before: the shingle that comes before s in the order, of the first one the class itself, which no other has
+    postings = classes.select("cls", F.posexplode("first").alias("at", "s"), "first").select("cls", "s", F.when(F.col("at") > 0, F.get("first", F.col("at") - 1)).otherwise(F.col("cls")).alias("before"))
     shared = postings.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s")
     met = cut(postings.join(shared, "s"), "postings")
     light = classes.select("cls", "n", "slices")
