@@ -1,6 +1,6 @@
 """Named queries; importing this package registers them."""
 
-from . import graph_queries, search_queries
+from . import event_queries, graph_queries, search_queries, table_queries
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "graph_queries", "search_queries"]
+__all__ = ["ORACLES", "QUERIES", "event_queries", "graph_queries", "search_queries", "table_queries"]
