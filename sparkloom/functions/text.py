@@ -88,7 +88,11 @@ def covered_terms(terms: Column, words: Column) -> Column:
 
 def shingles(words: Column, n: int = 3) -> Column:
     """Distinct runs of n words; fewer words are one run, no words none."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
+    # zipped with its own shifts: a lambda that slices ``words`` would evaluate them anew for each run
+    runs = words
+    for k in range(1, n):
+        runs = F.zip_with(runs, F.slice(words, F.lit(k + 1), F.size(words)), lambda x, y: F.concat(x, F.lit(" "), y))
+    runs = F.slice(runs, F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(0)))
     return F.when(F.size(words) >= n, F.array_distinct(runs)).when(F.size(words) > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
 
 
