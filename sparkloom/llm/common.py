@@ -35,14 +35,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Apply ``step`` to each Arrow batch where it lies; no shuffle, one batch in memory."""
+def map_arrow(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, most: int | None = None) -> DataFrame:
+    """Apply ``step`` to each Arrow batch where it lies, or to its slices of at most ``most`` rows; no shuffle, one batch in memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = step(batch)
-            if out is not None:
-                yield out
+            size = most or max(batch.num_rows, 1)
+            for at in range(0, max(batch.num_rows, 1), size):
+                out = step(batch.slice(at, size))
+                if out is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 

@@ -35,6 +35,7 @@ from .common import column, map_arrow
 VARIANTS, DROPOUT, SEED = 4, 0.1, 20
 CACHE = 200_000
 LONG = 64  # characters; longer words are encoded anew each time
+SLICE = 1000  # rows that a worker holds as lists of ids at once
 
 _SPACE = "▁"
 _LITERAL = "\ud800"  # the mark where the text itself has it; no valid text has a lone surrogate
@@ -168,7 +169,7 @@ def encode(docs: DataFrame, model: str | None = None, seed: int = SEED, dropout:
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(ids))
         return pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(sizes)], ["doc_id", "text", "variant", "ids", "n_tokens"])
 
-    return map_arrow(rows, step, "doc_id long, text string, variant int, ids array<int>, n_tokens long")
+    return map_arrow(rows, step, "doc_id long, text string, variant int, ids array<int>, n_tokens long", SLICE)
 
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
@@ -186,7 +187,7 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.string())], [*batch.schema.names, "decoded"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in encoded.schema)
-    return map_arrow(encoded, step, f"{schema}, decoded string")
+    return map_arrow(encoded, step, f"{schema}, decoded string", SLICE)
 
 
 def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:
