@@ -26,23 +26,6 @@ def logit(p):
     return math.log(p / (1 - p))
 
 
-def brute_quality(rows):
-    """(host, path, p) in, (host_mean, path_mean, score) out, by loops over all rows."""
-    m0 = sum(p for _, _, p in rows) / len(rows)
-    own = lambda k, v: [r[2] for r in rows if r[k] == v]
-    mean = lambda x: sum(x) / len(x)
-    k0 = strength(m0, sum((mean(own(0, h)) - m0) ** 2 for h, _, _ in rows) / len(rows))
-    k1 = strength(m0, sum((mean(own(1, q)) - mean(own(0, h))) ** 2 for h, q, _ in rows) / len(rows))
-    out = []
-    for h, q, p in rows:
-        of_host, of_path = own(0, h), own(1, q)
-        a = (sum(of_host) - p + k0 * m0) / (len(of_host) - 1 + k0)
-        b = (sum(of_path) - p + k1 * a) / (len(of_path) - 1 + k1)
-        shift = max(-quality.MOST, min(quality.MOST, logit(b) - logit(m0)))
-        out.append((a, b, 1 / (1 + math.exp(-(logit(p) + shift)))))
-    return out
-
-
 def test_site_sums(spark):
     scored = spark.createDataFrame([(h, f"{h}/{q}", p) for _, h, q, p in ROWS], "host string, path string, p double")
     got = {r["path"]: r for r in quality.site_sums(scored).collect()}
@@ -76,12 +59,6 @@ def test_quality_against_brute_force(spark):
         assert r["kept"] == (r["score"] >= quality.THRESHOLD)
 
 
-def test_brute_force_agrees_with_itself():
-    """The loops above, in their plain form, on a table small enough to follow."""
-    a, b, score = brute_quality([(h, f"{h}/{q}", p) for _, h, q, p in ROWS])[0]
-    assert 0 < b < 1 and 0 < a < 1 and score > 0.5
-
-
 def test_quality_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     done = quality.score_quality(docs, labels).join(labels.where(features.held_out()), "doc_id").select("score", "quality").collect()
