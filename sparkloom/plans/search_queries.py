@@ -148,10 +148,20 @@ def context_pack(spark, sf_dir):
     return search.pack(_fused(d).join(cost, "doc"), "q", 2000, 5)
 
 
+def _measures(docs):
+    return docs.select("doc_id", t.token_estimate(F.col("text")).alias("tokens"), F.sha2(t.normal(F.col("text")), 256).alias("normal_sha256"))
+
+
 @query("SELECT doc_id, greatest(1, ceil(length(text) / 4.0))::BIGINT AS tokens, sha256(trim(regexp_replace(lower(text), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) AS normal_sha256 FROM documents WHERE lang = 'en'")
 def text_measures(spark, sf_dir):
-    docs = Tables(spark, sf_dir).documents.where("lang = 'en'")
-    return docs.select("doc_id", t.token_estimate(F.col("text")).alias("tokens"), F.sha2(t.normal(F.col("text")), 256).alias("normal_sha256"))
+    """The English documents, for the comparison with SQL; ``text_measures_all`` measures every document."""
+    return _measures(Tables(spark, sf_dir).documents.where("lang = 'en'"))
+
+
+@query()
+def text_measures_all(spark, sf_dir):
+    """Every document, whatever its language, null included; no SQL: lower() of other scripts is the engine's own, a test holds it against brute force."""
+    return _measures(Tables(spark, sf_dir).documents)
 
 
 @query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '(?i)([a-z][a-z0-9+.-]*://)[^/\s:@]+:[^/\s@]+@', '\1***@', 'g'), '(?i)((?:password|passwd|secret|token|api_?key)\s*[=:]\s*)[^\s,;]+', '\1***', 'g')) AS redacted_sha256,

@@ -1,7 +1,9 @@
 """Every query against its SQL on DuckDB, or against brute force where SQL has none."""
 
+import hashlib
 import math
 import os
+import re
 from collections import defaultdict
 
 import duckdb
@@ -56,6 +58,21 @@ def test_near_copies_against_brute_force(spark):
     assert {(r["a"], r["b"]) for r in search.near_copies(docs).collect()} == want
 
 
+def test_text_measures_of_all_languages_against_brute_force(spark, tmp_path):
+    def brute(text):
+        if text is None:
+            return 1, None
+        normal = re.sub("[ \\t\\n\\x0b\\f\\r]+", " ", text.lower()).strip(" ")
+        return max(1, -(-len(text) // 4)), hashlib.sha256(normal.encode()).hexdigest()
+
+    more = [(-1, "  ÄÖÜ\t straße\n", "de"), (-2, "ÇA VA\u00a0BIEN ", "fr"), (-3, "漢字 🙂", None), (-4, "", "es"), (-5, None, None), (-6, None, "en")]
+    spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").union(spark.createDataFrame(more, "doc_id long, text string, lang string")).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = spark.read.parquet(f"{tmp_path}/documents.parquet").collect()
+    assert len({r["lang"] for r in rows}) > 4
+    want = sorted((r["doc_id"], *brute(r["text"])) for r in rows)
+    assert sorted(map(tuple, QUERIES["text_measures_all"](spark, str(tmp_path)).collect())) == want
+
+
 def test_pack_against_brute_force(spark):
     items = [(q, d, float(10 - d), 300 * (d % 4 + 1)) for q in range(3) for d in range(q, 10)]
     df = spark.createDataFrame(items, "q int, doc long, score double, cost long")
