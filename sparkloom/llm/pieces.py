@@ -2,15 +2,18 @@
 
 A BPE model merges neighbouring symbols in the order of its pieces' scores.
 Here every candidate merge that comes up in the agenda is skipped when a keyed
-hash of (seed, variant, word, place, piece) falls under the dropout rate, so
-the same key always gives the same segmentation and other seeds give others.
-A document's variant is a hash of seed and doc_id: ``VARIANTS`` segmentations
-of each word within one corpus, and a new seed for each epoch.  At rate 0 the
-result is the library's own.
+hash of (seed, doc_id, place of the chunk in the document, place in the chunk,
+piece) falls under the dropout rate, so the same key always gives the same
+segmentation, and each occurrence of a word in a document has a draw of its
+own.  At rate 0 the result is the library's own.
 
 No piece of a BPE model with split white space has a space after a letter, so
-words are encoded one by one and remembered; a worker keeps the segmentations
-of at most ``CACHE`` words for each variant.  Ids decode to the very same text:
+words are encoded one by one.  What does not depend on the key is remembered:
+the ids of a word without some of its merges and the merges that lead there,
+for at most ``CACHE`` words with no merge skipped and as many with some.  numpy
+hashes the merges of all words of a text at once; an occurrence with a hash
+under the rate is looked up without those merges, until none is left.
+Ids decode to the very same text:
 characters without a piece go as bytes, the mark for spaces itself included.
 """
 
@@ -19,6 +22,7 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+from collections.abc import Iterable
 from functools import lru_cache
 from operator import add
 
@@ -30,17 +34,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, map_arrow
+from .common import column, map_arrow, mix64
 
-VARIANTS, DROPOUT, SEED = 4, 0.1, 20
+DROPOUT, SEED = 0.1, 20
 CACHE = 200_000
-LONG = 64  # characters; longer words are encoded anew each time
+LONG = 64  # characters; longer words are encoded anew each time, by their own key
 SLICE = 1000  # rows that a worker holds as lists of ids at once
 
 _SPACE = "▁"
 _LITERAL = "\ud800"  # the mark where the text itself has it; no valid text has a lone surrogate
 _CHUNK = re.compile(r" *[^ \n]+| +|\n")
 _MASK = (1 << 64) - 1
+_BY_RANK, _BY_PLACE, _MIX, _STEP = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0xD1B54A32D192ED03
+_PLACES, _NEVER = [i * _BY_PLACE & _MASK for i in range(LONG)], float("inf")
 
 
 def default_model() -> str:
@@ -49,6 +55,14 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def _mixed(x: int) -> int:
+    """``mix64`` of one number."""
+    x &= _MASK
+    x = (x ^ x >> 30) * _MIX & _MASK
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & _MASK
+    return x ^ x >> 31
+
+
 class Pieces:
     """The vocabulary of a model file: ranks of mergeable pieces, ids of bytes, bytes of ids."""
 
@@ -72,11 +86,13 @@ class Pieces:
             self.rank[piece] = i
         # merges by score; equal scores by place in the word alone, as the library does
         self.order = {piece: cost for cost, _, piece in usual}
+        self.by_rank = {piece: i * _BY_RANK & _MASK for piece, i in self.rank.items()}
         self.array = pa.array(self.surface, pa.binary())
         # signs that no piece has right after a letter: a word may be parted before them
         after_letter = {b for p in self.rank for a, b in zip(p, p[1:]) if a.isalpha()}
         self.enders = "".join(c for c in ".,;:!?|$%&*#)" if c not in after_letter)
-        self.caches: dict[tuple, dict[str, bytes]] = {}
+        self.whole: dict[str, tuple[bytes, bytes]] = {}
+        self.parted: dict[tuple[str, bytes], tuple[bytes, bytes]] = {}
 
     def word(self, chunk: str, key: int, dropout: float) -> bytes:
         """Ids of one chunk as little-endian uint16."""
@@ -84,7 +100,7 @@ class Pieces:
         n = len(parts)
         order, rank, agenda = self.order, self.rank, []
         limit = int(dropout * (1 << 32))
-        base = xxhash.xxh3_64_intdigest(chunk, key & _MASK) if limit else 0
+        base = _mixed(key) if limit else 0
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         for i, pair in enumerate(map(add, parts, parts[1:])):
             if pair in order:
@@ -96,7 +112,7 @@ class Pieces:
             j = after[i]
             if left is None or j >= n or left + parts[j] != piece:
                 continue
-            if limit and (base ^ rank[piece] * 0x9E3779B97F4A7C15 ^ i * 0xC2B2AE3D27D4EB4F) * 0xBF58476D1CE4E5B9 >> 32 & 0xFFFFFFFF < limit:
+            if limit and (base ^ rank[piece] * _BY_RANK ^ i * _BY_PLACE) * _MIX >> 32 & 0xFFFFFFFF < limit:
                 continue
             parts[i], parts[j] = piece, None
             k = after[i] = after[j]
@@ -106,41 +122,78 @@ class Pieces:
                     heapq.heappush(agenda, (cost, i, piece + parts[k]))
             if (h := before[i]) >= 0 and (cost := order.get(parts[h] + piece)) is not None:
                 heapq.heappush(agenda, (cost, h, parts[h] + piece))
-        ids: list[int] = []
+        return self._ids(p for p in parts if p is not None)
+
+    def _ids(self, parts: Iterable[str]) -> bytes:
+        rank, ids = self.rank, []
         for p in parts:
-            if p is None:
-                continue
             if p in rank:
                 ids.append(rank[p])
             else:
                 ids += [self.byte[b] for b in (_SPACE if p == _LITERAL else p).encode()]
         return struct.pack(f"<{len(ids)}H", *ids)
 
-    def _remember(self, cache: dict[str, bytes], chunk: str, key: int, dropout: float) -> bytes:
-        ids = self.word(chunk, key, dropout)
-        if len(chunk) <= LONG:
+    def short(self, chunk: str, skipped: bytes) -> tuple[bytes, bytes]:
+        """``word`` for a short chunk, by given merges to skip instead of a hash: its ids and the merges made, as uint64."""
+        parts = list(chunk.replace(_SPACE, _LITERAL).replace(" ", _SPACE))
+        cost, at, path = self.order.get, list(range(len(parts))), []
+        skip = struct.unpack(f"<{len(skipped) >> 3}Q", skipped)
+        costs = [cost(pair, _NEVER) for pair in map(add, parts, parts[1:])]
+        while costs and (least := min(costs)) != _NEVER:
+            k = costs.index(least)
+            piece = parts[k] + parts[k + 1]
+            merge = self.by_rank[piece] ^ _PLACES[at[k]]
+            if merge in skip:
+                costs[k] = _NEVER
+                continue
+            path.append(merge)
+            parts[k] = piece
+            del parts[k + 1], at[k + 1], costs[k]
+            if k < len(costs):
+                costs[k] = cost(piece + parts[k + 1], _NEVER)
+            if k:
+                costs[k - 1] = cost(parts[k - 1] + piece, _NEVER)
+        return self._ids(parts), struct.pack(f"<{len(path)}Q", *path)
+
+    def _without(self, chunk: str, skipped: bytes = b"") -> tuple[bytes, bytes]:
+        """A chunk's ids without the skipped merges and the merges made for them, as uint64; nothing of it depends on the key."""
+        cache, name = (self.parted, (chunk, skipped)) if skipped else (self.whole, chunk)
+        found = cache.get(name)
+        if found is None:
+            core = chunk.rstrip(self.enders)
+            if len(core) < len(chunk) and core[-1:].isalpha() and not (tail := self._without(chunk[len(core) :]))[1]:
+                ids, merges = self._without(core, skipped)
+                return ids + tail[0], merges
+            found = self.short(chunk, skipped)
             if len(cache) >= CACHE:
                 cache.clear()
-            cache[chunk] = ids
-        return ids
+            cache[name] = found
+        return found
 
-    def encode(self, text: str, variant: int, seed: int, dropout: float) -> bytes:
+    def encode(self, text: str, doc: int | None, seed: int, dropout: float) -> bytes:
+        """Ids of a text as little-endian uint16; without ``doc`` the text itself is the key."""
         if not text:
             return b""
-        name = (variant if dropout else 0, seed, dropout)
-        cache = self.caches.setdefault(name, {})
-        key = xxhash.xxh3_64_intdigest(f"{seed}:{name[0]}")
-        out = []
-        for chunk in _CHUNK.findall(" " + text):
-            ids = cache.get(chunk)
-            if ids is None:
-                core = chunk.rstrip(self.enders)
-                if len(core) < len(chunk) and core[-1:].isalpha():
-                    tail = chunk[len(core) :]
-                    ids = (cache.get(core) or self._remember(cache, core, key, dropout)) + (cache.get(tail) or self._remember(cache, tail, key, dropout))
-                else:
-                    ids = self._remember(cache, chunk, key, dropout)
-            out.append(ids)
+        chunks = _CHUNK.findall(" " + text)
+        key = xxhash.xxh3_64_intdigest(f"{seed}:{doc}" if doc is not None else f"{seed}::{text}")
+        get, without, limit = self.whole.get, self._without, int(dropout * (1 << 32))
+        found = [get(c) or (without(c) if len(c) <= LONG else (self.word(c, key + k * _STEP, dropout), b"")) for k, c in enumerate(chunks, 1)]
+        out = [ids for ids, _ in found]
+        if not limit:
+            return b"".join(out)
+        bases = mix64(np.uint64(key) + np.arange(1, len(chunks) + 1, dtype=np.uint64) * np.uint64(_STEP))
+        left, skipped = np.arange(len(chunks)), {}
+        while len(left):
+            lists = [merges for _, merges in found]
+            merges = np.frombuffer(b"".join(lists), "<u8")
+            at = np.repeat(left, np.fromiter(map(len, lists), np.int64, len(lists)) >> 3)
+            under = np.nonzero(((bases[at] ^ merges) * np.uint64(_MIX) >> np.uint64(32)) < limit)[0]
+            left, first = np.unique(at[under], return_index=True)
+            raw, ends, found = merges[under].tobytes(), [*(first[1:] * 8).tolist(), len(under) * 8], []
+            for k, a, b in zip(left.tolist(), (first * 8).tolist(), ends, strict=False):
+                name = skipped[k] = skipped.get(k, b"") + raw[a:b]
+                found.append(now := self.parted.get((chunks[k], name)) or without(chunks[k], name))
+                out[k] = now[0]
         return b"".join(out)
 
 
@@ -149,27 +202,25 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def encode(docs: DataFrame, model: str | None = None, seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS) -> DataFrame:
-    """doc_id, text, variant, ids (array of int), n_tokens.
+def encode(docs: DataFrame, model: str | None = None, seed: int = SEED, dropout: float = DROPOUT) -> DataFrame:
+    """doc_id, text, ids (array of int), n_tokens.
 
     Null text counts as empty, which has no ids.  Rows that share doc_id and
-    text get the same ids; a null doc_id has variant 0.  An empty table gives
-    an empty result; other columns are ignored.
+    text get the same ids; where doc_id is null, the text is the key in its
+    place.  An empty table gives an empty result; other columns are ignored.
     """
     path = model or default_model()
-    variant = F.coalesce(F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")), F.lit(variants)), F.lit(0)).cast("int")
-    variant = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(variant)
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), variant.alias("variant"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = pieces(path)
-        found = [own.encode(t, v, seed, dropout) for t, v in zip(column(batch, "text"), column(batch, "variant"), strict=True)]
+        found = [own.encode(t, d, seed, dropout) for t, d in zip(column(batch, "text"), column(batch, "doc_id"), strict=True)]
         sizes = np.array([len(f) // 2 for f in found], np.int64)
         ids = np.frombuffer(b"".join(found), "<u2").astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(ids))
-        return pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(sizes)], ["doc_id", "text", "variant", "ids", "n_tokens"])
+        return pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(sizes)], ["doc_id", "text", "ids", "n_tokens"])
 
-    return map_arrow(rows, step, "doc_id long, text string, variant int, ids array<int>, n_tokens long", SLICE)
+    return map_arrow(rows, step, "doc_id long, text string, ids array<int>, n_tokens long", SLICE)
 
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
@@ -193,5 +244,5 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
 def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:
     done = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return done.select(
-        "doc_id", "variant", "n_tokens", F.crc32(F.array_join("ids", ",").cast("binary")).alias("ids_crc32"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("lossless")
+        "doc_id", "n_tokens", F.crc32(F.array_join("ids", ",").cast("binary")).alias("ids_crc32"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("lossless")
     )

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import sentencepiece
 
 from sparkloom.llm import pieces as p
@@ -50,3 +51,29 @@ def test_share_of_skipped_merges():
     own = p.pieces(p.default_model())
     skipped = [own.word(f" th{k}", k, 0.3) != own.word(f" th{k}", k, 0.0) for k in range(2000)]
     assert 0.3 < sum(skipped) / len(skipped) < 0.9
+
+
+def test_each_occurrence_has_its_own_draw():
+    own = p.pieces(p.default_model())
+    text = " ".join(["merging"] * 400)
+    first, again, other, none = (own.encode(text, d, 7, 0.1) for d in (1, 1, 2, None))
+    assert first == again and len({first, other, none, own.encode(text, 1, 8, 0.1)}) == 4
+
+    said = "|".join(own.surface[i].decode() for i in ids(first))
+    seen = {w.strip("|") for w in said.split(" ")[1:]}
+    assert len(seen) > 4, seen
+    # ids at rate 0 come up as often as independent draws say: one merge alone is skipped at the rate
+    kept = own.encode("th", 0, 0, 0.0)
+    assert len(np.frombuffer(own.short(" th", b"")[1], "<u8")) == 2
+    share = sum(own.encode("th", k, 7, 0.1) == kept for k in range(4000)) / 4000
+    assert 0.81 - 0.03 < share < 0.9 + 0.03
+
+
+def test_remembered_words_as_word_by_word():
+    own = p.pieces(p.default_model())
+    text = "the merging, of merging!! words... and, |merging| " * 40 + "x" * 100 + "y, tail"
+    for doc in (3, None):
+        want, key = b"", p.xxhash.xxh3_64_intdigest("5:3" if doc else f"5::{text}")
+        for k, chunk in enumerate(p._CHUNK.findall(" " + text), 1):
+            want += own.word(chunk, key + k * p._STEP, 0.2)
+        assert own.encode(text, doc, 5, 0.2) == want
