@@ -6,10 +6,12 @@ labelled table that ``labelled_table`` generates from templates, adds what the
 patterns can't tell: phone numbers without a plus, keys and passwords, odd
 e-mail addresses.  Its spans never overlap a pattern's.
 
-Only tokens with a digit, ``@`` or ``=`` can start a label, so the text is cut
-into stretches around such tokens (``MARGIN`` plain tokens on either side
-belong to them) and Viterbi runs over all stretches of a batch at once, padded
-to a common length, in numpy.  Everything happens in the task that reads the
+Every token of a text is scored, and the result is that of one Viterbi pass
+over the whole text.  A token whose score for O beats every other label's by
+more than any transitions to and from it could make up has O on the best path
+for certain; the pass is cut at such tokens and nowhere else.  Viterbi runs over
+many stretches between them at once, padded to a common length, in numpy.
+Everything happens in the task that reads the
 text; nothing is shuffled.
 """
 
@@ -28,15 +30,16 @@ from .common import column, map_arrow
 
 KINDS = ["email", "ip", "card", "phone", "secret"]
 LABELS = ["O", "email", "ip", "card", "card+", "phone", "phone+", "secret", "secret+"]
-MARGIN = 2
 DIMS = 1 << 12
-STRETCH = 256  # tokens of a stretch at most; a longer one goes on in the next, which starts afresh
+BLOCK = 1 << 16  # tokens whose scores are held at once, and cells of padded stretches, unless one is longer
+ROWS = 1 << 15  # kinds of tokens whose weights are remembered from one text to the next
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_DIGIT, _SEED, _TOKEN = re.compile(r"[0-9]"), re.compile(r"[0-9@=]+"), re.compile(r"\S+")
+_DIGIT, _TOKEN = re.compile(r"[0-9]"), re.compile(r"\S+")
+_NAMES = ("pass", "pwd", "secret", "token", "api")
 _EDGE_LEFT, _EDGE_RIGHT = "([{<\"'", ".,;:!?)]}>\"'"
 
 
@@ -276,56 +279,111 @@ def model() -> Crf:
     return train(labelled_table())
 
 
-def _stretches(text: str) -> list[list[tuple[int, int]]]:
-    """Token spans around seeds.  Tokens further than MARGIN from any seed can't take part."""
-    out: list[list[tuple[int, int]]] = []
-    seen = 0
-    for m in _SEED.finditer(text):
-        if m.start() < seen:
+class _Rows:
+    """Weights by kind of token: one row for all tokens with the same features."""
+
+    def __init__(self, crf: Crf):
+        self.crf = crf
+        self.by_features: dict[tuple[int, ...], int] = {}
+        self.by_token: dict[str | tuple[str, int], int] = {}
+        self.weights = np.zeros((1024, 3, len(LABELS)))
+
+    def row(self, token: str) -> int:
+        bare = token.lstrip(_EDGE_LEFT).rstrip(_EDGE_RIGHT)
+        key = token
+        if bare.isascii() and bare.isalpha() and not bare.lower().startswith(_NAMES):
+            # of words of plain letters, features see the shape and the bits of the length
+            key = (shape(bare), min(len(bare).bit_length(), 6))
+        found = self.by_token.get(key)
+        if found is None:
+            feats = features(token)
+            found = self.by_features.get(feats)
+            if found is None:
+                found = self.by_features[feats] = len(self.by_features)
+                if found == len(self.weights):
+                    self.weights = np.concatenate([self.weights, np.zeros_like(self.weights)])
+                f = list(feats)
+                self.weights[found] = self.crf.own[f].sum(0), self.crf.before[f].sum(0), self.crf.after[f].sum(0)
+            self.by_token[key] = found
+        return found
+
+    def rows(self, tokens: list[str]) -> np.ndarray:
+        if len(self.by_features) > ROWS or len(self.by_token) > 8 * ROWS:
+            self.__init__(self.crf)
+        get, row = self.by_token.get, self.row
+        return np.array([found if (found := get(t)) is not None else row(t) for t in tokens], np.int32)
+
+    def scores(self, rows: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """``Crf.emissions`` of the tokens from ``lo`` to ``hi`` of a text."""
+        out = self.weights[rows[lo:hi], 0]
+        first, last = lo == 0, hi == len(rows)
+        out[first:] += self.weights[rows[lo - 1 + first : hi - 1], 1]
+        out[: len(out) - last] += self.weights[rows[lo + 1 : hi + 1], 2]
+        return out
+
+
+def _unsure(rows: np.ndarray, weights: _Rows, gain: np.ndarray) -> np.ndarray:
+    """Places of the tokens that may have another label than O; the first and the last count as such."""
+    found = [np.array([0, len(rows) - 1])]
+    for lo in range(0, len(rows), BLOCK):
+        e = weights.scores(rows, lo, min(lo + BLOCK, len(rows)))
+        found.append(lo + np.nonzero((e[:, 1:] + gain[1:] + 1e-6 > e[:, :1]).any(1))[0])
+    return np.unique(np.concatenate(found))
+
+
+def crf_labels(batch: list[str], crf: Crf) -> list[list[tuple[int, np.ndarray]]]:
+    """For each text, the first token and the labels of each stretch that has others than O."""
+    found: list[list[tuple[int, np.ndarray]]] = [[] for _ in batch]
+    # the most that having y instead of O can gain by the transitions on both sides
+    gain = (crf.move - crf.move[:, :1]).max(0) + (crf.move - crf.move[:1]).max(1)
+    weights, waiting, cells = _Rows(crf), [], 0
+
+    def decode() -> None:
+        waiting.sort(key=lambda w: len(w[2]))
+        while waiting:
+            most = len(waiting[-1][2])
+            part = waiting[-max(BLOCK // most, 1) :]
+            del waiting[-len(part) :]
+            sizes = np.array([len(w[2]) for w in part])
+            padded = np.zeros((len(part), most, len(LABELS)))
+            for k, (_, _, e) in enumerate(part):
+                padded[k, : len(e)] = e
+            labels = crf.viterbi(padded, sizes)
+            for k in np.nonzero(labels.any(1))[0]:
+                found[part[k][0]].append((part[k][1], labels[k, : sizes[k]]))
+
+    for i, text in enumerate(batch):
+        tokens = _TOKEN.findall(text)
+        if not tokens:
             continue
-        start = m.start()
-        while start and not text[start - 1].isspace():
-            start -= 1
-        for _ in range(MARGIN):  # tokens before
-            k = start
-            while k > seen and text[k - 1].isspace():
-                k -= 1
-            while k > seen and not text[k - 1].isspace():
-                k -= 1
-            start = max(k, seen)
-        tokens, after = [], 0
-        for t in _TOKEN.finditer(text, start):
-            tokens.append(t.span())
-            after = 0 if _SEED.search(t[0]) else after + 1
-            if after > MARGIN + (t.start() < m.start()) * STRETCH or len(tokens) >= STRETCH:
-                break
-        if tokens:
-            seen = tokens[-1][1]
-            out.append(tokens)
-    return out
+        rows = weights.rows(tokens)
+        at = _unsure(rows, weights, gain)
+        cut = np.nonzero(np.diff(at) > 1)[0] + 1
+        for a, b in zip(at[np.concatenate([[0], cut])].tolist(), at[np.concatenate([cut - 1, [len(at) - 1]])].tolist(), strict=True):
+            # with the certain tokens on both sides, which can have O only
+            lo, hi = max(a - 1, 0), min(b + 2, len(rows))
+            e = weights.scores(rows, lo, hi)
+            if lo < a:
+                e[0, 1:] = -np.inf
+            if hi > b + 1:
+                e[-1, 1:] = -np.inf
+            waiting.append((i, lo, e))
+            cells += len(e)
+        if cells >= BLOCK:
+            decode()
+            cells = 0
+    decode()
+    return found
 
 
 def crf_spans(batch: list[str], crf: Crf) -> list[list[tuple[int, int, int]]]:
     """(kind, start, end) of what the CRF finds in each text."""
     found: list[list[tuple[int, int, int]]] = [[] for _ in batch]
-    owner, spans, scores = [], [], []
-    for i, text in enumerate(batch):
-        for tokens in _stretches(text):
-            owner.append(i)
-            spans.append(tokens)
-            scores.append(crf.emissions([text[a:b] for a, b in tokens]))
-    order = sorted(range(len(spans)), key=lambda k: len(spans[k]))
-    for at in range(0, len(order), 2048):
-        part = order[at : at + 2048]
-        sizes = np.array([len(spans[k]) for k in part])
-        padded = np.zeros((len(part), sizes.max(), len(LABELS)))
-        for row, k in enumerate(part):
-            padded[row, : sizes[row]] = scores[k]
-        labels = crf.viterbi(padded, sizes)
-        for row in np.nonzero(labels.any(1))[0]:
-            tokens, text, last = spans[part[row]], batch[owner[part[row]]], None
-            own = found[owner[part[row]]]
-            for (a, b), y in zip(tokens, labels[row], strict=False):
+    for text, own, stretches in zip(batch, found, crf_labels(batch, crf), strict=True):
+        spans = [m.span() for m in _TOKEN.finditer(text)] if stretches else []
+        for first, labels in sorted(stretches, key=lambda s: s[0]):
+            last = None
+            for (a, b), y in zip(spans[first : first + len(labels)], labels, strict=True):
                 name = LABELS[y]
                 if name == "O":
                     last = None

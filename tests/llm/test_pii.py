@@ -55,3 +55,51 @@ def test_viterbi_against_enumeration():
     for i, n in enumerate(sizes):
         best = max(itertools.product(range(k), repeat=int(n)), key=lambda y: crf.start[y[0]] + sum(scores[i, t, y[t]] for t in range(n)) + sum(crf.move[a, b] for a, b in zip(y, y[1:])))
         assert tuple(got[i, :n]) == best
+
+
+def whole(text, crf):
+    tokens = re.findall(r"\S+", text)
+    return crf.viterbi(crf.emissions(tokens)[None], np.array([len(tokens)]))[0]
+
+
+def found(text, crf):
+    out = np.zeros(len(re.findall(r"\S+", text)), np.int16)
+    for first, labels in pii.crf_labels([text], crf)[0]:
+        out[first : first + len(labels)] = labels
+    return out
+
+
+def test_long_lists_as_one_undivided_decode():
+    import random
+
+    rng, crf = random.Random(5), pii.model()
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    for lead in range(3):
+        items = ["7"] * lead + [rng.choice([f"({digits(3)}) {digits(3)}-{digits(4)}", f"password: abc{digits(3)}def4", f"{digits(2)}%"]) for _ in range(700)]
+        text = " ".join(items)
+        assert len(text.split()) > 1000
+        assert (found(text, crf) == whole(text, crf)).all()
+    text = " ".join(f"({digits(3)}) {digits(3)}-{digits(4)}" for _ in range(500))
+    text = f"at {text}"  # puts a number over each multiple of 256 tokens
+    spans = pii.crf_spans([text], crf)[0]
+    assert [text[a:b] for _, a, b in spans] == re.findall(r"\(\d{3}\) \d{3}-\d{4}", text)
+
+
+def test_mixed_texts_as_one_undivided_decode():
+    import random
+
+    rng = random.Random(6)
+    for scale in (1, 0.2):
+        m = pii.model()
+        crf = pii.Crf(m.own * scale, m.before, m.after * scale, m.move, m.start)
+        for _ in range(40):
+            tokens = [t for row in rng.sample(pii.labelled_table(60, seed=rng.randrange(99)), 30) for t in row[0]]
+            assert (found(" ".join(tokens), crf) == whole(" ".join(tokens), crf)).all()
+
+
+def test_tokens_without_digits_are_scored():
+    m, rare = pii.model(), "hunter~two"
+    own = m.own.copy()
+    own[pii.hash_feature(f"s:{pii.shape(rare)}"), pii.LABELS.index("secret")] += 40
+    text = "word " * 50 + rare + " word" * 50
+    assert pii.crf_spans([text], pii.Crf(own, m.before, m.after, m.move, m.start)) == [[(4, 250, 260)]]
