@@ -24,8 +24,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the smallest doc_id stays."""
-    return jaccard_join.one_of_each(docs, NEAR_WORDS, NEAR_PERCENT)
+    """Of each group of near copies, one row stays, of the smallest doc_id; rows without doc_id are in no group and all stay."""
+    return jaccard_join.one_row_of_each(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def drop_benchmark_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

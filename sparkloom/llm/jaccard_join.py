@@ -321,15 +321,19 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents with their columns, of each component only one row: that with the smallest doc_id.
+    """The documents with their columns, of each component only the one with the smallest doc_id, repeated rows of it too; rows without doc_id stay."""
+    gone = jaccard_components(docs, words, percent).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone"))
+    return docs.join(gone.distinct(), F.col("doc_id") == F.col("__gone"), "left_anti")
+
 
-    Of the rows that share a kept doc_id, the one with the longest text stays,
-    and of those the least by its columns in their order.  Rows without doc_id
+def one_row_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``one_of_each`` with one row of each kept doc_id.
+
+    Of the rows that share a doc_id, the one with the longest text stays, and
+    of those the least by its columns in their order.  Rows without doc_id
     belong to no component: all of them stay, copies included.
     """
-    gone = jaccard_components(docs, words, percent).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone"))
-    kept = docs.join(gone.distinct(), F.col("doc_id") == F.col("__gone"), "left_anti")
-    own = kept.withColumn("__row", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    own = one_of_each(docs, words, percent).withColumn("__row", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
     more = [F.col(c) for c in docs.columns if c != "doc_id"]
     first = own.groupBy("doc_id", "__row").agg(F.min(F.struct((-F.coalesce(F.length("text"), F.lit(0))).alias("__size"), *more)).alias("__first"))
     return first.select(*(F.col(c if c == "doc_id" else f"__first.{c}") for c in docs.columns))

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from sparkloom.llm import graph, jaccard_join as j
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -96,8 +97,8 @@ def test_one_row_of_each_doc_id_stays(spark):
     text = "one two three four five six seven eight"
     rows = [(1, text, "b"), (1, text, "a"), (1, text, "a"), (1, "", "a"), (2, text, "a"), (3, "quite another text than the others have here", "a"), (4, None, "a"), (4, None, "a"), (None, text, "a"), (None, text, "a")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
-    got = j.one_of_each(docs, 5, 80)
+    got = corpus_pipeline.drop_near_copies(spark, docs, None)
     assert got.columns == docs.columns
     want = [(1, text, "a"), rows[5], (4, None, "a"), *rows[8:]]
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
-    assert j.one_of_each(docs.limit(0), 5, 80).count() == 0
+    assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), None).count() == 0
