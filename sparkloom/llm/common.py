@@ -2,40 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..storage import discard, shared_dir  # noqa: F401
+from ..storage import stage as cut  # noqa: F401
 
 #: ASCII white space as the contracts spell it: \x20 and \x09-\x0D.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="sparkloom-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again.
-
-    Cuts the lineage, so nothing upstream runs twice, and survives lost
-    executors.  The files stay until whoever owns the folder clears it.
-    """
-    path = f"{shared_dir(df.sparkSession)}/sparkloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def map_arrow(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, most: int | None = None) -> DataFrame:
+def map_arrow(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, most: int | None = None) -> DataFrame:
     """Apply ``step`` to each Arrow batch where it lies, or to its slices of at most ``most`` rows; no shuffle, one batch in memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,6 +40,30 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), *more)
 
 
+def quoted(name: str) -> str:
+    """A column's name as expressions take it, whatever signs are in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def with_rest(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, text as bytes, ``more`` and rest: a struct of all other columns, so that no name can clash."""
+    others = [F.col(quoted(c)) for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.struct(*others) if others else F.struct(F.lit(0).alias("none"))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), *more, rest.alias("rest"))
+
+
+def restored(done: DataFrame, docs: DataFrame, follow: bool = True) -> DataFrame:
+    """The columns of ``docs`` in their order, out of doc_id, text and rest; n_chars, where there is one, follows the text on wish."""
+    return done.select(
+        *(F.col(c) if c in ("doc_id", "text") else F.length("text").cast(docs.schema[c].dataType).alias(c) if follow and c == "n_chars" else F.col(f"rest.{quoted(c)}").alias(c) for c in docs.columns)
+    )
+
+
+def extended(df: DataFrame, more: str) -> StructType:
+    """The frame's schema and further fields, given as DDL; its own types are never written as text."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
+
+
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 

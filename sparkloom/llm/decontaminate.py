@@ -5,9 +5,9 @@ in the task that reads them, so nothing is shuffled.  After every word the
 automaton holds the longest match that ends there; from a match of at least
 ``window`` words its suffix links lead to the state of the last ``window``
 words, and that state knows its items.  The automaton's size is that of the
-benchmark: items are dealt into shards of at most ``SHARD_BYTES`` of text, one
-scan of the documents a shard, and the spans of all shards are merged, so any
-benchmark works in bounded memory.
+benchmark: items are dealt into shards of about ``SHARD_BYTES`` of text, one
+scan of the documents a shard, and the spans of all shards are merged.  The
+benchmark's texts pass through the driver, which holds all shards' items.
 """
 
 from __future__ import annotations
@@ -19,8 +19,9 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import column, map_arrow
+from .common import column, extended, map_arrow, restored, with_rest
 
 WINDOW = 10
 MAX_COVERAGE = 0.5
@@ -166,8 +167,7 @@ def _scan(docs: DataFrame, items: list[tuple[str | None, bytes]], window: int) -
         ]
         return pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*batch.schema.names, "n_words", "spans", "items", "longest"])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema)
-    return map_arrow(docs, step, f"{schema}, {FOUND}")
+    return map_arrow(docs, step, extended(docs, FOUND))
 
 
 def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -178,9 +178,7 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
     items count once by id; an item with a null id hits but isn't listed.  An
     empty benchmark finds nothing; an empty table gives an empty result.
     """
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    rest = F.struct(*others) if others else F.struct(F.lit(0).alias("none"))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), rest.alias("rest"))
+    rows = with_rest(docs)
     own = benchmark.select(F.col("item_id").cast("string").alias("name"), F.col("text").cast("binary").alias("item")).where(F.length("item") > 0)
     total = own.agg(F.sum(F.length("item"))).first()[0] or 0
     shards = max(1, math.ceil(total / SHARD_BYTES))
@@ -208,7 +206,7 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
         arrays += [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(items_, pa.list_(pa.string())), pa.array(longest, pa.int32())]
         return pa.RecordBatch.from_arrays(arrays, ["doc_id", "text", "rest", "n_words", "spans", "items", "longest"])
 
-    return map_arrow(joined, step, f"doc_id long, text binary, rest {joined.schema['rest'].dataType.simpleString()}, {FOUND}")
+    return map_arrow(joined, step, extended(rows, FOUND))
 
 
 def _merge(spans: list[list[int]]) -> list[list[int]]:
@@ -233,20 +231,23 @@ def remove_spans(text: bytes, spans: list[list[int]]) -> bytes:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE) -> DataFrame:
     """The documents with their columns, benchmark spans cut from the text; documents with a larger share of hit words than
-    ``max_coverage`` go.  n_chars, where there is one, follows the text."""
+    ``max_coverage`` go.  n_chars, where there is one, follows the text.
+
+    Null texts become empty and stay.  Repeated rows are cut alike.  An empty
+    table gives an empty one, an empty benchmark changes nothing else.
+    """
     found = find_spans(docs, benchmark, window)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep, cleaned = [], []
         for text, n, spans in zip(column(batch, "text"), column(batch, "n_words"), column(batch, "spans"), strict=True):
             keep.append(sum(e - s for s, e in spans) <= max_coverage * n)
-            cleaned.append(remove_spans(text, spans) if spans else text)
+            cleaned.append(remove_spans(text, spans) if spans else text or b"")
         out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(cleaned, pa.binary()).cast(pa.string()), batch.column(batch.schema.get_field_index("rest"))], ["doc_id", "text", "rest"])
         return out.filter(pa.array(keep))
 
-    done = map_arrow(found, step, f"doc_id long, text string, rest {found.schema['rest'].dataType.simpleString()}")
-    out = [F.col(c) if c in ("doc_id", "text") else F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns]
-    return done.select(*out)
+    own = StructType.fromDDL("doc_id long, text string").add(found.schema["rest"])
+    return restored(map_arrow(found, step, own), docs)
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -17,10 +17,11 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, cut, map_arrow
+from .common import column, cut, extended, map_arrow, with_rest
 
 #: A fit reads this many labelled rows at most: those with the smallest hash of their doc_id.
 MAX_TRAIN = 20_000
+SLICE = 1000  # rows of an Arrow batch that are Python objects at once
 
 _UPPER = range(0x41, 0x5B)
 _LETTERS = {*_UPPER, *range(0x61, 0x7B), *range(0x80, 0x100)}
@@ -55,15 +56,13 @@ def style(text: bytes, words: list[bytes]) -> list[float]:
 
 def with_features(docs: DataFrame, extract: Callable[[bytes], list[float]]) -> DataFrame:
     """doc_id, text (binary), rest (a struct of the other columns), features.  Null texts count as empty."""
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    rest = F.struct(*others) if others else F.struct(F.lit(0).alias("none"))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), rest.alias("rest"))
+    rows = with_rest(docs)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = pa.array([extract(t or b"") for t in column(batch, "text")], pa.list_(pa.float64()))
         return pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "features"])
 
-    return map_arrow(rows, step, f"doc_id long, text binary, rest {rows.schema['rest'].dataType.simpleString()}, features array<double>")
+    return map_arrow(rows, step, extended(rows, "features array<double>"), SLICE)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -72,10 +71,10 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """doc_id, text, label of the bounded sample; conflicting labels of a doc_id give the larger one."""
+    """doc_id, text, label of the bounded sample, one row of a doc_id: of several texts the last in order counts, of several labels the larger one."""
     own = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).cast("double").alias("label"))
     chosen = F.broadcast(own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN))  # 16 bytes a row
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id").dropDuplicates(["doc_id"])
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("label").alias("label"))
 
 
 def fit_trees(rows: DataFrame, trees: int, depth: int) -> Callable[[DataFrame, str], DataFrame]:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, quoted, restored
 from .features import fit_trees, sample_features, style, training_rows, with_features, words_of
 
 THRESHOLD = 0.5
@@ -69,8 +69,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path
     An empty table gives an empty result.
     """
     trees = fit_trees(sample_features(training_rows(docs, labels, label), extract, "quality-sample"), TREES, DEPTH)
-    part = lambda c: F.coalesce(F.col(f"rest.`{c}`").cast("string"), F.lit("")) if c in docs.columns else F.lit("")
-    scored = trees(with_features(docs, extract), "p").select("doc_id", "text", "rest", "p", part(host).alias("host"), F.concat_ws("/", part(host), part(path)).alias("path"))
+    part = lambda c: F.coalesce(F.col(f"rest.{quoted(c)}").cast("string"), F.lit("")) if c in docs.columns else F.lit("")
+    # read twice, for the sums and for the scores, so that features and trees run once
+    scored = cut(trees(with_features(docs, extract), "p").select("doc_id", "text", "rest", "p", part(host).alias("host"), F.concat_ws("/", part(host), part(path)).alias("path")), "quality-scored")
     sums = site_sums(scored.select("host", "path", "p"))
     joined = scored.join(sums.drop("host"), "path", "left")
     host_mean = (F.col("hs") - F.col("p") + F.col("k0") * F.col("m0")) / (F.col("hn") - 1 + F.col("k0"))
@@ -81,9 +82,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that the classifier keeps, with their columns."""
-    done = score_quality(docs, labels, **options).where("kept")
-    return done.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
+    """The documents that the classifier keeps, with their columns; repeated rows go or stay together, an empty table gives an empty one."""
+    return restored(score_quality(docs, labels, **options).where("kept"), docs, follow=False)
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:

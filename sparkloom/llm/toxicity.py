@@ -100,9 +100,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic"):
     isotonic = IsotonicRegression(featuresCol="p", labelCol="label", predictionCol="calibrated").fit(check)
 
     def score(df: DataFrame) -> DataFrame:
-        # flat steps of the calibration keep the trees' order by a hair of their own output
         done = isotonic.transform(trees(df, "p"))
-        return done.withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("calibrated") * 0.98 + F.col("p") * 0.02))).drop("p", "calibrated")
+        return done.withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "calibrated"))).drop("p", "calibrated")
 
     return extract, score
 
