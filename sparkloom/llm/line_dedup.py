@@ -3,8 +3,7 @@
 1. One Arrow pass turns each text into the 128-bit hashes of its line keys;
    a keyed aggregation with map-side combine counts documents and finds the
    largest doc_id for each distinct hash.
-2. The hashes that reach the threshold are dealt into shards.  Each shard
-   becomes a minimal perfect hash (levels of collision-free bits, rank by
+2. All distinct hashes are dealt into shards.  Each shard becomes a minimal perfect hash (levels of collision-free bits, rank by
    popcount) that indexes flat arrays: 64-bit fingerprint, count, keeper.
 3. The documents' hashes are dealt to the shards and probe the arrays in numpy
    blocks.  A shard whose lines are frequent is replicated and its probes
@@ -21,8 +20,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import ASCII_SPACE, column, cut, map_arrow, mix64, shuffle_partitions
+from .common import ASCII_SPACE, column, cut, discard, map_arrow, mix64, restored, shuffle_partitions, with_rest
 
 MIN_DOCS, MIN_CHARS = 5, 40
 #: Rows a probe group aims at; shards are sized from it.
@@ -149,18 +149,20 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_C
 
     A line's key is the line without ASCII white space at both ends and with
     A-Z lower-cased.  Keys of at least ``min_chars`` code points in at least
-    ``min_docs`` rows lose all their lines except in the largest doc_id that
-    holds it.  Null text counts as one empty line.  Rows that share a doc_id
-    count each as a document and are kept or cut alike; null ids sort below all
-    others.  Repeated lines in one text count once and go or stay together.
+    ``min_docs`` documents lose all their lines except in the largest doc_id
+    that holds it.  Null text counts as one empty line.  Rows that share a
+    doc_id are one document and are cut alike; rows without one count for no
+    document and lose what others keep.  Repeated lines in one text count once
+    and go or stay together.
     """
     spark = docs.sparkSession
     hashes = cut(line_hashes(docs, min_chars), "line-hashes")
     n_hashes = hashes.count()
     shards_n = 4 * max(shuffle_partitions(spark), math.ceil(n_hashes / GROUP_ROWS))
     in_shard = F.pmod(F.xxhash64("h1"), F.lit(shards_n)).cast("int").alias("shard")
-    frequent = hashes.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("id").alias("keeper")).where(F.col("n_docs") >= min_docs)
-    shards = cut(frequent.select(in_shard, "h1", "h2", "n_docs", "keeper").groupBy("shard").applyInArrow(_build_shard, SHARD), "line-shards")
+    once = hashes.dropDuplicates(["h1", "h2", "id"])
+    counted = once.groupBy("h1", "h2").agg(F.count_if(F.col("id") != NO_ID).alias("n_docs"), F.max("id").alias("keeper"))
+    shards = cut(counted.select(in_shard, "h1", "h2", "n_docs", "keeper").groupBy("shard").applyInArrow(_build_shard, SHARD), "line-shards")
 
     fair = max(64, math.ceil(n_hashes / shards_n))  # a shard's even share of the probes
     salts = F.greatest(F.ceil(F.col("load") / F.lit(fair)).cast("int"), F.lit(1))
@@ -168,11 +170,11 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_C
     probes = hashes.select("*", in_shard).join(loads, "shard").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
     copies = shards.select("*", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     hits = probes.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInArrow(_probe_shard(min_docs), "id long, hash binary")
-    cuts = hits.groupBy("id").agg(F.collect_set("hash").alias("cuts"))
+    # written, so that its size is known when Spark picks the join with the texts
+    cuts = cut(hits.groupBy("id").agg(F.collect_set("hash").alias("cuts")), "line-cuts")
+    discard(hashes, shards)
 
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    rest = F.struct(*others) if others else F.struct(F.lit(0).alias("none"))
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text").cast("binary").alias("text"), rest.alias("rest"))
+    rows = with_rest(docs, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"))
     joined = rows.join(cuts, "id", "left").drop("id")
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -190,15 +192,13 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_C
         arrays = [batch.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), batch.column(batch.schema.get_field_index("rest"))]
         return pa.RecordBatch.from_arrays(arrays, ["doc_id", "text", "n_lines", "n_dropped", "rest"])
 
-    kind = joined.schema["rest"].dataType.simpleString()
-    return map_arrow(joined, step, f"doc_id long, text string, n_lines long, n_dropped long, rest {kind}")
+    out = StructType.fromDDL("doc_id long, text string, n_lines long, n_dropped long").add(joined.schema["rest"])
+    return map_arrow(joined, step, out)
 
 
 def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
     """The documents with their columns, repeated lines dropped; n_chars, where there is one, follows the text."""
-    done = drop_lines(docs, min_docs, min_chars)
-    out = [F.col(c) if c in ("doc_id", "text") else F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns]
-    return done.select(*out)
+    return restored(drop_lines(docs, min_docs, min_chars), docs)
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:

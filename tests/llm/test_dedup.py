@@ -55,9 +55,11 @@ def test_line_dedup_against_brute_force(spark):
 
 
 def test_line_dedup_without_ids_and_with_repeated_rows(spark):
-    docs = spark.createDataFrame([(None, "a line of note")] * 3 + [(4, "a line of note")] * 2, "doc_id long, text string")
-    got = sorted((r["doc_id"] or 0, r["text"]) for r in line_dedup.drop_lines(docs, 5, 6).collect())
-    assert got == [(0, "")] * 3 + [(4, "a line of note")] * 2
+    docs = spark.createDataFrame([(None, "a line of note")] * 3 + [(4, "a line of note")] * 2 + [(2, "A line of note ")], "doc_id long, text string")
+    # two documents hold the line: rows without an id are none, rows of one id are one
+    run = lambda least: sorted((r["doc_id"] or 0, r["text"]) for r in line_dedup.drop_lines(docs, least, 6).collect())
+    assert run(3) == [(0, "a line of note")] * 3 + [(2, "A line of note ")] + [(4, "a line of note")] * 2
+    assert run(2) == [(0, "")] * 3 + [(2, "")] + [(4, "a line of note")] * 2
 
 
 def test_minimal_perfect_hash():
