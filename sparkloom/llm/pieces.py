@@ -8,23 +8,21 @@ segmentation, and each occurrence of a word in a document has a draw of its
 own.  At rate 0 the result is the library's own.
 
 No piece of a BPE model with split white space has a space after a letter, so
-words are encoded one by one.  What does not depend on the key is remembered:
-the ids of a word without some of its merges and the merges that lead there,
-for at most ``CACHE`` words with no merge skipped and as many with some.  numpy
-hashes the merges of all words of a text at once; an occurrence with a hash
-under the rate is looked up without those merges, until none is left.
-Ids decode to the very same text:
-characters without a piece go as bytes, the mark for spaces itself included.
+the chunks between blanks are merged independently, many at a time: numpy takes
+the best candidate of every chunk's agenda, draws its hash, and merges or skips
+it, until no agenda has any left.  Nothing is remembered from one chunk to the
+next, so memory is bounded by ``WINDOW`` characters of text; chunks of over
+``LONG`` characters go one by one through a heap.  Ids decode to the very same
+text: characters without a piece go as bytes, the mark for spaces itself
+included.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
-import struct
 from collections.abc import Iterable
 from functools import lru_cache
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -33,20 +31,24 @@ import sentencepiece
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 from .common import column, map_arrow, mix64
 
 DROPOUT, SEED = 0.1, 20
-CACHE = 200_000
-LONG = 64  # characters; longer words are encoded anew each time, by their own key
+LONG = 64  # characters; longer chunks are merged by a heap, whose time does not grow with the square of the length
+WINDOW = 1 << 19  # characters whose symbols are held at once, unless one chunk is longer
+ROWS = 1 << 13  # chunks merged together
 SLICE = 1000  # rows that a worker holds as lists of ids at once
+WIDTHS = (4, 6, 8, 10, 12, 16, 24, 32, LONG)
 
 _SPACE = "▁"
-_LITERAL = "\ud800"  # the mark where the text itself has it; no valid text has a lone surrogate
 _CHUNK = re.compile(r" *[^ \n]+| +|\n")
-_MASK = (1 << 64) - 1
+_NEVER = np.int32(0x7FFFFFFF)
+_SYMBOL_BITS = 21
+_EDGE = (1 << _SYMBOL_BITS) - 1  # stands beside the first and the last symbol of a chunk
 _BY_RANK, _BY_PLACE, _MIX, _STEP = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0xD1B54A32D192ED03
-_PLACES, _NEVER = [i * _BY_PLACE & _MASK for i in range(LONG)], float("inf")
+_MASK = (1 << 64) - 1
 
 
 def default_model() -> str:
@@ -55,16 +57,57 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def _mixed(x: int) -> int:
-    """``mix64`` of one number."""
-    x &= _MASK
-    x = (x ^ x >> 30) * _MIX & _MASK
-    x = (x ^ x >> 27) * 0x94D049BB133111EB & _MASK
-    return x ^ x >> 31
+class Pairs:
+    """(left symbol, right symbol) -> merged piece, as a perfect hash: each bucket of keys has a displacement without collisions."""
+
+    def __init__(self, left: np.ndarray, right: np.ndarray, piece: np.ndarray, cost: np.ndarray):
+        keys = left.astype(np.int64) << _SYMBOL_BITS | right
+        self.bits = max(int(len(keys) * 2).bit_length(), 4)
+        for self.factor in (np.uint64(f) for f in range(_BY_PLACE, _MASK, 2 * 0x1000_0001)):
+            if self._place(keys, piece, cost):
+                return
+
+    def _slots(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = keys.astype(np.uint64) * self.factor
+        return (h >> np.uint64(50)).astype(np.int64), (h >> np.uint64(50 - self.bits)).astype(np.int64) & (1 << self.bits) - 1
+
+    def _place(self, keys: np.ndarray, piece: np.ndarray, cost: np.ndarray) -> bool:
+        size = 1 << self.bits
+        self.move, self.keys = np.zeros(1 << 14, np.int64), np.full(size, -1, np.int64)
+        self.piece, self.cost = np.zeros(size, np.int32), np.full(size, _NEVER, np.int32)
+        bucket, base = self._slots(keys)
+        order = np.argsort(bucket, kind="stable")
+        ends = np.searchsorted(bucket[order], np.arange(len(self.move) + 1))
+        draws = np.random.default_rng(5).permutation(size)
+        for b in np.argsort(-np.diff(ends), kind="stable").tolist():
+            own = order[ends[b] : ends[b + 1]]
+            if not len(own):
+                break
+            at = base[own]
+            if len(np.unique(at)) < len(at):
+                return False
+            for lo in range(0, size, 64):
+                free = (self.keys[at[None, :] ^ draws[lo : lo + 64, None]] < 0).all(1)
+                if free.any():
+                    self.move[b] = draws[lo + int(free.argmax())]
+                    break
+            else:
+                return False
+            self.keys[at ^ self.move[b]] = keys[own]
+            self.piece[at ^ self.move[b]] = piece[own]
+            self.cost[at ^ self.move[b]] = cost[own]
+        return True
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merged piece and its cost, _NEVER where the two don't merge."""
+        keys = left.astype(np.int64) << _SYMBOL_BITS | right
+        bucket, at = self._slots(keys)
+        at ^= self.move.take(bucket)
+        return self.piece.take(at), np.where(self.keys.take(at) == keys, self.cost.take(at), _NEVER)
 
 
 class Pieces:
-    """The vocabulary of a model file: ranks of mergeable pieces, ids of bytes, bytes of ids."""
+    """The vocabulary of a model file: symbols and their merges, ids of bytes, bytes of ids."""
 
     def __init__(self, path: str):
         own = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -82,119 +125,206 @@ class Pieces:
                 self.surface.append(piece.replace(_SPACE, " ").encode())
         if len(self.byte) != 256 or any(_SPACE in p.lstrip(_SPACE) for _, _, p in usual):
             raise ValueError("needs a model with byte fallback whose pieces have spaces at their start only")
-        for _, i, piece in usual:
-            self.rank[piece] = i
+        if len(self.surface) > 1 << 19:
+            raise ValueError("needs a model of at most 524288 pieces")
+        self.rank = {piece: i for _, i, piece in usual}
         # merges by score; equal scores by place in the word alone, as the library does
-        self.order = {piece: cost for cost, _, piece in usual}
-        self.by_rank = {piece: i * _BY_RANK & _MASK for piece, i in self.rank.items()}
+        costs = {c: k for k, c in enumerate(sorted({c for c, _, _ in usual}))}
+        self.order = {piece: costs[c] for c, _, piece in usual}
         self.array = pa.array(self.surface, pa.binary())
-        # signs that no piece has right after a letter: a word may be parted before them
-        after_letter = {b for p in self.rank for a, b in zip(p, p[1:]) if a.isalpha()}
-        self.enders = "".join(c for c in ".,;:!?|$%&*#)" if c not in after_letter)
-        self.whole: dict[str, tuple[bytes, bytes]] = {}
-        self.parted: dict[tuple[str, bytes], tuple[bytes, bytes]] = {}
-
-    def word(self, chunk: str, key: int, dropout: float) -> bytes:
-        """Ids of one chunk as little-endian uint16."""
-        parts = list(chunk.replace(_SPACE, _LITERAL).replace(" ", _SPACE) if _SPACE in chunk else chunk.replace(" ", _SPACE))
-        n = len(parts)
-        order, rank, agenda = self.order, self.rank, []
-        limit = int(dropout * (1 << 32))
-        base = _mixed(key) if limit else 0
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        for i, pair in enumerate(map(add, parts, parts[1:])):
-            if pair in order:
-                agenda.append((order[pair], i, pair))
-        heapq.heapify(agenda)
+        # symbols: pieces, then characters that only have a place in pieces, then all others by code point
+        inner = sorted({c for p in self.rank for c in p} - self.rank.keys())
+        symbol = self.rank | {c: len(self.surface) + k for k, c in enumerate(inner)}
+        self.inner = np.array([ord(c) for c in inner], np.int64)
+        self.others = len(self.surface) + len(inner)
+        self.by_code = np.arange(0x110000, dtype=np.int32) + np.int32(self.others)
+        for c, s in symbol.items():
+            if len(c) == 1 and c != _SPACE:
+                self.by_code[ord(c)] = s
+        self.by_code[ord(" ")] = symbol.get(_SPACE, self.others + ord(" "))
+        splits = [(symbol[p[:k]], symbol[p[k:]], i, self.order[p]) for p, i in self.rank.items() for k in range(1, len(p)) if p[:k] in symbol and p[k:] in symbol]
+        self.pairs = Pairs(*(np.array([s[k] for s in splits]) for k in range(4)))
+        with np.errstate(over="ignore"):
+            self.by_rank = np.arange(len(self.surface), dtype=np.uint64) * np.uint64(_BY_RANK)
+            self.places = np.arange(LONG + 2, dtype=np.uint64) * np.uint64(_BY_PLACE)
+        self.byte_ids = np.array([self.byte[b] for b in range(256)], np.int32)
+
+    def heap(self, symbols: np.ndarray, base: int, dropout: float) -> np.ndarray:
+        """Merge one chunk by a heap; ``base`` is its key, mixed.  Gives a symbol where one starts and -1 elsewhere."""
+        parts, n, limit = symbols.tolist(), len(symbols), int(dropout * (1 << 32))
+        after, before, agenda = list(range(1, n + 1)), list(range(-1, n - 1)), []
+
+        def offer(at: list[int]) -> None:
+            at = [i for i in at if i >= 0 and after[i] < n]
+            piece, cost = self.pairs.find(np.array([parts[i] for i in at], np.int64), np.array([parts[after[i]] for i in at], np.int64))
+            for i, p, c in zip(at, piece.tolist(), cost.tolist(), strict=True):
+                if c != _NEVER:
+                    heapq.heappush(agenda, (c, i, p, parts[i], parts[after[i]]))
+
+        offer(list(range(n - 1)))
         while agenda:
-            _, i, piece = heapq.heappop(agenda)
-            left = parts[i]
+            _, i, piece, left, right = heapq.heappop(agenda)
             j = after[i]
-            if left is None or j >= n or left + parts[j] != piece:
+            if parts[i] != left or j >= n or parts[j] != right:
                 continue
-            if limit and (base ^ rank[piece] * _BY_RANK ^ i * _BY_PLACE) * _MIX >> 32 & 0xFFFFFFFF < limit:
+            if limit and (base ^ piece * _BY_RANK & _MASK ^ i * _BY_PLACE & _MASK) * _MIX >> 32 & 0xFFFFFFFF < limit:
                 continue
-            parts[i], parts[j] = piece, None
+            parts[i], parts[j] = piece, -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if (cost := order.get(piece + parts[k])) is not None:
-                    heapq.heappush(agenda, (cost, i, piece + parts[k]))
-            if (h := before[i]) >= 0 and (cost := order.get(parts[h] + piece)) is not None:
-                heapq.heappush(agenda, (cost, h, parts[h] + piece))
-        return self._ids(p for p in parts if p is not None)
-
-    def _ids(self, parts: Iterable[str]) -> bytes:
-        rank, ids = self.rank, []
-        for p in parts:
-            if p in rank:
-                ids.append(rank[p])
-            else:
-                ids += [self.byte[b] for b in (_SPACE if p == _LITERAL else p).encode()]
-        return struct.pack(f"<{len(ids)}H", *ids)
-
-    def short(self, chunk: str, skipped: bytes) -> tuple[bytes, bytes]:
-        """``word`` for a short chunk, by given merges to skip instead of a hash: its ids and the merges made, as uint64."""
-        parts = list(chunk.replace(_SPACE, _LITERAL).replace(" ", _SPACE))
-        cost, at, path = self.order.get, list(range(len(parts))), []
-        skip = struct.unpack(f"<{len(skipped) >> 3}Q", skipped)
-        costs = [cost(pair, _NEVER) for pair in map(add, parts, parts[1:])]
-        while costs and (least := min(costs)) != _NEVER:
-            k = costs.index(least)
-            piece = parts[k] + parts[k + 1]
-            merge = self.by_rank[piece] ^ _PLACES[at[k]]
-            if merge in skip:
-                costs[k] = _NEVER
+            offer([i, before[i]])
+        return np.array(parts, np.int32)
+
+    def merge(self, symbols: np.ndarray, bases: np.ndarray, limit: int) -> np.ndarray:
+        """Merge chunks side by side: ``symbols`` (chunk, place) with _EDGE after each chunk's end, ``bases`` their mixed keys.
+
+        Gives a symbol where one starts, -1 where it goes on and _EDGE beyond the end.
+        """
+        n, width = symbols.shape
+        out = symbols.copy()
+        w = width + 2
+        sym = np.full((n, w), _EDGE, np.int32)
+        sym[:, 1:-1] = symbols
+        piece, cost = np.zeros((n, w), np.int32), np.full((n, w), _NEVER, np.int32)
+        p, c = self.pairs.find(symbols[:, :-1].ravel(), symbols[:, 1:].ravel())
+        piece[:, 1 : width], cost[:, 1 : width] = p.reshape(n, -1), c.reshape(n, -1)
+        place = np.arange(w, dtype=np.int16)
+        after, before = np.broadcast_to(place + 1, (n, w)).copy(), np.broadcast_to(place - 1, (n, w)).copy()
+        after[:, -1], before[:, 0] = w - 1, 0
+        rows = np.arange(n)
+        lead = rows * w
+        while True:
+            flat_sym, flat_piece, flat_cost, flat_after, flat_before = (x.reshape(-1) for x in (sym, piece, cost, after, before))
+            i = cost.argmin(1)
+            at = lead + i
+            open_ = flat_cost.take(at) != _NEVER
+            most = np.count_nonzero(open_)
+            if most < 0.7 * len(rows):
+                # write out the chunks that are done, go on with the others
+                out[rows[~open_]] = sym[~open_, 1:-1]
+                if not most:
+                    return out
+                rows, bases = rows[open_], bases[open_]
+                sym, piece, cost, after, before = (x[open_] for x in (sym, piece, cost, after, before))
+                lead = np.arange(most) * w
+                continue
+            at = at[open_]
+            new = flat_piece.take(at)
+            if limit:
+                drawn = (bases[open_] ^ self.by_rank.take(new) ^ self.places.take(i[open_] - 1)) * np.uint64(_MIX) >> np.uint64(32)
+                skip = drawn < np.uint64(limit)
+                flat_cost[at[skip]] = _NEVER
+                at, new = at[~skip], new[~skip]
+            start = at // w * w
+            right = start + flat_after.take(at)
+            far = flat_after.take(right)
+            flat_sym[at], flat_sym[right], flat_cost[right], flat_after[at] = new, -1, _NEVER, far
+            flat_before[start + far] = at - start
+            left = start + flat_before.take(at)
+            both = np.concatenate([at, left])
+            flat_piece[both], flat_cost[both] = self.pairs.find(np.concatenate([new, flat_sym.take(left)]), np.concatenate([flat_sym.take(start + far), new]))
+
+    def _bytes(self, symbols: np.ndarray, reps: np.ndarray) -> np.ndarray:
+        """Ids of symbols, of which those that are no pieces go as the ids of their UTF-8 bytes."""
+        out = np.repeat(symbols, reps)
+        other = np.flatnonzero(symbols >= len(self.surface))
+        if len(other):
+            first = np.cumsum(reps)[other] - reps[other]
+            raw = np.frombuffer("".join(map(chr, self._codes(symbols[other]).tolist())).encode(), np.uint8)
+            into = np.repeat(first - (np.cumsum(reps[other]) - reps[other]), reps[other]) + np.arange(len(raw))
+            out[into] = self.byte_ids[raw]
+        return out
+
+    def _codes(self, symbols: np.ndarray) -> np.ndarray:
+        codes = symbols - self.others
+        inner = codes < 0
+        codes[inner] = self.inner[codes[inner] + len(self.inner)]
+        return codes
+
+    def _window(self, texts: list[str], keys: list[int], seen: list[int], dropout: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of texts joined, how many each has, and its number of chunks.  ``seen``: chunks of its document before it."""
+        sizes = np.array([len(t) for t in texts])
+        code = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        blank, line = code == 32, code == 10
+        start = line.copy()
+        start[1:] |= line[:-1] | (blank[1:] & ~blank[:-1])
+        start[first] = True
+        starts = np.flatnonzero(start)
+        lengths = np.diff(np.append(starts, len(code)))
+        symbols = self.by_code.take(code)
+        limit = int(dropout * (1 << 32))
+        text_of = np.searchsorted(first, starts, "right") - 1
+        chunks = np.bincount(text_of, minlength=len(texts))
+        number = np.arange(len(starts)) - np.repeat(np.cumsum(chunks) - chunks, chunks) + np.array(seen)[text_of] + 1
+        bases = mix64(np.array(keys, np.uint64)[text_of] + number.astype(np.uint64) * np.uint64(_STEP))
+        low = 1
+        for width in WIDTHS:
+            some = np.flatnonzero((lengths > low) & (lengths <= width))
+            low = width
+            for lo in range(0, len(some), ROWS):
+                own = some[lo : lo + ROWS]
+                place = np.arange(width)
+                inside = place < lengths[own, None]
+                at = np.minimum(starts[own, None] + place, len(code) - 1)
+                symbols[at[inside]] = self.merge(np.where(inside, symbols.take(at), _EDGE), bases[own], limit)[inside]
+        for k in np.flatnonzero(lengths > LONG).tolist():
+            a, b = starts[k], starts[k] + lengths[k]
+            symbols[a:b] = self.heap(symbols[a:b], int(bases[k]), dropout)
+        left = symbols >= 0
+        done = symbols[left]
+        reps = np.ones(len(done), np.int64)
+        other = done >= len(self.surface)
+        if other.any():
+            codes = self._codes(done[other])
+            reps[other] = 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)
+        ends = np.concatenate([[0], np.cumsum(reps)])[np.concatenate([[0], np.cumsum(left)])[first + sizes]]
+        return self._bytes(done, reps), np.diff(ends, prepend=0), chunks
+
+    def encode(self, texts: list[str], docs: list[int | None], seed: int, dropout: float) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts joined and how many each has; without an id in ``docs`` the text itself is the key."""
+        out, counts = [np.empty(0, np.int32)], np.zeros(len(texts), np.int64)
+        waiting: list[tuple[int, str, int, int]] = []
+
+        def run() -> np.ndarray:
+            ids, sizes, chunks = self._window([w[1] for w in waiting], [w[2] for w in waiting], [w[3] for w in waiting], dropout)
+            out.append(ids)
+            np.add.at(counts, [w[0] for w in waiting], sizes)
+            waiting.clear()
+            return chunks
+
+        held = 0
+        for k, (text, doc) in enumerate(zip(texts, docs, strict=True)):
+            if not text:
                 continue
-            path.append(merge)
-            parts[k] = piece
-            del parts[k + 1], at[k + 1], costs[k]
-            if k < len(costs):
-                costs[k] = cost(piece + parts[k + 1], _NEVER)
-            if k:
-                costs[k - 1] = cost(parts[k - 1] + piece, _NEVER)
-        return self._ids(parts), struct.pack(f"<{len(path)}Q", *path)
-
-    def _without(self, chunk: str, skipped: bytes = b"") -> tuple[bytes, bytes]:
-        """A chunk's ids without the skipped merges and the merges made for them, as uint64; nothing of it depends on the key."""
-        cache, name = (self.parted, (chunk, skipped)) if skipped else (self.whole, chunk)
-        found = cache.get(name)
-        if found is None:
-            core = chunk.rstrip(self.enders)
-            if len(core) < len(chunk) and core[-1:].isalpha() and not (tail := self._without(chunk[len(core) :]))[1]:
-                ids, merges = self._without(core, skipped)
-                return ids + tail[0], merges
-            found = self.short(chunk, skipped)
-            if len(cache) >= CACHE:
-                cache.clear()
-            cache[name] = found
-        return found
-
-    def encode(self, text: str, doc: int | None, seed: int, dropout: float) -> bytes:
-        """Ids of a text as little-endian uint16; without ``doc`` the text itself is the key."""
-        if not text:
-            return b""
-        chunks = _CHUNK.findall(" " + text)
-        key = xxhash.xxh3_64_intdigest(f"{seed}:{doc}" if doc is not None else f"{seed}::{text}")
-        get, without, limit = self.whole.get, self._without, int(dropout * (1 << 32))
-        found = [get(c) or (without(c) if len(c) <= LONG else (self.word(c, key + k * _STEP, dropout), b"")) for k, c in enumerate(chunks, 1)]
-        out = [ids for ids, _ in found]
-        if not limit:
-            return b"".join(out)
-        bases = mix64(np.uint64(key) + np.arange(1, len(chunks) + 1, dtype=np.uint64) * np.uint64(_STEP))
-        left, skipped = np.arange(len(chunks)), {}
-        while len(left):
-            lists = [merges for _, merges in found]
-            merges = np.frombuffer(b"".join(lists), "<u8")
-            at = np.repeat(left, np.fromiter(map(len, lists), np.int64, len(lists)) >> 3)
-            under = np.nonzero(((bases[at] ^ merges) * np.uint64(_MIX) >> np.uint64(32)) < limit)[0]
-            left, first = np.unique(at[under], return_index=True)
-            raw, ends, found = merges[under].tobytes(), [*(first[1:] * 8).tolist(), len(under) * 8], []
-            for k, a, b in zip(left.tolist(), (first * 8).tolist(), ends, strict=False):
-                name = skipped[k] = skipped.get(k, b"") + raw[a:b]
-                found.append(now := self.parted.get((chunks[k], name)) or without(chunks[k], name))
-                out[k] = now[0]
-        return b"".join(out)
+            key = xxhash.xxh3_64_intdigest(f"{seed}:{doc}" if doc is not None else f"{seed}::{text}")
+            seen = 0
+            for part in _parts(" " + text):
+                last = waiting[-1][0] if waiting else None
+                if waiting and (held + len(part) > WINDOW or last == k):  # two parts of one text never share a window
+                    chunks = run()
+                    seen, held = seen + int(chunks[-1]) if last == k else 0, 0
+                waiting.append((k, part, key, seen))
+                held += len(part)
+        if waiting:
+            run()
+        return np.concatenate(out), counts
+
+
+def _parts(text: str) -> Iterable[str]:
+    """The text in parts of up to half a WINDOW, or of one longer chunk, parted where a chunk starts."""
+    most, at = WINDOW // 2, 0
+    while len(text) - at > most:
+        cut = max(text.rfind(" ", at + 1, at + most), text.rfind("\n", at + 1, at + most))
+        while cut > at and text[cut] == " " and text[cut - 1] == " ":
+            cut -= 1
+        if cut <= at:
+            cut = _CHUNK.match(text, at).end()
+        yield text[at:cut]
+        at = cut
+    if at < len(text):
+        yield text[at:]
 
 
 @lru_cache(maxsize=1)
@@ -213,10 +343,7 @@ def encode(docs: DataFrame, model: str | None = None, seed: int = SEED, dropout:
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = pieces(path)
-        found = [own.encode(t, d, seed, dropout) for t, d in zip(column(batch, "text"), column(batch, "doc_id"), strict=True)]
-        sizes = np.array([len(f) // 2 for f in found], np.int64)
-        ids = np.frombuffer(b"".join(found), "<u2").astype(np.int32)
+        ids, sizes = pieces(path).encode(column(batch, "text"), column(batch, "doc_id"), seed, dropout)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(ids))
         return pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(sizes)], ["doc_id", "text", "ids", "n_tokens"])
 
@@ -237,8 +364,7 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
         said = [bytes(data[a + 1 : b]).decode() for a, b in zip(at[:-1], at[1:], strict=True)]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.string())], [*batch.schema.names, "decoded"])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in encoded.schema)
-    return map_arrow(encoded, step, f"{schema}, decoded string", SLICE)
+    return map_arrow(encoded, step, StructType([*encoded.schema.fields]).add("decoded", StringType()), SLICE)
 
 
 def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:
