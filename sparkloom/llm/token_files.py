@@ -8,7 +8,7 @@ shared folder, so a lost executor loses nothing, and each row decodes by
 itself.  Reading back checks every block.
 
 Tokenising goes by chunks between blanks, which no rule of the tokenizer
-crosses; a worker remembers the ids of ``CACHE`` chunks.
+crosses; a worker remembers the ids of chunks, CACHE_BYTES of them.
 """
 
 from __future__ import annotations
@@ -29,10 +29,12 @@ from .common import cut, map_arrow
 from .range_coder import BLOCK, LANES, decode_blocks, encode_blocks
 
 END_ID = 2
-CACHE = 600_000
+CACHE_BYTES = 24 << 20  # of strings, ids and a dictionary entry for each
+SLICE = 1000  # rows whose chunks are Python objects at once
+ENTRY = 200  # bytes that an entry takes besides its letters and ids
 LONG = 64
 #: A row of a file holds whole documents of about so many ids.
-ROW_IDS = 16 * BLOCK
+ROW_IDS = 64 * BLOCK
 FILE = "part int, doc_ids array<long>, offsets array<long>, lengths array<int>, sizes array<int>, crcs array<long>, blocks array<binary>"
 
 _CHUNK = re.compile(r"[^ \n\t\r]+")
@@ -55,21 +57,25 @@ class Chunks:
         if self.own.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
         self.known: dict[str, bytes] = {}
+        self.size = 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [_CHUNK.findall(t) for t in texts]
         known = self.known
         new = list({c for p in parts for c in p if c not in known})
-        short = {c: np.array(e.ids, "<u2").tobytes() for c, e in zip(new, self.own.encode_batch(new, add_special_tokens=False), strict=True)}
-        if len(known) + len(short) > CACHE:
-            kept = {c: known[c] for p in parts for c in p if c in known}
+        if self.size + sum(map(len, new)) + ENTRY * len(new) > CACHE_BYTES:
             known.clear()
-            known.update(kept)
+            self.size = 0
+            new = list({c for p in parts for c in p})
+        coded = self.own.encode_batch_fast(new, add_special_tokens=False)
+        short = {c: np.array(e.ids, "<u2").tobytes() for c, e in zip(new, coded, strict=True)}
         known.update(short)
         out = [b"".join(map(known.__getitem__, p)) for p in parts]
-        for c in short:
+        for c, ids in short.items():
             if len(c) > LONG:
                 del known[c]
+            else:
+                self.size += len(c) + len(ids) + ENTRY
         return out
 
 
@@ -103,7 +109,8 @@ def write_token_files(docs: DataFrame, tokenizer: str | None = None, end_id: int
 
     Null text counts as empty and gives the end id alone.  Rows with equal
     doc_id follow each other, by text; null ids come first.  An empty table
-    gives no rows; other columns are ignored.
+    gives no rows; other columns are ignored.  A text of any length is one
+    stretch of ids: its task holds them, two bytes each, and their blocks.
     """
     path = tokenizer or default_tokenizer()
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -120,7 +127,8 @@ def write_token_files(docs: DataFrame, tokenizer: str | None = None, end_id: int
             queued += size
             ids, offsets, lengths, raw, size = [], [], [], [], 0
 
-        for batch in batches:
+        slices = (batch.slice(k, SLICE) for batch in batches for k in range(0, batch.num_rows, SLICE))
+        for batch in slices:
             for doc_id, coded in zip(batch.column(0).to_pylist(), own.encode(batch.column(1).to_pylist()), strict=True):
                 ids.append(doc_id)
                 offsets.append(start)
@@ -169,7 +177,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
     totals = files.select("part", F.element_at("offsets", -1).alias("o"), F.element_at("lengths", -1).alias("l")).groupBy("part").agg(F.max(F.col("o") + F.col("l")).alias("total"))
     # one row a partition
     bases = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
-    docs = map_arrow(files, step, "part int, doc_id long, offset long, n_tokens long, ids binary")
+    docs = map_arrow(files, step, "part int, doc_id long, offset long, n_tokens long, ids binary", LANES * BLOCK // ROW_IDS)
     return docs.join(bases, "part").select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids")
 
 
