@@ -31,11 +31,16 @@ from .common import column, map_arrow
 KINDS = ["email", "ip", "card", "phone", "secret"]
 LABELS = ["O", "email", "ip", "card", "card+", "phone", "phone+", "secret", "secret+"]
 DIMS = 1 << 12
+SLICE = 1000  # rows that a worker holds as Python objects at once
 BLOCK = 1 << 16  # tokens whose scores are held at once, and cells of padded stretches, unless one is longer
+LONG = 80  # signs; nothing of longer tokens is remembered
 ROWS = 1 << 15  # kinds of tokens whose weights are remembered from one text to the next
 
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# An address starts where a run of its signs does, or where the match before it ended: from any other place in the run it
+# would fail or succeed alike.  So a run without an @ is read once, not once for each of its signs.
+_EMAIL = re.compile(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)++")
+_EMAIL_RUN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)++")
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT, _TOKEN = re.compile(r"[0-9]"), re.compile(r"\S+")
@@ -51,19 +56,33 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _byte(digits: str) -> bool:
+    """Whether a number of any length is 255 at most."""
+    digits = digits.lstrip("0")
+    return len(digits) < 4 and int(digits or "0") <= 255
+
+
 def _valid_ip(text: str) -> bool:
     parts = text.split(".")
-    return len(parts) == 4 and all(p.isascii() and p.isdigit() and int(p) <= 255 for p in parts)
+    return len(parts) == 4 and all(p.isascii() and p.isdigit() and _byte(p) for p in parts)
+
+
+def _emails(text: str) -> list[tuple[int, int]]:
+    out, at = [], 0
+    while m := (at and _EMAIL.match(text, at)) or _EMAIL_RUN.search(text, at):
+        out.append(m.span())
+        at = m.end()
+    return out
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of what the patterns find; matches that fail their test are dropped without another try."""
     out = []
     if "@" in text:
-        out += [(0, *m.span()) for m in _EMAIL.finditer(text)]
+        out += [(0, *span) for span in _emails(text)]
     if not _DIGIT.search(text):
         return out
-    out += [(1, *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
+    out += [(1, *m.span()) for m in _IP.finditer(text) if all(map(_byte, m[0].split(".")))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 13:
             digits = m[0].replace(" ", "").replace("-", "")
@@ -77,16 +96,21 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def shape(token: str) -> str:
     """Upper to X, lower (and any other letter) to x, digits to d, runs as one, 24 signs at most."""
     out: list[str] = []
-    for c in token[:400]:
+    for c in token:
         s = "d" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c
         if not out or out[-1] != s:
+            if len(out) == 24:
+                break
             out.append(s)
-    return "".join(out[:24])
+    return "".join(out)
 
 
-@lru_cache(maxsize=1 << 15)
 def features(token: str) -> tuple[int, ...]:
-    """Hashed features of a token without its neighbours."""
+    """Hashed features of a token without its neighbours; those of short tokens are remembered."""
+    return _remembered(token) if len(token) <= LONG else _features(token)
+
+
+def _features(token: str) -> tuple[int, ...]:
     bare = token.lstrip(_EDGE_LEFT).rstrip(_EDGE_RIGHT)
     n_digits, n = sum(c.isdigit() for c in bare), len(bare)
     upper = sum(c.isupper() for c in bare)
@@ -114,6 +138,9 @@ def features(token: str) -> tuple[int, ...]:
     return tuple(hash_feature(f) for f in found)
 
 
+_remembered = lru_cache(maxsize=1 << 13)(_features)
+
+
 def hash_feature(name: str) -> int:
     h = 2166136261
     for b in name.encode():
@@ -304,11 +331,12 @@ class _Rows:
                     self.weights = np.concatenate([self.weights, np.zeros_like(self.weights)])
                 f = list(feats)
                 self.weights[found] = self.crf.own[f].sum(0), self.crf.before[f].sum(0), self.crf.after[f].sum(0)
-            self.by_token[key] = found
+            if len(token) <= LONG or key is not token:
+                self.by_token[key] = found
         return found
 
     def rows(self, tokens: list[str]) -> np.ndarray:
-        if len(self.by_features) > ROWS or len(self.by_token) > 8 * ROWS:
+        if len(self.by_features) > ROWS or len(self.by_token) > 2 * ROWS:
             self.__init__(self.crf)
         get, row = self.by_token.get, self.row
         return np.array([found if (found := get(t)) is not None else row(t) for t in tokens], np.int32)
@@ -425,7 +453,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], ["doc_id", "text", "spans"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")), step, f"doc_id long, text string, spans {SPANS}")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")), step, f"doc_id long, text string, spans {SPANS}", SLICE)
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:

@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 import numpy as np
 
@@ -35,6 +37,27 @@ def test_spans_against_brute_force(spark):
     assert pii.find_pii(docs.limit(0)).count() == 0
 
 
+def plain_spans(text):
+    """The patterns as they are given, tried at every place."""
+    out = [(0, *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    return out + [(1, *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if max(map(int, m[0].split("."))) <= 255]
+
+
+def test_anchored_patterns_find_what_the_plain_ones_do():
+    rng = random.Random(3)
+    for k in range(6000):
+        text = "".join(rng.choice(("a@.b_-", "12.0@", "a1.@ %\n")[k % 3]) for _ in range(rng.randrange(40)))
+        assert [s for s in pii.base_spans(text) if s[0] < 2] == plain_spans(text), text
+
+
+def test_long_runs_and_long_numbers(spark):
+    long = ["1.2.3." + "0" * 5000 + "1", "1.2.3." + "9" * 5000, "7" * 1_000_000, "x" * 1_000_000 + " a@b.cc", "a." * 400_000 + "@", "1." * 400_000, "+" + "1 " * 400_000, "word" * 250_000 + "é"]
+    began = time.monotonic()
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"] if s["base"]] for r in pii.find_pii(spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")).collect()}
+    assert got[0] == [("ip", 0, 5007)] and not got[1] and not got[2] and got[3] == [("email", 1_000_001, 1_000_007)] and not got[4] and len(got[5]) == 100_000 and not got[6] and not got[7]
+    assert time.monotonic() - began < 60
+
+
 def test_held_out_accuracy():
     crf, right, total = pii.model(), 0, 0
     for tokens, labels in pii.labelled_table(200, seed=99):
