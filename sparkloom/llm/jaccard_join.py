@@ -16,10 +16,14 @@ kinds of pivots do part it:
   slice, of which the last bit is kept.  By the triangle inequality documents
   differ by one shingle at least in each slice where these bits do, which
   excludes nearly all unlinked pairs of a region without reading their sets;
-  the whole space's empty set gives the window of sizes.
+  the whole space's empty set gives the window of sizes.  Candidates that pass
+  are held against each other once more with as many slices as a set has
+  shingles, so that long sets, whose 512 bits say little, are parted too.
 
 Two documents that meet in many regions are a candidate only where the shingles
 before the region's differ: their first common region is always such a one.
+There the shingles before it are in one set only, which bounds the distance from
+below as well.
 
 Recursion: first, documents of one home are held against one pivot document
 each, and what links becomes one component.  Then regions that still hold
@@ -42,12 +46,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
-from .common import column, cut, map_arrow, mix64
+from .common import column, cut, discard, map_arrow, mix64, quoted
 from .graph import components
 
 WORDS, PERCENT = 3, 90
 SLICES = 512
+KEPT = 1 << 19  # bytes of text
 HOMES = 2
 #: At most so many frequent shingles are put last in the order; they are all that is broadcast, 8 bytes each.
 MAX_FREQUENT = 200_000
@@ -65,17 +71,23 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, kept for the longest text so far."""
+    """Powers of the base and of its inverse modulo 2**64; those for texts of up to KEPT bytes are kept."""
+    if n > KEPT:
+        return _powers_to(n)
     if len(_powers[0]) < n:
-        size = max(n, 2 * len(_powers[0]), 1 << 14)
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        for k, base in enumerate((_BASE, inverse)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=np.uint64)
+        _powers[:] = _powers_to(min(KEPT, max(n, 2 * len(_powers[0]), 1 << 14)))
     return _powers[0][:n], _powers[1][:n]
 
 
+def _powers_to(size: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (int(_BASE), pow(int(_BASE), -1, 1 << 64)):
+        steps = np.full(size, base, np.uint64)
+        steps[0] = 1
+        out.append(np.cumprod(steps, dtype=np.uint64))
+    return tuple(out)
+
+
 def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
     """The sorted set of 64-bit hashes of a text's shingles; with fewer words the whole sequence is one."""
     if not text:
@@ -118,6 +130,18 @@ def slices(own: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount((own >> np.uint64(55)).astype(np.int64), minlength=SLICES).astype(np.uint8) & 1)
 
 
+def wide_slices(own: np.ndarray) -> bytes:
+    """``slices`` by the hashes' low bits, about as many as the set has shingles and SLICES at least."""
+    bits = max(SLICES, 1 << max(len(own) - 1, 0).bit_length())
+    return np.packbits(np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def _most_apart(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """Shingles that two linked sets of these sizes have in one of them only, at most."""
+    # inter >= percent/100 * union and union = na + nb - inter
+    return na + nb - 2 * -(-percent * (na + nb) // (100 + percent))
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -136,17 +160,18 @@ def _frequent(rows: DataFrame, words: int, percent: int) -> np.ndarray:
     return np.sort(np.array([r[0] for r in counts.where(F.col("n") > limit).select("s").collect()], np.int64).view(np.uint64))
 
 
-PROFILE = "doc_id long, n long, h1 long, h2 long, homes array<long>, first array<long>, slices binary"
+PROFILE = "doc_id long, n long, h1 long, h2 long, homes array<long>, first array<long>, slices binary, wide binary"
 
 
 def _profiles(rows: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sizes, marks, homes, first, counts = [], [], [], [], []
+        sizes, marks, homes, first, counts, wide = [], [], [], [], [], []
         for text in column(batch, "text"):
             own = shingles(text, words)
             sizes.append(len(own))
             marks.append(xxhash.xxh3_128_digest(own.tobytes()))
             counts.append(slices(own).tobytes())
+            wide.append(wide_slices(own))
             if len(own):
                 first.append(prefix(own, frequent, percent).view(np.int64))
                 homes.append([int(mix64(own ^ np.uint64(k * 0x9E3779B97F4A7C15 + 1 & (1 << 64) - 1)).min().view(np.int64)) for k in range(HOMES)])
@@ -154,7 +179,7 @@ def _profiles(rows: DataFrame, frequent: np.ndarray, words: int, percent: int) -
                 first.append([])
                 homes.append([])
         mark = np.frombuffer(b"".join(marks), "<i8").reshape(-1, 2)
-        arrays = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(mark[:, 0]), pa.array(mark[:, 1]), pa.array(homes, pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int64())), pa.array(counts, pa.binary())]
+        arrays = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(mark[:, 0]), pa.array(mark[:, 1]), pa.array(homes, pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int64())), pa.array(counts, pa.binary()), pa.array(wide, pa.binary())]
         return pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in PROFILE.split(", ")])
 
     return map_arrow(rows, step, PROFILE)
@@ -167,9 +192,31 @@ def _marks(batch: pa.RecordBatch, name: str) -> np.ndarray:
 def _within(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
     """Whether the slices' bound allows a link: slices (row, slice), sizes."""
     differ = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
-    # inter >= percent/100 * union and union = na + nb - inter
-    common = -(-percent * (na + nb) // (100 + percent))
-    return differ <= na + nb - 2 * common
+    return differ <= _most_apart(na, nb, percent)
+
+
+def _wide_apart(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """In how many wide slices sets differ; of two numbers of slices the smaller counts, the other's are added up to it."""
+    out = np.zeros(len(a), np.int64)
+    sizes = np.array([[len(x), len(y)] for x, y in zip(a, b, strict=True)]).reshape(-1, 2)
+    for la, lb in np.unique(sizes, axis=0):
+        at = np.flatnonzero((sizes[:, 0] == la) & (sizes[:, 1] == lb))
+        size = int(min(la, lb))
+        x, y = (np.bitwise_xor.reduce(np.frombuffer(b"".join(side[k] for k in at), np.uint8).reshape(len(at), -1, size), axis=1) for side in (a, b))
+        out[at] = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+    return out
+
+
+def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the bound of the wide slices leaves."""
+    of = lambda side: classes.select(F.col("cls").alias(side), F.col("n").alias(f"n{side}"), F.col("wide").alias(f"w{side}"))
+    met = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "wa", "wb")
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = _wide_apart(column(batch, "wa"), column(batch, "wb")) <= _most_apart(batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+
+    return map_arrow(met, step, "a long, b long", 4096)
 
 
 def _star_pairs(classes: DataFrame, percent: int) -> DataFrame:
@@ -189,19 +236,19 @@ def _star_pairs(classes: DataFrame, percent: int) -> DataFrame:
 def _region_pairs(members: DataFrame, most: int, percent: int) -> DataFrame:
     """(a, b, more): candidates of different components within regions; more says that a document held others back.
 
-    ``members``: s, before, cls, comp, n, slices.  Sorted by region and size, streamed
+    ``members``: s, before, at (places before s in the order), cls, comp, n, slices.  Sorted by region and size, streamed
     with the rows that later ones of the region can still meet.
     """
-    names = ["s", "before", "cls", "comp", "n", "slices"]
+    names = ["s", "before", "at", "cls", "comp", "n", "slices"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            rows = *(batch.column(k).to_numpy() for k in range(5)), _marks(batch, "slices")
+            rows = *(batch.column(k).to_numpy() for k in range(6)), _marks(batch, "slices")
             new = batch.num_rows
             if held is not None:
                 rows = tuple(np.concatenate(p) for p in zip(held, rows, strict=True))
-            s, before, cls, comp, n, marks = rows
+            s, before, place, cls, comp, n, marks = rows
             fresh = len(s) - new  # rows before have met each other
             found = []
             i = np.arange(len(s) - 1)
@@ -210,7 +257,7 @@ def _region_pairs(members: DataFrame, most: int, percent: int) -> DataFrame:
                 j = i + d
                 ok = (s[i] == s[j]) & (n[i] * 100 >= n[j] * percent)
                 i, j = i[ok], j[ok]
-                test = (j >= fresh) & (comp[i] != comp[j]) & (before[i] != before[j])
+                test = (j >= fresh) & (comp[i] != comp[j]) & (before[i] != before[j]) & (place[i] + place[j] <= _most_apart(n[i], n[j], percent))
                 for at in range(0, int(test.sum()), 1 << 16):
                     ti, tj = i[test][at : at + (1 << 16)], j[test][at : at + (1 << 16)]
                     good = _within(marks[ti], marks[tj], n[ti], n[tj], percent)
@@ -281,7 +328,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     profiles = cut(_profiles(rows, _frequent(rows, words, percent), words, percent), "profiles")
     real = profiles.where("n > 0 AND doc_id IS NOT NULL")
-    grouped = real.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("homes").alias("homes"), F.first("first").alias("first"), F.first("slices").alias("slices"))
+    grouped = real.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("homes").alias("homes"), F.first("first").alias("first"), F.first("slices").alias("slices"), F.first("wide").alias("wide"))
     classes = cut(grouped.withColumn("cls", F.monotonically_increasing_id()), "classes")
     named = classes.select("h1", "h2", "cls")
 
@@ -290,13 +337,19 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     links = cut(of_doc.select("a", F.explode("all").alias("b")).where("a <> b"), "links")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return cut(links.unionByName(_verify(pairs, classes, rows, words, percent)), "links")
-
-    links = verified(cut(_star_pairs(classes, percent), "star-pairs"))
+        """The links so far and those among ``pairs``."""
+        close = cut(_close(pairs, classes, percent), "close")
+        new = cut(links.unionByName(_verify(close, classes, rows, words, percent)), "links")
+        discard(close, links)
+        return new
+
+    star = cut(_star_pairs(classes, percent), "star-pairs")
+    links = verified(star)
     comps = components(links)
+    discard(star)
 
     # before: the shingle that comes before s in the order, of the first one the class itself, which no other has
-    postings = classes.select("cls", F.posexplode("first").alias("at", "s"), "first").select("cls", "s", F.when(F.col("at") > 0, F.get("first", F.col("at") - 1)).otherwise(F.col("cls")).alias("before"))
+    postings = classes.select("cls", F.posexplode("first").alias("at", "s"), "first").select("cls", "s", F.when(F.col("at") > 0, F.get("first", F.col("at") - 1)).otherwise(F.col("cls")).alias("before"), F.col("at").cast("long").alias("at"))
     shared = postings.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s")
     met = cut(postings.join(shared, "s"), "postings")
     light = classes.select("cls", "n", "slices")
@@ -308,10 +361,13 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         untried = pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs
         if not untried.isEmpty():
             links = verified(untried)
-            comps = components(links)
+            old, comps = comps, components(links)
+            discard(old)
         if pairs.where("more").isEmpty():
             break
-        tried = cut(pairs.select("a", "b") if tried is None else tried.unionByName(untried.select("a", "b")), "tried")
+        before, tried = tried, cut(pairs.select("a", "b") if tried is None else tried.unionByName(untried.select("a", "b")), "tried")
+        discard(pairs, before)
+    discard(pairs, tried, met, links)
 
     of_class = classes.select("h1", "h2", "cls", "doc_id").join(comps.select(F.col("id").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = of_class.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
@@ -322,21 +378,30 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents with their columns, of each component only the one with the smallest doc_id, repeated rows of it too; rows without doc_id stay."""
-    gone = jaccard_components(docs, words, percent).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone.distinct(), F.col("doc_id") == F.col("__gone"), "left_anti")
+    found = jaccard_components(docs, words, percent)
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
 
 
 def one_row_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``one_of_each`` with one row of each kept doc_id.
 
     Of the rows that share a doc_id, the one with the longest text stays, and
-    of those the least by its columns in their order.  Rows without doc_id
-    belong to no component: all of them stay, copies included.
+    of those the least by its columns in their order, as far as they can be
+    ordered.  Rows without doc_id belong to no component: all of them stay,
+    copies included.  Null and empty texts link with nothing and stay.  An
+    empty table gives an empty one; further columns may have any names.
     """
-    own = one_of_each(docs, words, percent).withColumn("__row", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
-    more = [F.col(c) for c in docs.columns if c != "doc_id"]
-    first = own.groupBy("doc_id", "__row").agg(F.min(F.struct((-F.coalesce(F.length("text"), F.lit(0))).alias("__size"), *more)).alias("__first"))
-    return first.select(*(F.col(c if c == "doc_id" else f"__first.{c}") for c in docs.columns))
+    own = one_of_each(docs, words, percent)
+    # only rows of repeated ids are grouped; all others pass where they lie
+    again = cut(docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("again")), "repeated-ids")
+    single = own.join(again, own["doc_id"] == again["again"], "left_anti")
+    several = own.join(again, own["doc_id"] == again["again"], "left_semi")
+    columns = [F.col(quoted(c)) for c in docs.columns]
+    order = [c for c, f in zip(columns, docs.schema, strict=True) if not isinstance(f.dataType, (MapType, VariantType)) and f.name != "doc_id"]
+    row = F.struct((-F.coalesce(F.length("text"), F.lit(0))).alias("size"), *(c.alias(f"c{k}") for k, c in enumerate(order)))
+    first = several.groupBy("doc_id").agg(F.min_by(F.struct(*(c.alias(f"c{k}") for k, c in enumerate(columns))), row).alias("first"))
+    return single.unionAll(first.select(*(F.col(f"first.c{k}").alias(c) for k, c in enumerate(docs.columns))))
 
 
 def op1_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
