@@ -17,6 +17,30 @@ from ..storage import stage as cut  # noqa: F401
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 
 
+#: Rows of an Arrow batch, in sessions that have not chosen a number themselves.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches are counted in rows, whatever their size, and texts may be long: lower Spark's default number for the session."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(setting) == "10000":
+        spark.conf.set(setting, str(BATCH_ROWS))
+
+
+def joined(batches: Iterator[pa.RecordBatch], rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """The batches, put together to about so many rows, for steps that take small rows many at a time."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if size:
+        yield pa.concat_batches(held)
+
+
 def map_arrow(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, most: int | None = None) -> DataFrame:
     """Apply ``step`` to each Arrow batch where it lies, or to its slices of at most ``most`` rows; no shuffle, one batch in memory."""
 
@@ -28,6 +52,7 @@ def map_arrow(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | N
                 if out is not None:
                     yield out
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

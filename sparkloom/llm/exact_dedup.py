@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import small_batches, cut
 
 PREFIX_BYTES = 24
 RUNS = "doc_id long, text_sha256 string, part int, run long, run_start boolean, head binary, tail binary"
@@ -77,6 +77,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     the input are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
+    small_batches(docs.sparkSession)
     normal = rows.mapInArrow(_normalise, "doc_id long, prefix binary, digest binary, norm binary")
     dealt = normal.repartitionByRange("prefix", "digest", F.col("doc_id").desc_nulls_last())
     ordered = dealt.sortWithinPartitions("prefix", "digest", "norm", F.col("doc_id").desc_nulls_last())

@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, VariantType
 
-from .common import column, cut, discard, map_arrow, mix64, quoted
+from .common import column, cut, discard, joined, map_arrow, mix64, quoted
 from .graph import components
 
 WORDS, PERCENT = 3, 90
@@ -243,7 +243,7 @@ def _region_pairs(members: DataFrame, most: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for batch in batches:
+        for batch in joined(batches):
             rows = *(batch.column(k).to_numpy() for k in range(6)), _marks(batch, "slices")
             new = batch.num_rows
             if held is not None:

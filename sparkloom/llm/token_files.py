@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow
+from .common import cut, map_arrow, small_batches
 from .range_coder import BLOCK, LANES, decode_blocks, encode_blocks
 
 END_ID = 2
@@ -145,6 +145,7 @@ def write_token_files(docs: DataFrame, tokenizer: str | None = None, end_id: int
         if ready:
             yield _rows(ready, part)
 
+    small_batches(docs.sparkSession)
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return cut(ordered.mapInArrow(run, FILE), "token-files")
 
