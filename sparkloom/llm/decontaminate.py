@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -149,8 +150,11 @@ def _automaton(key: str, items: list[tuple[str | None, bytes]], window: int) ->
 FOUND = "n_words long, spans array<array<int>>, items array<string>, longest int"
 
 
-def _scan(docs: DataFrame, items: list[tuple[str | None, bytes]], window: int) -> DataFrame:
-    """doc_id, text, rest and what the automaton of ``items`` finds."""
+Then = tuple[Callable[[pa.RecordBatch], pa.RecordBatch], StructType]
+
+
+def _scan(docs: DataFrame, items: list[tuple[str | None, bytes]], window: int, then: Then | None = None) -> DataFrame:
+    """doc_id, text, rest and what the automaton of ``items`` finds; ``then`` is a further step in the same pass and its schema."""
     key = hashlib.sha256(repr((window, items)).encode()).hexdigest()
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -165,18 +169,20 @@ def _scan(docs: DataFrame, items: list[tuple[str | None, bytes]], window: int) -
             pa.array([sorted(x for x in f[2] if x is not None) for f in found], pa.list_(pa.string())),
             pa.array([f[3] for f in found], pa.int32()),
         ]
-        return pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*batch.schema.names, "n_words", "spans", "items", "longest"])
+        out = pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*batch.schema.names, "n_words", "spans", "items", "longest"])
+        return then[0](out) if then else out
 
-    return map_arrow(docs, step, extended(docs, FOUND))
+    return map_arrow(docs, step, then[1] if then else extended(docs, FOUND))
 
 
-def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, then: Then | None = None) -> DataFrame:
     """One row per input row: doc_id, text (binary), rest (a struct of the other columns), n_words, spans (word positions
     [start, end), merged), items (ids as strings, sorted), longest (words of the longest match).
 
     Null texts have no words; items without words match nothing; repeated
     items count once by id; an item with a null id hits but isn't listed.  An
     empty benchmark finds nothing; an empty table gives an empty result.
+    ``then`` is applied to what was found in the same pass.
     """
     rows = with_rest(docs)
     own = benchmark.select(F.col("item_id").cast("string").alias("name"), F.col("text").cast("binary").alias("item")).where(F.length("item") > 0)
@@ -188,7 +194,7 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
         return sorted(((r["name"], bytes(r["item"])) for r in dealt.where(F.col("shard") == k).collect()), key=repr)
 
     if shards == 1:
-        return _scan(rows, items(0), window)
+        return _scan(rows, items(0), window, then)
     keyed = rows.withColumn("key", F.sha2(F.coalesce("text", F.lit(b"")), 256))
     found = None
     for k in range(shards):
@@ -204,9 +210,10 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
         longest = [x or 0 for x in column(batch, "longest")]
         arrays = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text", "rest")]
         arrays += [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(items_, pa.list_(pa.string())), pa.array(longest, pa.int32())]
-        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "text", "rest", "n_words", "spans", "items", "longest"])
+        out = pa.RecordBatch.from_arrays(arrays, ["doc_id", "text", "rest", "n_words", "spans", "items", "longest"])
+        return then[0](out) if then else out
 
-    return map_arrow(joined, step, extended(rows, FOUND))
+    return map_arrow(joined, step, then[1] if then else extended(rows, FOUND))
 
 
 def _merge(spans: list[list[int]]) -> list[list[int]]:
@@ -236,7 +243,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     Null texts become empty and stay.  Repeated rows are cut alike.  An empty
     table gives an empty one, an empty benchmark changes nothing else.
     """
-    found = find_spans(docs, benchmark, window)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep, cleaned = [], []
@@ -246,8 +252,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
         out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(cleaned, pa.binary()).cast(pa.string()), batch.column(batch.schema.get_field_index("rest"))], ["doc_id", "text", "rest"])
         return out.filter(pa.array(keep))
 
-    own = StructType.fromDDL("doc_id long, text string").add(found.schema["rest"])
-    return restored(map_arrow(found, step, own), docs)
+    own = StructType.fromDDL("doc_id long, text string").add(with_rest(docs).schema["rest"])
+    return restored(find_spans(docs, benchmark, window, (step, own)), docs)
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -332,43 +332,56 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
+def _encoded(batch: pa.RecordBatch, path: str, seed: int, dropout: float) -> pa.RecordBatch:
+    ids, sizes = pieces(path).encode(column(batch, "text"), column(batch, "doc_id"), seed, dropout)
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(ids))
+    return pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(sizes)], ["doc_id", "text", "ids", "n_tokens"])
+
+
+def _decoded(batch: pa.RecordBatch, path: str) -> pa.RecordBatch:
+    lists = batch.column(batch.schema.get_field_index("ids"))
+    taken = pieces(path).array.take(lists.flatten())
+    ends = np.concatenate([[0], np.cumsum([len(x) if x is not None else 0 for x in lists])]) if lists.null_count else (np.asarray(lists.offsets) - lists.offsets[0].as_py())
+    data = memoryview(b"".join(taken.to_pylist())) if len(taken) and taken.offset else memoryview(taken.buffers()[2] or b"")
+    at = np.concatenate([[0], np.cumsum(pc.binary_length(taken).to_numpy(zero_copy_only=False))])[ends]
+    # the first piece starts with the space that encoding put before the text
+    said = [bytes(data[a + 1 : b]).decode() for a, b in zip(at[:-1], at[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.string())], [*batch.schema.names, "decoded"])
+
+
+ENCODED = "doc_id long, text string, ids array<int>, n_tokens long"
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
 def encode(docs: DataFrame, model: str | None = None, seed: int = SEED, dropout: float = DROPOUT) -> DataFrame:
     """doc_id, text, ids (array of int), n_tokens.
 
     Null text counts as empty, which has no ids.  Rows that share doc_id and
     text get the same ids; where doc_id is null, the text is the key in its
     place.  An empty table gives an empty result; other columns are ignored.
+    Texts of any length are encoded whole.
     """
     path = model or default_model()
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, sizes = pieces(path).encode(column(batch, "text"), column(batch, "doc_id"), seed, dropout)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(ids))
-        return pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(sizes)], ["doc_id", "text", "ids", "n_tokens"])
-
-    return map_arrow(rows, step, "doc_id long, text string, ids array<int>, n_tokens long", SLICE)
+    return map_arrow(_rows(docs), lambda batch: _encoded(batch, path, seed, dropout), ENCODED, SLICE)
 
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     """``decoded`` added: the text that the ids stand for.  Null or no ids give the empty text; ids outside the model fail."""
     path = model or default_model()
+    return map_arrow(encoded, lambda batch: _decoded(batch, path), StructType([*encoded.schema.fields]).add("decoded", StringType()), SLICE)
 
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lists = batch.column(batch.schema.get_field_index("ids"))
-        taken = pieces(path).array.take(lists.flatten())
-        ends = np.concatenate([[0], np.cumsum([len(x) if x is not None else 0 for x in lists])]) if lists.null_count else (np.asarray(lists.offsets) - lists.offsets[0].as_py())
-        data = memoryview(b"".join(taken.to_pylist())) if len(taken) and taken.offset else memoryview(taken.buffers()[2] or b"")
-        at = np.concatenate([[0], np.cumsum(pc.binary_length(taken).to_numpy(zero_copy_only=False))])[ends]
-        # the first piece starts with the space that encoding put before the text
-        said = [bytes(data[a + 1 : b]).decode() for a, b in zip(at[:-1], at[1:], strict=True)]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.string())], [*batch.schema.names, "decoded"])
 
-    return map_arrow(encoded, step, StructType([*encoded.schema.fields]).add("decoded", StringType()), SLICE)
+def round_trip(docs: DataFrame, model: str | None = None, seed: int = SEED, dropout: float = DROPOUT) -> DataFrame:
+    """``decode`` of ``encode`` in one pass, so that a task needs one Python worker and not two."""
+    path = model or default_model()
+    return map_arrow(_rows(docs), lambda batch: _decoded(_encoded(batch, path, seed, dropout), path), f"{ENCODED}, decoded string", SLICE)
 
 
 def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    done = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    done = round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return done.select(
         "doc_id", "n_tokens", F.crc32(F.array_join("ids", ",").cast("binary")).alias("ids_crc32"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("lossless")
     )
