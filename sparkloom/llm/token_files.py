@@ -151,7 +151,8 @@ def write_token_files(docs: DataFrame, tokenizer: str | None = None, end_id: int
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
-    """doc_id, start (ids of all documents before), n_tokens, ids (little-endian uint16) of each document; a bad block fails."""
+    """doc_id, start (ids of all documents before), n_tokens, ids (little-endian uint16) and ids_crc32 (of the ids as little-endian
+    uint32) of each document; a bad block fails, no rows give no documents."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         sizes, crcs, blocks = (batch.column(k).to_pylist() for k in (4, 5, 6))
@@ -172,21 +173,16 @@ def read_token_files(files: DataFrame) -> DataFrame:
             for m in own:
                 ids.append(data[2 * at : 2 * (at + m)])
                 at += m
+        crcs_ = [zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in ids]
         parts = np.repeat(batch.column(0).to_numpy(), [len(x) for x in batch.column(3)])
-        return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64()), pa.array(ids, pa.binary())], ["part", "doc_id", "offset", "n_tokens", "ids"])
+        return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64()), pa.array(ids, pa.binary()), pa.array(crcs_, pa.int64())], ["part", "doc_id", "offset", "n_tokens", "ids", "ids_crc32"])
 
     totals = files.select("part", F.element_at("offsets", -1).alias("o"), F.element_at("lengths", -1).alias("l")).groupBy("part").agg(F.max(F.col("o") + F.col("l")).alias("total"))
     # one row a partition
     bases = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
-    docs = map_arrow(files, step, "part int, doc_id long, offset long, n_tokens long, ids binary", LANES * BLOCK // ROW_IDS)
-    return docs.join(bases, "part").select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids")
+    docs = map_arrow(files, step, "part int, doc_id long, offset long, n_tokens long, ids binary, ids_crc32 long", LANES * BLOCK // ROW_IDS)
+    return docs.join(bases, "part").select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids", "ids_crc32")
 
 
 def op4_token_files(spark, sf_dir: str) -> DataFrame:
-    found = read_token_files(write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet")))
-
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        crcs = [zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in batch.column(3).to_pylist()]
-        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return map_arrow(found, step, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_token_files(write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"))).select("doc_id", "start", "n_tokens", "ids_crc32")
