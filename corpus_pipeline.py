@@ -9,17 +9,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom import storage
 from sparkloom.llm import decontaminate, jaccard_join, line_dedup, pieces, quality
 
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go; rows that share doc_id and text go or stay together, null texts count as empty."""
     return quality.quality_filter(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of 40 code points or more in five documents or more stay in the largest doc_id alone; every row stays, null texts become empty."""
     return line_dedup.line_dedup(docs)
 
 
@@ -29,12 +31,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_benchmark_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark windows are cut from the texts; rows with over half of their words hit go, all others stay."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_tokens, and whether decoding gives the text back."""
-    done = pieces.decode(pieces.encode(docs))
+    """doc_id, ids, n_tokens, and whether decoding gives the text back; one row for each row, null texts have no ids."""
+    done = pieces.round_trip(docs)
     return done.select("doc_id", "ids", "n_tokens", (F.col("decoded") == F.col("text")).alias("lossless"))
 
 
@@ -50,7 +53,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what each keeps is written, as the next reads it several times."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (name, stage) in enumerate(STAGES):
+        done = stage(spark, docs, sf_dir)
+        before, docs = docs, storage.stage(done, f"pipeline-{name}") if k < len(STAGES) - 1 else done
+        if k < len(STAGES) - 1:
+            storage.discard(before)
     return docs
