@@ -133,3 +133,75 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> D
     rated = met.withColumn("c", c).withColumn("best", F.max("c").over(Window.partitionBy("src", "name")))
     kept = rated.where(F.col("best").isNull() | (F.col("c") == F.col("best")))
     return kept.groupBy("src", F.when(F.col("best").isNull(), F.concat(F.lit("callee:"), F.col("name"))).otherwise(F.col("symbol")).alias("dst")).agg(F.max(F.coalesce("c", F.lit(0.2))).alias("confidence"))
+
+
+def unresolved_callers(edges: DataFrame, names: DataFrame, least: float = 0.2) -> DataFrame:
+    """name, src, confidence: who calls a name (column name) that no symbol was found for."""
+    own = names.select("name", F.concat(F.lit("callee:"), F.col("name")).alias("dst"))
+    return edges.where(F.col("confidence") >= least).join(own, "dst").groupBy("name", "src").agg(F.max("confidence").alias("confidence"))
+
+
+def nearest_of(reached: DataFrame, wanted: DataFrame, limit: int = 8) -> DataFrame:
+    """The nodes of a walk that are in ``wanted`` (node), the nearest and surest ``limit`` of each root: tests of what changed, say."""
+    rank = F.row_number().over(Window.partitionBy("root").orderBy("distance", F.desc("confidence"), "node"))
+    return reached.where("distance > 0").join(wanted.select("node").distinct(), "node", "left_semi").withColumn("rank", rank).where(F.col("rank") <= limit)
+
+
+def siblings(contains: DataFrame, reached: DataFrame, confidence: float = 0.5) -> DataFrame:
+    """root, node, distance, confidence: the other members of the folders that hold reached nodes, one step further."""
+    folders = reached.join(contains.select(F.col("dst").alias("node"), F.col("src").alias("folder")), "node").groupBy("root", "folder").agg(F.min("distance").alias("distance"))
+    near = folders.join(contains.select(F.col("src").alias("folder"), F.col("dst").alias("node")), "folder").groupBy("root", "node").agg((F.min("distance") + 1).alias("distance"))
+    return near.join(reached.select("root", "node"), ["root", "node"], "left_anti").withColumn("confidence", F.lit(confidence))
+
+
+def supersession(steps: DataFrame, hops: int = 30) -> DataFrame:
+    """id, last, hops, cycle: where each item's chain of successors (id, superseded_by) ends.
+
+    Chains are followed by doubling, so a chain of n links takes log2(n) joins; one of over ``2 ** hops`` links or without
+    an end is a cycle, which has no last item.
+    """
+    links = stage(steps.where("superseded_by IS NOT NULL").select("id", "superseded_by"), "successors")
+    at = links.select("id", F.col("superseded_by").alias("last"), F.lit(1).cast("long").alias("hops"))
+    n, most = links.count(), 1
+    for _ in range(hops):
+        to = at.select(F.col("id").alias("last"), F.col("last").alias("further"), F.col("hops").alias("more"))
+        at = stage(at.join(to, "last", "left").select("id", F.coalesce("further", "last").alias("last"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops")), "chains")
+        most *= 2
+        if most > n or at.join(links.select(F.col("id").alias("last")), "last", "left_semi").isEmpty():
+            break
+    open_ = at.join(links.select(F.col("id").alias("last"), F.lit(True).alias("goes_on")), "last", "left")
+    cycle = F.coalesce("goes_on", F.lit(False))
+    return open_.select("id", F.when(~cycle, F.col("last")).alias("last"), F.when(~cycle, F.col("hops")).alias("hops"), cycle.alias("cycle"))
+
+
+def relations(edges: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """node, other, kind, way, label: edges of the given nodes without those to themselves, each once; a node without a label is
+    named by its key after the colon."""
+    met = neighbourhood(edges.where("src <> dst"), nodes).distinct()
+    name = F.coalesce("label", F.regexp_extract("other", "^[^:]*:(.*)$", 1))
+    return met.join(labels.select(F.col("node").alias("other"), "label"), "other", "left").select("node", "other", "kind", "way", name.alias("label"))
+
+
+def overview(files: DataFrame, overlay: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
+    """path, scope, n_symbols, n_imports: visible files, an overlay's (path, status) before the committed ones, with their symbols
+    and the different other visible files they import."""
+    own = files.join(overlay, "path", "left_anti").select("path", F.lit("committed").alias("scope"))
+    shown = own.unionByName(overlay.where("status <> 'deleted'").select("path", F.lit("overlay").alias("scope")))
+    pairs = imports.where("src <> dst").select("src", "dst").distinct().join(shown.select(F.col("path").alias("dst")), "dst", "left_semi").groupBy(F.col("src").alias("path")).agg(F.count("*").alias("n_imports"))
+    counts = symbols.groupBy("path").agg(F.count("*").alias("n_symbols"))
+    return shown.join(counts, "path", "left").join(pairs, "path", "left").fillna(0, ["n_symbols", "n_imports"])
+
+
+def capped_families(files: DataFrame, group: str, family: str, size: str, name: str, cap: int) -> DataFrame:
+    """group, family, n_files, total: of each group the ``cap`` largest files, gathered by family."""
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(size), name))
+    return files.withColumn("rank", rank).where(F.col("rank") <= cap).groupBy(group, family).agg(F.count("*").alias("n_files"), F.sum(size).alias("total"))
+
+
+def outline(children: DataFrame, parent: str, name: str, size: str, most: int = 60) -> DataFrame:
+    """parent, name, place, n_more: the largest ``most`` children of each folder, and a row without a name for how many more there are."""
+    rank = F.row_number().over(Window.partitionBy(parent).orderBy(F.desc(size), name))
+    ranked = children.withColumn("place", rank)
+    shown = ranked.where(F.col("place") <= most).select(parent, name, "place", F.lit(0).cast("long").alias("n_more"))
+    more = children.groupBy(parent).agg(F.count("*").alias("n")).where(F.col("n") > most)
+    return shown.unionByName(more.select(parent, F.lit(None).cast(children.schema[name].dataType).alias(name), F.lit(most + 1).alias("place"), (F.col("n") - most).alias("n_more")))

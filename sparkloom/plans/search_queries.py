@@ -116,7 +116,7 @@ fused AS (SELECT q, doc, array_to_string(list_sort(list_distinct(list(source))),
 
 
 def _fused(d):
-    index, terms = search.postings(d.documents), search.question_terms(d.benchmark)
+    terms, index = search.question_index(d.documents, d.benchmark)
     weights = search.idf_weights(terms, search.document_frequency(index, terms), d.documents.count())
     hits = index.join(weights, "term").groupBy("q", "doc").agg(F.round(F.sum("idf"), 6).alias("idf"), F.count("*").alias("n"))
     content = search.top_k(hits.select("q", "doc", F.col("idf").alias("score")), 10).select("q", "doc", F.lit("content").alias("source"), "rank")
@@ -152,10 +152,9 @@ def _measures(docs):
     return docs.select("doc_id", t.token_estimate(F.col("text")).alias("tokens"), F.sha2(t.normal(F.col("text")), 256).alias("normal_sha256"))
 
 
-@query("SELECT doc_id, greatest(1, ceil(length(text) / 4.0))::BIGINT AS tokens, sha256(trim(regexp_replace(lower(text), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) AS normal_sha256 FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, greatest(1, ceil(length(text) / 4.0))::BIGINT AS tokens, sha256(trim(regexp_replace(lower(text), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) AS normal_sha256 FROM documents")
 def text_measures(spark, sf_dir):
-    """The English documents, for the comparison with SQL; ``text_measures_all`` measures every document."""
-    return _measures(Tables(spark, sf_dir).documents.where("lang = 'en'"))
+    return _measures(Tables(spark, sf_dir).documents)
 
 
 @query()
