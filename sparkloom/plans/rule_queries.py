@@ -41,19 +41,19 @@ def line_diff(spark, sf_dir):
     return rules.line_diff(before, after, "doc_id", "text")
 
 
-_HISTORY = "h AS (SELECT o_custkey AS item, o_orderkey AS "at", CASE o_orderstatus WHEN 'O' THEN 'PROPOSED' WHEN 'F' THEN 'ACCEPTED' ELSE 'REJECTED' END AS state FROM orders)"
+_HISTORY = "h AS (SELECT o_custkey AS item, o_orderkey AS place, CASE o_orderstatus WHEN 'O' THEN 'PROPOSED' WHEN 'F' THEN 'ACCEPTED' ELSE 'REJECTED' END AS state FROM orders)"
 
 
 def _history(d):
     s = F.col("o_orderstatus")
-    return d.orders.select(F.col("o_custkey").alias("item"), F.col("o_orderkey").alias("at"), F.when(s == "O", "PROPOSED").when(s == "F", "ACCEPTED").otherwise("REJECTED").alias("state"))
+    return d.orders.select(F.col("o_custkey").alias("item"), F.col("o_orderkey").alias("place"), F.when(s == "O", "PROPOSED").when(s == "F", "ACCEPTED").otherwise("REJECTED").alias("state"))
 
 
-@query(f"""WITH {_HISTORY}, b AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY item ORDER BY "at"), 'NEW') AS before FROM h)
-SELECT item, "at", before, state FROM b WHERE before || '>' || state NOT IN ('NEW>PROPOSED', 'PROPOSED>ACCEPTED', 'PROPOSED>REJECTED', 'ACCEPTED>PROPOSED')""")
+@query(f"""WITH {_HISTORY}, b AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY item ORDER BY place), 'NEW') AS before FROM h)
+SELECT item, place, before, state FROM b WHERE before || '>' || state NOT IN ('NEW>PROPOSED', 'PROPOSED>ACCEPTED', 'PROPOSED>REJECTED', 'ACCEPTED>PROPOSED')""")
 def decision_faults(spark, sf_dir):
     legal = {"NEW": ["PROPOSED"], "PROPOSED": ["ACCEPTED", "REJECTED"], "ACCEPTED": ["PROPOSED"]}
-    return rules.move_faults(_history(Tables(spark, sf_dir)), "item", "at", "state", legal, "NEW").select("item", "at", "before", "state")
+    return rules.move_faults(_history(Tables(spark, sf_dir)), "item", "place", "state", legal, "NEW").select("item", "place", "before", "state")
 
 
 @query(f"WITH {_HISTORY} SELECT state AS stage, count(DISTINCT item) AS n FROM h WHERE state IN ('PROPOSED', 'ACCEPTED') GROUP BY state")
