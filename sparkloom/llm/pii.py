@@ -95,6 +95,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def shape(token: str) -> str:
     """Upper to X, lower (and any other letter) to x, digits to d, runs as one, 24 signs at most."""
+    if token.isascii() and token.isalpha():  # most words, at a glance
+        if token.islower():
+            return "x"
+        if token.isupper():
+            return "X"
+        if token[1:].islower():
+            return "Xx"
     out: list[str] = []
     for c in token:
         s = "d" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c
@@ -221,6 +228,10 @@ class Crf:
 
     def __init__(self, own: np.ndarray, before: np.ndarray, after: np.ndarray, move: np.ndarray, start: np.ndarray):
         self.own, self.before, self.after, self.move, self.start = own, before, after, move, start
+        self.rows: _Rows | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"rows": None}
 
     def emissions(self, tokens: list[str]) -> np.ndarray:
         feats = [list(features(t)) for t in tokens]
@@ -336,7 +347,7 @@ class _Rows:
         return found
 
     def rows(self, tokens: list[str]) -> np.ndarray:
-        if len(self.by_features) > ROWS or len(self.by_token) > 2 * ROWS:
+        if len(self.by_features) > ROWS or len(self.by_token) > 4 * ROWS:
             self.__init__(self.crf)
         get, row = self.by_token.get, self.row
         return np.array([found if (found := get(t)) is not None else row(t) for t in tokens], np.int32)
@@ -364,7 +375,8 @@ def crf_labels(batch: list[str], crf: Crf) -> list[list[tuple[int, np.ndarray]]]
     found: list[list[tuple[int, np.ndarray]]] = [[] for _ in batch]
     # the most that having y instead of O can gain by the transitions on both sides
     gain = (crf.move - crf.move[:, :1]).max(0) + (crf.move - crf.move[:1]).max(1)
-    weights, waiting, cells = _Rows(crf), [], 0
+    crf.rows = weights = crf.rows or _Rows(crf)  # a task keeps it from batch to batch
+    waiting, cells = [], 0
 
     def decode() -> None:
         waiting.sort(key=lambda w: len(w[2]))
