@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as t
-from sparkloom.operators import graph, search, tables
+from sparkloom.operators import graph, retrieval, search, tables
 from sparkloom.plans import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -55,7 +55,15 @@ def test_near_copies_against_brute_force(spark):
         for b, sb, y in sets[i + 1 :]:
             if sa == sb and x and y and round(len(x & y) / len(x | y), 6) >= 0.85:
                 want.add((min(a, b), max(a, b)))
-    assert {(r["a"], r["b"]) for r in search.near_copies(docs).collect()} == want
+    members, pairs = search.copy_classes(docs)
+    classes = defaultdict(list)
+    for r in members.collect():
+        classes[r["rep"]].append(r["doc"])
+    linked = [(r["a"], r["b"]) for r in pairs.collect()]
+    met = {(x, y) for a, b in linked + [(a, a) for a in classes] for x in classes[a] for y in classes[b]}
+    assert {(x, y) if x < y else (y, x) for x, y in met if x != y} == want
+    stars = {(rep, doc) for rep, docs in classes.items() for doc in docs if doc != rep}
+    assert {(r["a"], r["b"]) for r in search.near_copies(docs).collect()} == {*linked} | stars
 
 
 def test_text_measures_of_all_languages_against_brute_force(spark, tmp_path):
@@ -116,3 +124,44 @@ def test_text_helpers(spark):
     df = spark.createDataFrame([("see ADR-012 and rfc 7", "tests/test_a.py", "1.10.2", "<?xml?>")], "a string, p string, v string, x string")
     r = df.select(t.document_numbers(F.col("a")).alias("n"), t.path_kind(F.col("p")).alias("k"), t.version_key(F.col("v")).alias("v"), t.sniff_format(F.col("x")).alias("x"), t.suffix_keys(F.col("p")).alias("s")).first()
     assert (r["n"], r["k"], r["v"], r["x"], r["s"]) == (["12", "7"], "test", [1, 10, 2], "xml", ["tests.test_a", "test_a"])
+
+
+def test_copies_are_marked_best_first(spark):
+    long = " ".join(f"w{k}" for k in range(40))
+    texts = {"a": (long, "x"), "b": (long.upper() + ".", "y"), "c": (long + " more", "x"), "d": (long + " more", "y"), "e": ("", None), "f": ("", None), "g": (None, None), "h": ("other words here now", None), "i": ("Other words, here now!", None)}
+    fused = [(q, doc, float((k * 5 + q) % 9)) for q in (1, 2, 3) for k, doc in enumerate(texts) if (k + q) % 4]
+    tokens = lambda s: re.findall("[A-Za-z0-9]+", s.lower())
+
+    def runs(words):
+        return {" ".join(words[i : i + 3]) for i in range(len(words) - 2)} if len(words) > 2 else {" ".join(words)} if words else set()
+
+    want = {}
+    for q in (1, 2, 3):
+        kept = []
+        for _, doc, _ in sorted((r for r in fused if r[0] == q), key=lambda r: (-r[2], r[1])):
+            text, subject = texts[doc]
+            words = None if text is None else tokens(text)
+            same = [d for d, w, _ in kept if w is not None and w == words]
+            x = runs(words or [])
+            alike = [d for d, w, s in kept if s == subject and x and runs(w or []) and len(x & runs(w)) / len(x | runs(w)) >= 0.85]
+            want[q, doc] = (same + alike + [None])[0]
+            if want[q, doc] is None:
+                kept.append((doc, words, subject))
+    rows = spark.createDataFrame(fused, "q int, doc string, score double")
+    items = spark.createDataFrame([(d, *v) for d, v in texts.items()], "doc string, text string, subject string")
+    assert {(r["q"], r["doc"]): r["redundant_of"] for r in retrieval.mark_copies(rows, items).collect()} == want
+    assert any(want.values())
+
+
+def test_retrieval_pipeline_ranks_what_repeats_nothing(spark):
+    got = QUERIES["retrieval_pipeline"](spark, SF).collect()
+    finals = {(r["q"], r["doc"]): r["final"] for r in QUERIES["retrieval_reranked"](spark, SF).collect()}
+    by = defaultdict(list)
+    for r in got:
+        assert (r["rank"] is None) == (r["redundant_of"] is not None)
+        assert finals[r["q"], r["doc"]] == r["final"]
+        by[r["q"]].append(r)
+    for rows in by.values():
+        kept = sorted((r for r in rows if r["rank"]), key=lambda r: r["rank"])
+        assert [r["rank"] for r in kept] == list(range(1, len(kept) + 1)) and len(kept) <= 20
+        assert [(-r["final"], r["doc"]) for r in kept] == sorted((-r["final"], r["doc"]) for r in kept)
