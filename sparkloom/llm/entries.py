@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, exact_dedup, jaccard_join, line_dedup, pieces, pii, quality, token_files, toxicity
+from . import chat, clustering, decontaminate, digests, exact_dedup, jaccard_join, line_dedup, pieces, pii, quality, resample, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,9 @@ def queries() -> dict[str, Query]:
         "op8_pii": pii.op8_pii,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_quality": quality.op10_quality,
+        "op11_centroid_clustering": clustering.op11_centroid_clustering,
+        "op12_fingerprints": digests.op12_fingerprints,
+        "op13_importance_resampling": resample.op13_importance_resampling,
     }
 
 
@@ -31,4 +34,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_chat_format": chat.ORACLE,
         "op5_line_dedup": line_dedup.ORACLE,
         "op6_exact_dedup": exact_dedup.ORACLE,
+        "op11_centroid_clustering": clustering.ORACLE,
     }
