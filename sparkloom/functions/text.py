@@ -29,9 +29,13 @@ spec specs cover covers covered covering coverage
 SUFFIXES = "ility ation ement ments ings ions able ible ment ness ing ion ers ies ied ify ity ed er es ly s".split()
 MIN_STEM = 4
 
+# fixed value: where a word of several humps is split
 _CAMEL = "(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
 
 
+_HUMPED = "[a-z0-9][A-Z]|[A-Z][A-Z][a-z]"
+
+
 def strings(values) -> Column:
     return F.array(*(F.lit(v) for v in values))
 
@@ -40,8 +44,8 @@ def tokens(text: Column) -> Column:
     """Identifier-aware tokens, lower-cased: words of ASCII letters and digits, ``_`` separating; a word of several humps gives itself, then its humps."""
 
     def humps(word: Column) -> Column:
-        parts = F.transform(F.split(word, _CAMEL), F.lower)
-        return F.when(F.size(parts) > 1, F.concat(F.array(F.lower(word)), parts)).otherwise(parts)
+        # a word of both cases is split, any other is itself; a lambda has no common subexpressions, so the split stands in it once
+        return F.when(word.rlike(_HUMPED), F.array_insert(F.split(F.lower(F.regexp_replace(word, _CAMEL, "_")), "_"), 1, F.lower(word))).otherwise(F.array(F.lower(word)))
 
     return F.flatten(F.transform(F.regexp_extract_all(F.translate(text, "_", " "), F.lit("[A-Za-z0-9]+"), F.lit(0)), humps))
 
@@ -115,12 +119,32 @@ def token_estimate(text: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.length(text) / 4)).cast("long")
 
 
+def dotted(text: Column) -> Column:
+    """Every run of names joined by dots, in order: a name is a letter or underscore and letters, digits and underscores.
+
+    Signs and dots that join no names are cut out first, as a pattern that repeats a group would recurse once a name.
+    """
+    spaced = F.regexp_replace(text, "[^A-Za-z0-9_.]+|\\.(?![A-Za-z_])|(?<![A-Za-z0-9_])\\.", " ")
+    return F.filter(F.transform(F.split(spaced, " "), lambda w: F.regexp_replace(w, "^[0-9.]+", "")), lambda w: w != "")
+
+
 def identifiers(text: Column, most: int = 300) -> Column:
     """Distinct words and dotted names of 3 to 120 characters, case kept."""
-    found = F.regexp_extract_all(text, F.lit("[A-Za-z_][A-Za-z0-9_]*(?:\\.[A-Za-z_][A-Za-z0-9_]*)*"), F.lit(0))
+    found = dotted(text)
     return F.slice(F.array_distinct(F.filter(found, lambda w: F.length(w).between(3, 120))), 1, most)
 
 
+# fixed values: endings of file names, which are no part of a dotted name
+FILE_ENDINGS = "py md yaml yml json toml sql ts tsx js jsx sh txt lock cfg ini env html css csv xml".split()
+
+
+def names(text: Column, most: int = 300) -> Column:
+    """Distinct dotted names of up to 120 characters, without a file's ending, and their parts of 3 to 120, in order of appearance."""
+    bare = F.transform(dotted(text), lambda w: F.regexp_replace(w, f"(?i)\\.(?:{'|'.join(FILE_ENDINGS)})$", ""))
+    each = F.transform(bare, lambda w: F.filter(F.concat(F.when(w.contains("."), F.array(w)).otherwise(F.array().cast("array<string>")), F.split(w, "\\.")), lambda p: (F.length(p) <= 120) & ((F.length(p) >= 3) | p.contains("."))))
+    return F.slice(F.array_distinct(F.flatten(each)), 1, most)
+
+
 def document_numbers(text: Column, most: int = 4) -> Column:
     """Numbers that follow ADR, RFC or decision."""
     found = F.regexp_extract_all(text, F.lit("(?i)\\b(?:adr|rfc|decision)[ #-]*0*([0-9]+)"), F.lit(1))
@@ -129,7 +153,8 @@ def document_numbers(text: Column, most: int = 4) -> Column:
 
 def redact(text: Column) -> Column:
     """Credentials in URLs and values assigned to secret names become ***."""
-    urls = F.regexp_replace(text, "(?i)([a-z][a-z0-9+.-]*://)[^/\\s:@]+:[^/\\s@]+@", "$1***@")
+    # a scheme begins where no letter or sign of one stands before, so that a long word is tried once and not from each letter
+    urls = F.regexp_replace(text, "(?i)(?<![a-z0-9+.-])(?=[0-9+.-]*+[a-z])([a-z0-9+.-]++://)[^/\\s:@]++:[^/\\s@]++@", "$1***@")
     return F.regexp_replace(urls, "(?i)((?:password|passwd|secret|token|api_?key)\\s*[=:]\\s*)[^\\s,;]+", "$1***")
 
 
