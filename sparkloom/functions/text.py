@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: stop words of the term selector
@@ -72,6 +72,17 @@ def stem(word: Column) -> Column:
     return out.otherwise(w)
 
 
+def of_stems(rows: DataFrame, word: str, terms: DataFrame) -> DataFrame:
+    """The rows whose lower-case ``word`` has a stem in ``terms`` (term), with it as ``term``.
+
+    A stem keeps a word's first MIN_STEM letters, so most words are told apart by them and never stemmed.
+    """
+    wanted = terms.select("term").distinct()
+    start = F.substring(word, 1, MIN_STEM)
+    likely = rows.join(wanted.select(F.substring("term", 1, MIN_STEM).alias("start")).distinct(), start == F.col("start"), "left_semi")
+    return likely.withColumn("term", stem(F.col(word))).join(wanted, "term", "left_semi")
+
+
 def stems_match(a: Column, b: Column) -> Column:
     """Equal, or a shared start of MIN_STEM letters or more that lacks one letter of the shorter at most."""
     n = F.greatest(F.lit(MIN_STEM), F.least(F.length(a), F.length(b)) - 1)

@@ -42,7 +42,7 @@ def field_postings(chunks: DataFrame, terms: DataFrame) -> DataFrame:
         return F.transform(t.tokens(F.coalesce(F.col(c), F.lit(""))), lambda w: F.struct(w.alias("w"), F.lit(heading).alias("h"), F.lit(path).alias("p")))
 
     words = chunks.select("path", "ordinal", F.explode(F.concat(tagged("text", False, False), tagged("heading", True, False), tagged("path", False, True))).alias("x"))
-    held = words.select("path", "ordinal", t.stem(F.col("x.w")).alias("term"), "x.h", "x.p").join(terms.select("term").distinct(), "term", "left_semi")
+    held = t.of_stems(words.select("path", "ordinal", F.col("x.w").alias("w"), "x.h", "x.p"), "w", terms)
     return held.groupBy("path", "ordinal", "term").agg(F.max("h").alias("in_heading"), F.max("p").alias("in_path"))
 
 

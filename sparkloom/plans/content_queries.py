@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import chunks, content
+from ..operators import chunks, content, covers
 from .files import files
 from .registry import Tables, query
 from .search_queries import _FILLER, _stem_sql, distinct, kept, tok
@@ -108,3 +108,16 @@ def content_retriever(spark, sf_dir):
     """Hits by text and by file name in one list."""
     d = Tables(spark, sf_dir)
     return content.content_retriever(_sections(d), _questions(d))
+
+
+@query()
+def text_search(spark, sf_dir):
+    """Two words or two others but not a fifth, out of each benchmark text, in documents with their first line as title; no SQL: tested
+    against all stretches of small texts."""
+    d = Tables(spark, sf_dir)
+    text = F.coalesce("text", F.lit(""))
+    docs = d.documents.select(F.col("doc_id").alias("doc"), F.substring_index(text, "\n", 1).alias("title"), F.expr("substring(text, length(substring_index(text, '\n', 1)) + 1)").alias("body"))
+    w = F.col("w")
+    asked = F.concat_ws(" ", w[0], w[1], F.lit("or"), w[2], w[3], F.concat(F.lit("-"), w[4]))
+    queries = d.benchmark.select(F.col("item_id").alias("q"), t.significant_terms(F.col("text"), 5).alias("w")).where(F.size("w") == 5).select("q", asked.alias("text"))
+    return covers.text_search(docs, queries)

@@ -151,3 +151,48 @@ def test_dotted_names_against_a_pattern(spark):
     texts = ["".join(rng.choice("aB_1.. -é") for _ in range(rng.randrange(40))) for _ in range(400)]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in texts], "t string").select(t.dotted(F.col("t"))).collect()]
     assert got == [re.findall(r"[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*", x) for x in texts]
+
+
+def brute_covers(title, body, clauses):
+    """Minimal stretches by trying all of them; clauses: (wanted words, barred words), each a list of phrases as lists."""
+    import re
+
+    toks = re.findall("[a-z0-9]+", title.lower())
+    n_title = len(toks)
+    toks += re.findall("[a-z0-9]+", body.lower())
+
+    def runs(phrase):
+        return [(i, i + len(phrase) - 1) for i in range(len(toks) - len(phrase) + 1) if toks[i : i + len(phrase)] == phrase]
+
+    good = [(pos, neg) for pos, neg in clauses if pos and all(runs(p) for p in pos) and not any(runs(p) for p in neg)]
+    if not good:
+        return None
+
+    def satisfied(s, e):
+        return any(all(any(s <= a and b <= e for a, b in runs(p)) for p in pos) for pos, _ in good)
+
+    found = [(s, e) for s in range(len(toks)) for e in range(s, len(toks)) if satisfied(s, e) and not (s < e and (satisfied(s + 1, e) or satisfied(s, e - 1)))]
+    at = {k for pos, _ in good for p in pos for a, b in runs(p) for k in range(a, b + 1)}
+    score = 0.0
+    for s, e in found:
+        own = [k for k in at if s <= k <= e]
+        score += len(own) / sum(1 / (1.0 if k < n_title else 0.1) for k in own) / (1 + (e - s) - (len(own) - 1))
+    best = min(e - s for s, e in found)
+    return len(found), best, round(score, 6)
+
+
+def test_covers_against_all_stretches(spark):
+    from sparkloom.operators import covers
+
+    rng = random.Random(6)
+    words = ["fox", "dog", "cat", "owl", "pig", "hen"]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(4))), " ".join(rng.choice(words) for _ in range(rng.randrange(25)))) for i in range(40)] + [(100, None, None), (101, "", "")]
+    asked = {
+        1: ("fox", [([["fox"]], [])]), 2: ("fox dog", [([["fox"], ["dog"]], [])]), 3: ("fox or dog cat", [([["fox"]], []), ([["dog"], ["cat"]], [])]),
+        4: ('"owl pig" -hen', [([["owl", "pig"]], [["hen"]])]), 5: ('cat dog owl OR "hen pig"', [([["cat"], ["dog"], ["owl"]], []), ([["hen", "pig"]], [])]), 6: ("the -fox", []), 7: ("", []),
+        8: ('owl-pig or -"fox dog" cat', [([["owl", "pig"]], []), ([["cat"]], [["fox", "dog"]])]), 9: ("or fox or", [([["fox"]], [])]), 10: ('fox dog or dog', [([["fox"], ["dog"]], []), ([["dog"]], [])]), 11: ('"owl pig" hen or pig cat', [([["owl", "pig"], ["hen"]], []), ([["pig"], ["cat"]], [])]),
+    }
+    queries = spark.createDataFrame([(q, x) for q, (x, _) in asked.items()], "q long, text string")
+    got = {(r["q"], r["doc"]): (r["n_covers"], r["last"] - r["first"], r["score"]) for r in covers.cover_search(spark.createDataFrame(docs, "doc long, title string, body string"), queries).collect()}
+    want = {(q, i): x for q, (_, clauses) in asked.items() for i, title, body in docs if (x := brute_covers(title or "", body or "", clauses))}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
