@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column, cut, map_arrow, mix64, small_batches
@@ -43,15 +43,20 @@ def codes(text: bytes) -> np.ndarray:
     return np.append((counts[:, None] > quartiles).sum(1), round(LENGTH_STEPS * np.log2(1 + len(data))))
 
 
-def written(code: np.ndarray) -> str:
-    """The digest as hexadecimal digits: two for the length, then two bits a bucket."""
+def written(code: np.ndarray) -> bytes:
+    """The digest: a byte for the length, then two bits a bucket."""
     four = code[:BUCKETS].reshape(-1, 4)
-    return f"{code[BUCKETS]:02x}" + (four @ (1, 4, 16, 64)).astype(np.uint8).tobytes().hex()
+    return bytes([int(code[BUCKETS])]) + (four @ (1, 4, 16, 64)).astype(np.uint8).tobytes()
 
 
-def read(digest: str) -> np.ndarray:
-    packed = np.frombuffer(bytes.fromhex(digest[2:]), np.uint8).astype(np.int64)
-    return np.append((packed[:, None] >> np.array([0, 2, 4, 6]) & 3).ravel(), int(digest[:2], 16))
+def read(digest: bytes) -> np.ndarray:
+    packed = np.frombuffer(digest, np.uint8).astype(np.int64)
+    return np.append((packed[1:, None] >> np.array([0, 2, 4, 6]) & 3).ravel(), packed[0])
+
+
+def spelled(digest: str) -> Column:
+    """The digest's bytes as lower-case hexadecimal digits."""
+    return F.lower(F.hex(digest)).alias(digest)
 
 
 def difference(a: np.ndarray, b: np.ndarray) -> float:
@@ -72,9 +77,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         prints = [written(codes(text or b"")) for text in column(batch, "text")]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.string())], ["doc_id", "fingerprint"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary())], ["doc_id", "fingerprint"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")), step, "doc_id long, fingerprint string")
+    done = map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")), step, "doc_id long, fingerprint binary")
+    return done.select("doc_id", spelled("fingerprint"))
 
 
 def n_points(text: bytes) -> int:
@@ -101,7 +107,7 @@ def edited(text: bytes, other: bytes) -> bytes:
     return text[: offset(text, n - n // 4)] + other[: offset(other, n // 4)]
 
 
-PAIR = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+PAIR = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 _EDGE = f"{PAIR}, part int, edge int, text binary"
 FIRST, LAST = 1, 2
 
@@ -115,7 +121,7 @@ def _compared(doc_id: int | None, text: bytes, code: np.ndarray, other: bytes, o
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of all texts but the partition's last, and its first and last text for the join of the edges."""
     part, held = TaskContext.get().partitionId(), None
-    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((c, pa.string()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("part", pa.int32()), ("edge", pa.int32()), ("text", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("part", pa.int32()), ("edge", pa.int32()), ("text", pa.binary())])
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
@@ -162,12 +168,14 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         done = [_compared(i, a, codes(a), b, codes(b)) for i, a, b in zip(*(column(batch, c) for c in ("doc_id", "text", "other")), strict=True)]
-        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        types = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
         names = [f.split()[0] for f in PAIR.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate(types)], names)
 
     stitched = map_arrow(last.join(first, "k").select("doc_id", "text", "other"), step, PAIR)
-    return found.where(F.col("edge") == 0).drop("part", "edge", "text").unionByName(stitched)
+    done = found.where(F.col("edge") == 0).drop("part", "edge", "text").unionByName(stitched)
+    # digests are written as bytes, half as large as their digits
+    return done.select("doc_id", "n_chars", "edited_sha256", spelled("fingerprint"), spelled("edited_fingerprint"), "near_edited", "near_next")
 
 
 def op12_fingerprints(spark, sf_dir: str) -> DataFrame:
