@@ -123,36 +123,38 @@ def _lists(rows: list[dict[str, list]]) -> list[pa.Array]:
     return [pa.array([r[c] for r in rows], pa.list_(pa.int64())) for c in _ROW]
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition's sorted rows as blocks of at most BLOCK_ROWS different rows; equal neighbours are one with their number."""
-    run, block = TaskContext.get().partitionId(), 0
-    rows: list[list] = []
-    kind = None
+def _packed(most: int):
+    """A partition's sorted rows as blocks of at most ``most`` different rows; equal neighbours are one with their number."""
 
-    def packed() -> pa.RecordBatch:
+    def block_of(rows: list[list], run: int, block: int, kind: bool) -> pa.RecordBatch:
         held = dict(zip(_ROW, map(list, zip(*rows, strict=True)), strict=True))
         head = [pa.array([run], pa.int32()), pa.array([block], pa.int32()), pa.array([kind]), pa.array([sum(held["times"])], pa.int64()), *(pa.array([held[c][0]], pa.int64()) for c in ("score", "doc_id"))]
         return pa.RecordBatch.from_arrays([*head, *_lists([held])], ["run", "block", "eligible", "n", "head_score", "head_id", *_ROW])
 
-    for batch in batches:
-        for eligible, *row in zip(*(column(batch, c) for c in ("eligible", *_ROW[:4])), strict=True):
-            if rows and kind == eligible and rows[-1][:4] == row:
-                rows[-1][4] += 1
-                continue
-            if rows and (kind != eligible or len(rows) == BLOCK_ROWS):
-                yield packed()
-                rows, block = [], block + 1
-            kind = eligible
-            rows.append([*row, 1])
-    if rows:
-        yield packed()
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, block, kind = TaskContext.get().partitionId(), 0, None
+        rows: list[list] = []
+        for batch in batches:
+            for eligible, *row in zip(*(column(batch, c) for c in ("eligible", *_ROW[:4])), strict=True):
+                if rows and kind == eligible and rows[-1][:4] == row:
+                    rows[-1][4] += 1
+                    continue
+                if rows and (kind != eligible or len(rows) == most):
+                    yield block_of(rows, run, block, kind)
+                    rows, block = [], block + 1
+                kind = eligible
+                rows.append([*row, 1])
+        if rows:
+            yield block_of(rows, run, block, kind)
+
+    return packed
 
 
 def sorted_runs(rows: DataFrame, min_words: int) -> DataFrame:
     """Each partition's rows in order (eligible first, falling score, rising doc_id), packed and written."""
     eligible = (F.col("n_words") >= min_words) & F.col("doc_id").isNotNull()
     ordered = rows.withColumn("eligible", eligible).sortWithinPartitions(F.desc("eligible"), F.desc_nulls_last("score"), "doc_id", "weight", "n_features")
-    return cut(ordered.select("eligible", *_ROW[:4]).mapInArrow(_packed, RUNS), "runs")
+    return cut(ordered.select("eligible", *_ROW[:4]).mapInArrow(_packed(BLOCK_ROWS), RUNS), "runs")
 
 
 def splitters(runs: DataFrame, rows: int) -> list[tuple[int, int]]:
