@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import retrieval, search
+from ..operators import governor, retrieval, search
 from ..storage import stage
 from .registry import Tables, query
 from .search_queries import TERMS
@@ -13,16 +13,16 @@ LEVEL = retrieval.Level(per_source=10, results=20, depth=2)
 _key = lambda c: F.concat(F.lit("d:"), F.col(c).cast("string"))
 
 
-def _batches(d):
+def _batches(d, per_source=LEVEL.per_source):
     """Hits by content, by number of terms, and by nearness to the best content hit's vector; and the terms' overlap."""
     terms, index = search.question_index(d.documents, d.benchmark)
     weights = search.idf_weights(terms, search.document_frequency(index, terms), d.documents.count())
     hits = stage(index.join(weights, "term").groupBy("q", "doc").agg(F.round(F.sum("idf"), 6).alias("idf"), F.count("*").alias("n")), "hits")
-    content = stage(search.top_k(hits.select("q", "doc", F.col("idf").alias("score")), LEVEL.per_source), "content")
-    exact = search.top_k(hits.select("q", "doc", F.col("n").alias("score")), LEVEL.per_source)
+    content = stage(search.top_k(hits.select("q", "doc", F.col("idf").alias("score")), per_source), "content")
+    exact = search.top_k(hits.select("q", "doc", F.col("n").alias("score")), per_source)
     best = content.where("rank = 1").select("q", F.col("doc").alias("best"))
     vectors = d.embeddings.join(best.select(F.col("best").alias("vec_id")).distinct(), "vec_id", "left_semi")
-    near = search.vector_search(d.embeddings, vectors.select(F.col("vec_id").alias("q"), F.col("embedding").alias("vector")), LEVEL.per_source)
+    near = search.vector_search(d.embeddings, vectors.select(F.col("vec_id").alias("q"), F.col("embedding").alias("vector")), per_source)
     vector = best.join(near.withColumnRenamed("q", "best"), "best")
     total = terms.groupBy("q").agg(F.count("*").alias("n_all"))
     overlap = index.join(terms, "term").groupBy("q", "doc").agg(F.count("*").alias("n")).join(total, "q")
@@ -79,3 +79,41 @@ def retrieval_pipeline(spark, sf_dir):
     d = Tables(spark, sf_dir)
     batches, overlap = _batches(d)
     return retrieval.retrieve(batches, _edges(d), _items(d), overlap, LEVEL)
+
+
+@query("""SELECT item_id, regexp_matches(text, '(?i)\\b(?:tests?|specs?|test suites?|unit tests?)\\b(?:$|[^/_\\w-])') AS asks_tests,
+  regexp_matches(text, '(?i)\\b(?:break(?:s|ing)?|broken|renam\\w+|regress\\w*|affect(?:ed|s)?|impact(?:ed|s)?|what else|ripple|blast radius|depend(?:s|ent|ents)? on|what do i (?:need|have) to (?:touch|change|add|update)|which files)\\b') AS considers_tests,
+  regexp_matches(text, '(?i)\\b(?:docs?|documentation|adrs?|readme|runbook|changelog|documented|threat model)\\b(?:$|[^/_\\w-])') AS asks_docs,
+  regexp_matches(text, '(?i)\\bwhy\\b|\\brationale\\b|\\bjustif(?:y|ication|ied)\\b|\\btrade-?offs?\\b|\\bmotivation\\b|\\bthe reasons?\\b|\\bwhat(?:''s| is) the reason\\b') AS asks_rationale
+FROM (SELECT doc_id AS item_id, coalesce(text, '') AS text FROM documents)""")
+def intents(spark, sf_dir):
+    """What each document, read as a request, asks for."""
+    return Tables(spark, sf_dir).documents.select(F.col("doc_id").alias("item_id"), *governor.intents(F.col("text")))
+
+
+@query()
+def governed_context(spark, sf_dir):
+    """The best pack of each benchmark text as a question to the documents, levels raised where it isn't ready.
+
+    Risk by the item's number is a stand-in; the questions are to knowledge alone.  No SQL: packs are folds and the levels a loop,
+    which tests hold against a loop over single questions.
+    """
+    d = Tables(spark, sf_dir)
+    most = max(level.per_source for level in governor.LEVELS.values())
+    batches, overlap = _batches(d, most)
+    batches, overlap = {name: stage(df, name) for name, df in batches.items()}, stage(overlap, "overlap")
+    items = _items(d)
+    said = items.select(F.col("doc").alias("id"), "trust", "health", F.col("text").alias("content"), F.substring_index("text", "\n", 1).alias("title"))
+
+    def gather(name, level, now):
+        asked = {k: df.join(now.select("q"), "q", "left_semi") for k, df in batches.items()}
+        found = retrieval.retrieve(asked, _edges(d), items, overlap, level).select("q", F.col("doc").alias("id"), F.split("sources", ",").alias("sources"), F.col("final").alias("score"), "redundant_of")
+        none = F.lit(None).cast("string")
+        return found.join(said, "id").select("*", F.lit("KNOWLEDGE").alias("kind"), none.alias("path"), none.alias("subject"), F.array_contains("sources", "exact").alias("critical"))
+
+    risk = F.element_at(F.array(*map(F.lit, governor.READY)), (F.col("item_id") % 4 + 1).cast("int"))
+    questions = d.benchmark.select(F.col("item_id").alias("q"), "text", risk.alias("risk"), F.lit(None).cast("double").alias("health"))
+    entities = spark.createDataFrame([], "q long, entity string, kind string, explicit boolean, is_new boolean, targets array<string>")
+    edges = spark.createDataFrame([], "src_key string, dst_key string, kind string, confidence double")
+    best = governor.govern(questions, gather, entities, edges)
+    return best.select("q", "level", "ready", "coverage", "confidence", "n_blocking", "used", "truncated", F.size("items").alias("n_items"), F.concat_ws(",", "missing").alias("missing"), F.concat_ws(",", F.transform("items", lambda x: x["id"])).alias("ids"))
