@@ -44,25 +44,35 @@ class Automaton:
 
     def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW):
         self.window, self.next, self.link, self.length = window, [{}], [-1], [0]
-        ends = [self._add(words) for _, words in items]
-        chain = [[] for _ in self.next]
-        for (name, words), end in zip(items, ends, strict=True):
-            if 0 < len(words) < window:
-                chain[end].append((len(words), name))
-        order = sorted(range(len(self.next)), key=self.length.__getitem__)
-        #: of each state: whole short items that end where it ends; the state of its last ``window`` words
-        self.short, self.at_window = chain, [0] * len(order)
-        for v in order[1:]:
+        #: equal items are one text with several names
+        self.names: list[set] = []
+        texts: dict[tuple, int] = {}
+        for name, words in items:
+            if words:
+                text = texts.setdefault(tuple(words), len(self.names))
+                if text == len(self.names):
+                    self.names.append(set())
+                self.names[text].add(name)
+        ends = [self._add(words) for words in texts]
+        #: of each state: the whole short items that end there, as (words, text)
+        self.short: dict[int, list[tuple[int, int]]] = {}
+        for (words, text), end in zip(texts.items(), ends, strict=True):
+            if len(words) < window:
+                self.short.setdefault(end, []).append((len(words), text))
+        #: of each state: the nearest on its way of suffix links that has short items, or -1; the state of its last ``window`` words
+        self.near = [-1] * len(self.next)
+        self.at_window = [0] * len(self.next)
+        for v in sorted(range(len(self.next)), key=self.length.__getitem__)[1:]:
             up = self.link[v]
-            chain[v] = chain[v] + chain[up]
+            self.near[v] = v if v in self.short else self.near[up]
             self.at_window[v] = 0 if self.length[v] < window else v if self.length[up] < window else self.at_window[up]
         self.items: dict[int, set] = {}
-        for name, words in items:
+        for words, text in texts.items():
             v, n = 0, 0
             for w in words:
                 v, n = self._step(v, n, w)
                 if n >= window:
-                    self.items.setdefault(self.at_window[v], set()).add(name)
+                    self.items.setdefault(self.at_window[v], set()).add(text)
 
     def _new(self, length: int, link: int, edges: dict) -> int:
         self.next.append(edges)
@@ -106,10 +116,11 @@ class Automaton:
 
     def scan(self, words: list[bytes]) -> tuple[list[list[int]], set, int]:
         """Merged spans [start, end) of hit words, the items' names, the longest match."""
-        step, window, short = self._step, self.window, self.short
+        step, window, short, near = self._step, self.window, self.short, self.near
         root, v, n, longest = self.next[0], 0, 0, 0
         spans: list[list[int]] = []
-        names: set = set()
+        found: set = set()
+        seen: set = set()
         for i, w in enumerate(words):
             if not v:
                 v = root.get(w, 0)
@@ -123,17 +134,24 @@ class Automaton:
             size = 0
             if n >= window:
                 size = window
-                names |= self.items.get(self.at_window[v], set())
-            for m, name in short[v]:
-                if m <= n:
-                    names.add(name)
-                    size = max(size, m)
+                at = self.at_window[v]
+                if at not in seen:
+                    seen.add(at)
+                    found |= self.items.get(at, set())
+            # items of fewer words than the window: so many different ones at most end here
+            u = near[v]
+            while u >= 0:
+                for m, text in short[u]:
+                    if m <= n:
+                        found.add(text)
+                        size = max(size, m)
+                u = near[self.link[u]]
             if size:
                 start = i + 1 - size
                 while spans and spans[-1][1] >= start:
                     start = min(start, spans.pop()[0])
                 spans.append([start, i + 1])
-        return spans, names, longest
+        return spans, set().union(*(self.names[text] for text in found)), longest
 
 
 _built: dict[str, Automaton] = {}

@@ -35,7 +35,8 @@ TREES, DEPTH = 20, 4
 SECOND_PERSON = {w.encode() for w in "you your yours yourself du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split()}
 # fixed values: signs that stand for letters in masked words
 LEET = bytes.maketrans(b"013457@$!", b"oieastasi")
-_MASKED = re.compile(rb"[A-Za-z][A-Za-z]*[0-9@$*!._-]+[A-Za-z0-9@$*!._-]*[A-Za-z0-9@$]")
+#: Tried once for each run of letters, from its first, so that the time grows with the text.
+_MASKED = re.compile(rb"(?<![A-Za-z])[A-Za-z]++[0-9@$*!._-][A-Za-z0-9@$*!._-]*[A-Za-z0-9@$]")
 
 
 def _stems(words, size: int):

@@ -85,3 +85,31 @@ def test_classifiers_without_labels_or_rows(spark, score):
     labels = spark.createDataFrame([(3, 1, 1), (1, None, None)], "doc_id long, quality int, toxic int")
     assert score(docs, labels).count() == 4
     assert score(docs.limit(0), labels).count() == 0
+
+
+@pytest.mark.parametrize("text", [b"a" * 1_000_000, b"Ab." * 300_000, b"a" + b"." * 1_000_000, b"a*" * 500_000, b"A" * 999_999 + b"b", b"word " * 200_000])
+def test_long_words_take_no_time(text):
+    import time
+
+    began = time.perf_counter()
+    found = toxicity.extractor({b"word": 2.0}, {b"word": 1.0})(text)
+    assert time.perf_counter() - began < 6 and all(map(math.isfinite, found))
+
+
+def test_masked_words_are_found_as_by_the_plain_pattern():
+    import random
+    import re
+
+    plain = re.compile(rb"[A-Za-z][A-Za-z]*[0-9@$*!._-]+[A-Za-z0-9@$*!._-]*[A-Za-z0-9@$]")
+    rng = random.Random(5)
+    for _ in range(20_000):
+        text = bytes(rng.choice(b"aB1@*._- x,") for _ in range(rng.randrange(25)))
+        assert plain.findall(text) == toxicity._MASKED.findall(text)
+
+
+def test_toxicity_query(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.op9_toxicity(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(r["doc_id"] for r in docs.collect()) and labels.count() > 50
+    for r in got:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5)

@@ -68,3 +68,35 @@ def test_long_text(spark):
     bench = frame(spark, [(1, "word " * 12)], "item_id long, text string")
     row = d.find_spans(docs, bench).first()
     assert row["n_words"] == 200_000 and row["spans"] == [[0, 200_000]]
+
+
+def test_query_against_brute_force(spark, tmp_path):
+    """The contract's columns of the query itself, on odd tables."""
+    import hashlib
+
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(30)] + ["É", "x1"]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 3, 9, 10, 11, 25])))) for i in range(30)]
+    items += [(3, items[3][1]), (50, items[9][1].upper()), (51, None), (None, items[20][1])]
+    texts = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(60))) + " " + rng.choice(items)[1].replace(" ", ", ") if i % 3 else "plain text") for i in range(60)]
+    texts += [(100, None), (101, ""), (5, texts[5][1])]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted(tuple(r) for r in d.op7_decontamination(spark, str(tmp_path)).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect())
+    want = []
+    for i, text in texts:
+        n, hit, names = brute([(i, text)], items, 10)[i]
+        names = sorted(x for x in names if x != "None")
+        want.append((i, n, hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), hit > 0))
+    assert got == sorted(want)
+
+
+def test_many_equal_short_items():
+    import time
+
+    began = time.perf_counter()
+    items = [(f"a{k}", [b"two", b"words"]) for k in range(20_000)] + [(f"b{k}", [b"n%d" % k, b"two", b"words", b"m%d" % k]) for k in range(20_000)]
+    automaton = d.Automaton(items)
+    spans, names, longest = automaton.scan([b"two", b"words", b"x"] * 20_000)
+    assert len(names) == 20_000 and len(spans) == 20_000 and longest == 2
+    assert time.perf_counter() - began < 20
