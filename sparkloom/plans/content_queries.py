@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import chunks, content, covers
+from ..operators import chunks, content, covers, diffs
 from .files import files
 from .registry import Tables, query
 from .search_queries import _FILLER, _stem_sql, distinct, kept, tok
@@ -121,3 +121,16 @@ def text_search(spark, sf_dir):
     asked = F.concat_ws(" ", w[0], w[1], F.lit("or"), w[2], w[3], F.concat(F.lit("-"), w[4]))
     queries = d.benchmark.select(F.col("item_id").alias("q"), t.significant_terms(F.col("text"), 5).alias("w")).where(F.size("w") == 5).select("q", asked.alias("text"))
     return covers.text_search(docs, queries)
+
+
+@query()
+def file_diffs(spark, sf_dir):
+    """All files against an edited version: lines moved, dropped, added or left as they are, by the text's length; no SQL: tested against
+    dynamic programming."""
+    before = files(Tables(spark, sf_dir)).select("path", "text")
+    lines, k = F.split("text", "\n"), F.length("text") % 4
+    moved = F.concat(F.slice(lines, F.lit(2), F.size(lines)), F.slice(lines, 1, 1))
+    dropped = F.concat(F.filter(lines, lambda x: F.length(x) % 5 > 0), F.array(F.lit("one more line")))
+    after = before.withColumn("text", F.when(k == 0, F.array_join(moved, "\n")).when(k == 1, F.array_join(dropped, "\n")).when(k == 2, None).otherwise(F.col("text")))
+    done = diffs.file_diffs(before, after)
+    return done.select("path", "additions", "deletions", F.size("hunks").alias("n_hunks"), F.sha2(F.to_json("hunks"), 256).alias("hunks_sha256"))
