@@ -124,17 +124,6 @@ def resolve_imports(wanted: DataFrame, provided: DataFrame, most: int = 8) -> Da
     return joined.groupBy("src", F.coalesce("dst", F.concat(F.lit("external:"), F.col("key"))).alias("dst")).agg(F.max(F.when(F.col("n").isNull(), 0.2).when(F.col("n") == 1, 1.0).otherwise(0.6)).alias("confidence"))
 
 
-def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
-    """src, dst, confidence of calls (src, file, name) against symbols (name, file, symbol): same file 0.95, imported file 0.8,
-    the only one in the project 0.3, else the placeholder ``callee:name`` at 0.2; the best per (src, dst)."""
-    own = symbols.withColumn("n", F.count("*").over(Window.partitionBy("name")))
-    met = calls.join(own.select("name", F.col("file").alias("at"), "symbol", "n"), "name", "left").join(imports.select("file", F.col("imported").alias("at"), F.lit(True).alias("known")), ["file", "at"], "left")
-    c = F.when(F.col("file") == F.col("at"), 0.95).when(F.col("known"), 0.8).when(F.col("n") == 1, 0.3)
-    rated = met.withColumn("c", c).withColumn("best", F.max("c").over(Window.partitionBy("src", "name")))
-    kept = rated.where(F.col("best").isNull() | (F.col("c") == F.col("best")))
-    return kept.groupBy("src", F.when(F.col("best").isNull(), F.concat(F.lit("callee:"), F.col("name"))).otherwise(F.col("symbol")).alias("dst")).agg(F.max(F.coalesce("c", F.lit(0.2))).alias("confidence"))
-
-
 def unresolved_callers(edges: DataFrame, names: DataFrame, least: float = 0.2) -> DataFrame:
     """name, src, confidence: who calls a name (column name) that no symbol was found for."""
     own = names.select("name", F.concat(F.lit("callee:"), F.col("name")).alias("dst"))

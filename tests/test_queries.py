@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as t
-from sparkloom.operators import graph, retrieval, search, tables
+from sparkloom.operators import graph, resolution, retrieval, search, tables
 from sparkloom.plans import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -116,7 +116,7 @@ def test_calls_resolve_to_the_nearest_symbol(spark):
     calls = spark.createDataFrame([("f", "a.py", "x"), ("f", "a.py", "y"), ("f", "a.py", "z"), ("f", "a.py", "none")], "src string, file string, name string")
     symbols = spark.createDataFrame([("x", "a.py", "a::x"), ("x", "b.py", "b::x"), ("y", "b.py", "b::y"), ("z", "c.py", "c::z")], "name string, file string, symbol string")
     imports = spark.createDataFrame([("a.py", "b.py")], "file string, imported string")
-    got = {r["dst"]: r["confidence"] for r in graph.resolve_calls(calls, symbols, imports).collect()}
+    got = {r["dst"]: r["confidence"] for r in resolution.resolve_calls(calls, symbols, imports).collect()}
     assert got == {"a::x": 0.95, "b::y": 0.8, "c::z": 0.3, "callee:none": 0.2}
 
 
