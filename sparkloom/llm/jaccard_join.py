@@ -27,8 +27,8 @@ below as well.
 
 Recursion: first, documents of one home are held against one pivot document
 each, and what links becomes one component.  Then regions that still hold
-several components join within themselves, sorted by size so that memory holds
-a window of sizes and not a region; each document proposes its nearest
+several components join within themselves, large ones in pairs of blocks, sorted
+by size so that memory holds a window of sizes and not a region; each document proposes its nearest
 candidates of other components, these are verified on the full sets, components
 grow, and the regions join again with more candidates each, until no region
 holds back any candidate.  Only proposals are bounded per round, never the
@@ -55,6 +55,8 @@ WORDS, PERCENT = 3, 90
 SLICES = 512
 KEPT = 1 << 19  # bytes of text
 HOMES = 2
+#: Members of a region beyond which it is parted into pairs of blocks, and pairs that a task holds before it keeps the nearest alone.
+REGION_ROWS, HELD_PAIRS = 4096, 1 << 18
 #: At most so many frequent shingles are put last in the order; they are all that is broadcast, 8 bytes each.
 MAX_FREQUENT = 200_000
 FREQUENT = 32
@@ -233,56 +235,94 @@ def _star_pairs(classes: DataFrame, percent: int) -> DataFrame:
     return map_arrow(wide, step, "a long, b long").distinct()
 
 
+def _nearest(a: np.ndarray, b: np.ndarray, near: np.ndarray, most: int) -> np.ndarray:
+    """Which pairs are among the ``most`` nearest of one of their documents; of equal ones the earlier."""
+    chosen = np.zeros(len(a), bool)
+    for side in (a, b):
+        order = np.lexsort((near, side))
+        lead = np.r_[True, side[order][1:] != side[order][:-1]]
+        rank = np.arange(len(order)) - np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))
+        chosen[order[rank < most]] = True
+    return chosen
+
+
+class _Proposals:
+    """Pairs of classes as they are found: each document's ``most`` nearest are kept, in memory of a few times their number.
+
+    A pair that has been outdone on both sides stays so.  Where nothing is to be held back, pairs are given out as soon as there are many.
+    """
+
+    def __init__(self, most: int, least: int):
+        self.most, self.least, self.room, self.more, self.parts, self.held = most, least, least, False, [], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray, near: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append(np.stack([np.minimum(a, b), np.maximum(a, b), near]))
+        self.held += len(a)
+        if self.held >= self.room:
+            if self.most >= 1 << 62:
+                yield from self.given()
+            else:
+                self._pruned()
+                self.room = max(self.least, 2 * self.held)
+
+    def _pruned(self) -> np.ndarray:
+        all_ = np.concatenate(self.parts, axis=1)
+        keep = _nearest(*all_, self.most)
+        self.more |= not keep.all()
+        self.parts = [all_[:, keep]]
+        self.held = self.parts[0].shape[1]
+        return self.parts[0]
+
+    def given(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            pairs = np.unique(self._pruned()[:2].T, axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array([self.more] * len(pairs))], ["a", "b", "more"])
+        self.parts, self.held, self.room, self.more = [], 0, self.least, False
+
+
 def _region_pairs(members: DataFrame, most: int, percent: int) -> DataFrame:
     """(a, b, more): candidates of different components within regions; more says that a document held others back.
 
-    ``members``: s, before, at (places before s in the order), cls, comp, n, slices.  Sorted by region and size, streamed
-    with the rows that later ones of the region can still meet.
+    ``members``: s, members (of the region), before, at (places before s in the order), cls, comp, n, slices.  A region of over
+    REGION_ROWS is dealt into blocks, and each pair of blocks is a part of its own, so that no task has a large region alone.  Parts
+    are sorted by size and streamed with the rows that later ones can still meet.
     """
-    names = ["s", "before", "at", "cls", "comp", "n", "slices"]
+    names = ["s", "i", "j", "block", "before", "at", "cls", "comp", "n", "slices"]
+    blocks = F.ceil(F.col("members") / REGION_ROWS)
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("long")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in joined(batches):
-            rows = *(batch.column(k).to_numpy() for k in range(6)), _marks(batch, "slices")
+            rows = *(batch.column(k).to_numpy() for k in range(9)), _marks(batch, "slices")
             new = batch.num_rows
             if held is not None:
                 rows = tuple(np.concatenate(p) for p in zip(held, rows, strict=True))
-            s, before, place, cls, comp, n, marks = rows
+            s, one, two, block, before, place, cls, comp, n, marks = rows
             fresh = len(s) - new  # rows before have met each other
-            found = []
+            found = _Proposals(most, HELD_PAIRS)
             i = np.arange(len(s) - 1)
             d = 1
             while len(i):
                 j = i + d
-                ok = (s[i] == s[j]) & (n[i] * 100 >= n[j] * percent)
+                ok = (s[i] == s[j]) & (one[i] == one[j]) & (two[i] == two[j]) & (n[i] * 100 >= n[j] * percent)
                 i, j = i[ok], j[ok]
-                test = (j >= fresh) & (comp[i] != comp[j]) & (before[i] != before[j]) & (place[i] + place[j] <= _most_apart(n[i], n[j], percent))
+                # rows of one block meet in that block's own part alone
+                test = (j >= fresh) & (comp[i] != comp[j]) & (before[i] != before[j]) & ((one[i] == two[i]) | (block[i] != block[j])) & (place[i] + place[j] <= _most_apart(n[i], n[j], percent))
                 for at in range(0, int(test.sum()), 1 << 16):
                     ti, tj = i[test][at : at + (1 << 16)], j[test][at : at + (1 << 16)]
                     good = _within(marks[ti], marks[tj], n[ti], n[tj], percent)
                     if good.any():
-                        found.append((ti[good], tj[good]))
+                        yield from found.add(cls[ti[good]], cls[tj[good]], np.abs(n[ti[good]] - n[tj[good]]))
                 d += 1
                 i = i[i + d < len(s)]
+            yield from found.given()
             last = len(s) - 1
-            keep = np.flatnonzero((s == s[last]) & (n * 100 >= n[last] * percent))
+            keep = np.flatnonzero((s == s[last]) & (one == one[last]) & (two == two[last]) & (n * 100 >= n[last] * percent))
             held = tuple(x[keep] for x in rows)
-            if found:
-                a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-                near = np.abs(n[a] - n[b])
-                chosen = np.zeros(len(a), bool)
-                for side in (a, b):
-                    order = np.lexsort((near, side))
-                    lead = np.r_[True, side[order][1:] != side[order][:-1]]
-                    rank = np.arange(len(order)) - np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))
-                    chosen[order[rank < most]] = True
-                pairs = np.unique(np.stack([np.minimum(cls[a], cls[b])[chosen], np.maximum(cls[a], cls[b])[chosen]], 1), axis=0)
-                more = not chosen.all()
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array([more] * len(pairs))], ["a", "b", "more"])
-
-    dealt = members.select(*names).repartition("s").sortWithinPartitions("s", "n")
-    return dealt.mapInArrow(run, "a long, b long, more boolean")
+
+    return dealt.select(*names).repartition("s", "i", "j").sortWithinPartitions("s", "i", "j", "n").mapInArrow(run, "a long, b long, more boolean")
 
 
 def _verify(pairs: DataFrame, classes: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
@@ -356,7 +396,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     tried = None
     for most in (*PROPOSALS, 1 << 62):
         now = met.join(light, "cls").join(comps.select(F.col("id").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        several = met.join(comps.select(F.col("id").alias("cls"), "comp"), "cls", "left").groupBy("s").agg(F.min(F.coalesce("comp", "cls")).alias("x"), F.max(F.coalesce("comp", "cls")).alias("y")).where("x <> y").select("s")
+        several = met.join(comps.select(F.col("id").alias("cls"), "comp"), "cls", "left").groupBy("s").agg(F.min(F.coalesce("comp", "cls")).alias("x"), F.max(F.coalesce("comp", "cls")).alias("y"), F.count("*").alias("members")).where("x <> y").select("s", "members")
         pairs = cut(_region_pairs(now.join(several, "s"), most, percent).groupBy("a", "b").agg(F.max("more").alias("more")), "pairs")
         untried = pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs
         if not untried.isEmpty():

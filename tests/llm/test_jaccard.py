@@ -102,3 +102,45 @@ def test_one_row_of_each_doc_id_stays(spark):
     want = [(1, text, "a"), rows[5], (4, None, "a"), *rows[8:]]
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
     assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), None).count() == 0
+
+
+def family(n, changed):
+    """Copies of one long text with some words each of their own: near misses, all in the regions of the shared words."""
+    rng = random.Random(n)
+    base = [f"b{k}" for k in range(120)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for k in rng.sample(range(2, 120), changed):
+            w[k] = f"own{i}x{k}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("rows,pairs", [(16, 40), (4096, 1 << 18)])
+def test_regions_in_blocks(spark, monkeypatch, rows, pairs):
+    monkeypatch.setattr(j, "REGION_ROWS", rows)
+    monkeypatch.setattr(j, "HELD_PAIRS", pairs)
+    texts = corpus(9, 120) + [(1000 + i, t) for i, t in family(60, 2)] + [(2000 + i, t) for i, t in family(40, 1)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in j.jaccard_components(docs).collect())
+    assert got == brute(texts, 3, 90)
+
+
+def test_proposals_stay_few():
+    rng = np.random.default_rng(1)
+    for most in (2, 16):
+        held = j._Proposals(most, 1000)
+        every = []
+        for _ in range(60):
+            a, b = rng.integers(0, 100, 500), rng.integers(100, 200, 500)
+            near = rng.integers(0, 1000, 500)
+            every.append((a, b, near))
+            assert not list(held.add(a, b, near)) and held.held <= max(1000, 4 * 200 * most)
+        (out,) = held.given()
+        a, b, near = (np.concatenate(x) for x in zip(*every, strict=True))
+        keep = j._nearest(a, b, near, most)
+        assert set(zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)) == set(zip(a[keep].tolist(), b[keep].tolist(), strict=True)) and all(out.column(2).to_pylist())
+    held = j._Proposals(1 << 62, 1000)
+    out = [x for _ in range(9) for x in held.add(np.arange(400), np.arange(400) + 400, np.zeros(400, int))] + list(held.given())
+    assert len(out) == 3 and not any(x for r in out for x in r.column(2).to_pylist())
