@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import symbols
+from ..functions import text as t
+from ..operators import entities, symbols
 from ..storage import stage
 from .registry import Tables, query
 
@@ -120,3 +121,23 @@ def source_call_graph(spark, sf_dir):
     """From texts to resolved calls: own file, imported files, the only one of its name, or a placeholder."""
     found = stage(symbols.source_facts(source_files(Tables(spark, sf_dir))), "facts")
     return symbols.call_edges(found, symbols.import_edges(found))
+
+
+_ASKED = """
+asked AS (SELECT p_partkey AS q, p_partkey AS p, p_partkey % 10 AS s FROM part),
+spread AS (SELECT c, path, count(*) OVER (PARTITION BY c) AS n, row_number() OVER (PARTITION BY c ORDER BY path) AS place FROM v),
+hits AS (SELECT q, 'file:parts/Part' || p || '.java' AS id, 0 AS turn, '' AS path, '' AS qualified FROM asked
+  UNION ALL SELECT q, 'symbol:' || path || '::' || qualified, 1, path, qualified FROM asked JOIN symbols ON name IN ('name' || p, 'Supplier' || s, 'offer' || s, 'orders_' || p)
+  UNION ALL SELECT q, 'file:' || path, 2, lpad(place::VARCHAR, 2, '0'), '' FROM asked JOIN spread ON c = p WHERE n <= 12 AND place <= 3)"""
+
+
+@query(f"WITH {_FACTS}, {_ASKED} SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY turn, path, qualified) AS rank FROM hits")
+def exact_hits(spark, sf_dir):
+    """A question for each part that names its file, a method in backticks, a dotted name, a view and a table that only texts mention."""
+    d = Tables(spark, sf_dir)
+    files = stage(source_files(d), "files")
+    found = symbols.source_facts(files).where("fact = 'symbol'").select("path", "name", "qualified", "kind", F.lit(True).alias("exported"))
+    names = files.select("path", "language", F.explode(t.names(F.col("text"))).alias("name"), F.lit(1).alias("chunks"))
+    k, s = F.col("p_partkey"), F.col("p_partkey") % 10
+    text = F.format_string("why does `name%d(x)` of Part%d.java need Supplier%d.offer%d, orders_%d and customer_%d?", k, k, s, s, k, k)
+    return entities.exact_retriever(d.part.select(k.alias("q"), text.alias("text")), files, found, names)
