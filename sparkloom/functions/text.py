@@ -173,7 +173,7 @@ def sniff_format(text: Column) -> Column:
     """xml, html, json, markdown or text, by how a text starts."""
     head = F.ltrim(F.substring(text, 1, 400))
     return (
-        F.when(head.rlike("(?i)^<!doctype html|^<html"), "html").when(head.startswith("<?xml") | head.rlike("^<[A-Za-z]"), "xml").when(head.rlike("^[\\[{]"), "json").when(head.rlike("(?m)^#{1,6} "), "markdown").otherwise("text")
+        F.when(head.startswith("<?xml"), "xml").when(head.rlike("(?i)^<!doctype html") | (head.startswith("<") & head.rlike("(?i)<(html|body|div|p|h1)\\b")), "html").when(head.rlike("^<[A-Za-z_][\\w:.-]*[\\s>/]"), "xml").when(head.rlike("^[\\[{]"), "json").when(head.rlike("(?m)^#{1,6} "), "markdown").otherwise("text")
     )
 
 

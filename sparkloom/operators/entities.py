@@ -38,7 +38,7 @@ def _named(values: Column, kind: str, explicit: bool, order: int) -> Column:
 
 def _bare(text: Column) -> Column:
     """Runs of path signs, without dots and dashes at their ends that close a sentence."""
-    return F.filter(F.transform(_all(text, r"[\w./-]+"), lambda x: F.regexp_replace(x, r"[.]+$", "")), lambda x: x != "")
+    return F.filter(F.transform(_all(text, r"[\w./-]+"), lambda x: F.rtrim(x, F.lit("."))), lambda x: x != "")
 
 
 def is_camel(word: Column) -> Column:
@@ -82,7 +82,8 @@ def extract(questions: DataFrame) -> DataFrame:
     )
     introduced = F.concat(_all(text, CALLED, 1), _all(text, INTRODUCED, 1))
     rows = questions.select("q", introduced.alias("introduced"), F.explode(found).alias("x")).select("q", "introduced", "x.*")
-    trimmed = F.when(F.col("kind") == "path", F.regexp_replace(F.regexp_replace(F.trim("entity"), r"^[(\[{\"']+", ""), r"[.,;:)\]}\"']+$", "")).otherwise(F.regexp_replace(F.trim("entity"), r"^[.,;:()\[\]{}\"']+|[.,;:()\[\]{}\"']+$", ""))
+    own = F.trim("entity")
+    trimmed = F.when(F.col("kind") == "path", F.rtrim(F.ltrim(own, F.lit("([{\"'")), F.lit(".,;:)]}\"'"))).otherwise(F.trim(own, F.lit(".,;:()[]{}\"'")))
     clean = rows.withColumn("entity", trimmed).where((F.col("entity") != "") & (F.length("entity") <= 200) & ~F.col("entity").isin(NO_NAMES))
     each = clean.groupBy("q", "kind", "entity").agg(F.max("explicit").alias("explicit"), F.min(F.struct("order", "i")).alias("at"), F.max(F.array_contains("introduced", F.col("entity"))).alias("introduced"))
     place = F.row_number().over(Window.partitionBy("q").orderBy("at", "kind", "entity"))
@@ -98,7 +99,7 @@ def path_ends(paths: DataFrame) -> DataFrame:
 
 def matching_files(entities: DataFrame, files: DataFrame) -> DataFrame:
     """q, entity, path: files (path) that a named path is, or ends."""
-    asked = entities.where("kind = 'path'").select("q", "entity", F.regexp_replace("entity", "^/+|/+$", "").alias("key")).where("key <> ''")
+    asked = entities.where("kind = 'path'").select("q", "entity", F.trim(F.col("entity"), F.lit("/")).alias("key")).where("key <> ''")
     return asked.join(path_ends(files.select("path").distinct()), "key").select("q", "entity", "path").distinct()
 
 

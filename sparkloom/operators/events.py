@@ -65,17 +65,6 @@ def spans(events: DataFrame, run: str, span: str) -> DataFrame:
     )
 
 
-def timing(samples: DataFrame, name: str, value: str) -> DataFrame:
-    """Per name: count, total, mean, p95 (the element at floor(0.95 n) of the sorted values), max.
-
-    Ranks come from a window, not from collected arrays, so a name may hold any number of samples.
-    """
-    w = Window.partitionBy(name)
-    ranked = samples.select(name, value, (F.row_number().over(w.orderBy(value)) - 1).alias("i"), F.count("*").over(w).alias("n"))
-    at = F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95))
-    return ranked.groupBy(name).agg(F.count("*").alias("n"), F.round(F.sum(value), 4).alias("total"), F.round(F.avg(value), 6).alias("mean"), F.max(F.when(F.col("i") == at, F.col(value))).alias("p95"), F.max(value).alias("most"))
-
-
 def fold_message(message):
     """Numbers and hex become #, so that messages of one kind fold together."""
     return F.regexp_replace(F.regexp_replace(message, "0x[0-9a-fA-F]+", "#"), "[0-9]+", "#")

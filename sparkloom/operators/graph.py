@@ -117,13 +117,6 @@ def propagate(depends: DataFrame, changed: DataFrame, hops: int = 5) -> DataFram
     return seen.where("hop > 0")
 
 
-def resolve_imports(wanted: DataFrame, provided: DataFrame, most: int = 8) -> DataFrame:
-    """src, dst, confidence: each wanted key (src, key) to its providers (key, dst): 1.0 if one, 0.6 if several, external if none or over ``most``."""
-    counts = provided.distinct().withColumn("n", F.count("*").over(Window.partitionBy("key"))).where(F.col("n") <= most)
-    joined = wanted.distinct().join(counts, "key", "left")
-    return joined.groupBy("src", F.coalesce("dst", F.concat(F.lit("external:"), F.col("key"))).alias("dst")).agg(F.max(F.when(F.col("n").isNull(), 0.2).when(F.col("n") == 1, 1.0).otherwise(0.6)).alias("confidence"))
-
-
 def unresolved_callers(edges: DataFrame, names: DataFrame, least: float = 0.2) -> DataFrame:
     """name, src, confidence: who calls a name (column name) that no symbol was found for."""
     own = names.select("name", F.concat(F.lit("callee:"), F.col("name")).alias("dst"))

@@ -76,8 +76,14 @@ def signature(df: DataFrame, columns: list[str]):
 
 
 def other_bucket(counts: DataFrame, name: str, n: str, most: int) -> DataFrame:
-    """Groups by (count descending, name); beyond ``most`` the rest becomes OTHER.  One row a group comes in."""
-    i = F.row_number().over(Window.orderBy(F.desc(n), name))
-    whole = F.count("*").over(Window.partitionBy())
-    label = F.when((F.col("m") > most) & (F.col("i") >= most), "OTHER").otherwise(F.col(name).cast("string"))
-    return counts.withColumn("i", i).withColumn("m", whole).groupBy(label.alias(name)).agg(F.sum(n).alias(n))
+    """Groups by (count descending, name); if there are more than ``most``, the first ``most`` - 1 and all others as OTHER.
+
+    The first ones are a top-k and what remains is a difference of sums, so that no task sees all groups.
+    """
+    whole = counts.agg(F.count("*").alias("m"), F.sum(n).alias("total"))
+    top = counts.orderBy(F.desc(n), name).limit(most)
+    first = top.select(F.col(name).cast("string").alias(name), n).withColumn("i", F.row_number().over(Window.orderBy(F.desc(n), name)))  # ``most`` rows
+    kept = first.join(F.broadcast(whole)).where((F.col("m") <= most) | (F.col("i") < most))
+    rest = kept.groupBy("m", "total").agg(F.sum(n).alias("s")).where(F.col("m") > most).select(F.lit("OTHER").alias(name), (F.col("total") - F.col("s")).alias(n))
+    alone = whole.where((F.col("m") > most) & F.lit(most < 2)).select(F.lit("OTHER").alias(name), F.col("total").alias(n))
+    return kept.select(name, n).unionByName(rest).unionByName(alone)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import events as ev
+from ..operators import profiles
 from ..operators import tables
 from .registry import Tables, query
 
@@ -64,7 +65,7 @@ def span_status(spark, sf_dir):
 @query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS m FROM events)
 SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, max(value) FILTER (WHERE i = least(m - 1, floor(m * 0.95))) AS p95, max(value) AS most FROM r GROUP BY event_type""")
 def event_timing(spark, sf_dir):
-    return ev.timing(Tables(spark, sf_dir).events, "event_type", "value")
+    return profiles.timing(Tables(spark, sf_dir).events, "event_type", "value")
 
 
 @query("SELECT regexp_replace(regexp_replace(props, '0x[0-9a-fA-F]+', '#', 'g'), '[0-9]+', '#', 'g') AS message, count(*) AS n FROM events GROUP BY 1")
@@ -87,3 +88,45 @@ def activity_feed(spark, sf_dir):
 @query(f"WITH {LOG} SELECT event_id, status FROM log WHERE NOT (ts < TIMESTAMP '2024-01-25' - INTERVAL 14 DAYS AND status IN ('completed', 'failed'))")
 def retention(spark, sf_dir):
     return tables.keep_recent(log(Tables(spark, sf_dir)), "ts", 14, "2024-01-25 00:00:00", ["completed", "failed"]).select("event_id", "status")
+
+
+_LINES = """ll AS (SELECT user_id AS log, event_id AS line, CASE WHEN event_id % 50 = 0 THEN '    at shop.Cart(' || event_id || ')' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') || CASE event_type WHEN 'error' THEN ' [ERROR]: ' WHEN 'purchase' THEN ' Warning - ' WHEN 'view' THEN ' ' ELSE ' info ' END
+  || event_type || ' took ' || (event_id % 7) || 'ms of 0x' || lower(hex(event_id % 3)) || ' ' || props END AS text FROM events),
+r AS (SELECT *, regexp_replace(upper(regexp_extract(text, '(?i)\\b(TRACE|DEBUG|INFO|NOTICE|WARN(?:ING)?|ERROR|CRITICAL|FATAL|SEVERE)\\b', 1)), 'WARNING', 'WARN') AS level, regexp_extract(text, '\\b([0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2})', 1) AS stamp,
+  left(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)^.*?\\b(TRACE|DEBUG|INFO|NOTICE|WARN(?:ING)?|ERROR|CRITICAL|FATAL|SEVERE)\\b', ''),
+    '(?i)\\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\\b|\\b0x[0-9a-f]+\\b|\\b[0-9]+(?:\\.[0-9]+)?\\b', '#', 'g'), '^[ :\\-\\[\\]]+', ''), '[ :\\-\\[\\]]+$', ''), 160) AS message FROM ll)"""
+
+
+def _read(d):
+    level = F.when(F.col("event_type") == "error", " [ERROR]: ").when(F.col("event_type") == "purchase", " Warning - ").when(F.col("event_type") == "view", " ").otherwise(" info ")
+    k = F.col("event_id")
+    text = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), level, "event_type", F.lit(" took "), k % 7, F.lit("ms of 0x"), F.lower(F.hex(k % 3)), F.lit(" "), "props")
+    trace = F.concat(F.lit("    at shop.Cart("), k, F.lit(")"))
+    return profiles.read_lines(d.events.select(F.col("user_id").alias("log"), k.alias("line"), F.when(k % 50 == 0, trace).otherwise(text).alias("text")))
+
+
+@query(f"WITH {_LINES} SELECT log, count(*) AS lines, count(*) FILTER (WHERE level = 'ERROR') AS errors, min(nullif(stamp, '')) AS first_stamp, max(nullif(stamp, '')) AS last_stamp, count(*) FILTER (WHERE regexp_matches(text, '^\\s+at \\S+\\(.*\\)$')) AS traces FROM r GROUP BY log")
+def log_summary(spark, sf_dir):
+    """The events of a user as a log of text lines."""
+    return profiles.log_summary(_read(Tables(spark, sf_dir)))
+
+
+@query(f"WITH {_LINES} SELECT log, level, count(*) AS n FROM r WHERE level <> '' GROUP BY log, level")
+def log_levels(spark, sf_dir):
+    return profiles.log_levels(_read(Tables(spark, sf_dir)))
+
+
+@query(f"WITH {_LINES} SELECT log, message, n FROM (SELECT *, row_number() OVER (PARTITION BY log ORDER BY n DESC, message) AS place FROM (SELECT log, message, count(*) AS n FROM r WHERE message <> '' GROUP BY log, message) WHERE n > 1) WHERE place <= 10")
+def log_messages(spark, sf_dir):
+    return profiles.top_messages(_read(Tables(spark, sf_dir)))
+
+
+@query(f"WITH {_LINES} SELECT log, line, left(trim(text), 200) AS text FROM (SELECT *, row_number() OVER (PARTITION BY log ORDER BY line) AS place FROM r WHERE level = 'ERROR') WHERE place <= 20")
+def log_errors(spark, sf_dir):
+    return profiles.first_errors(_read(Tables(spark, sf_dir)))
+
+
+@query("""SELECT count(*) AS samples, round(sum(value), 3) AS total, round(median(value), 3) AS p50, round(list_sort(list(value))[(least(count(*) - 1, floor(count(*) * 0.95)) + 1)::BIGINT], 3) AS p95, round(max(value), 3) AS most,
+round((SELECT max(t) FROM (SELECT sum(value) AS t FROM events GROUP BY event_type)) / sum(value), 3) AS share_of_first FROM events""")
+def timing_profile(spark, sf_dir):
+    return profiles.profile(Tables(spark, sf_dir).events, "event_type", "value")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph
+from ..operators import graph, resolution
 from .registry import Tables, query
 
 
@@ -115,11 +115,13 @@ def invalidation(spark, sf_dir):
     return graph.propagate(depends, d.part.where("p_size = 50").select(F.col("p_partkey").alias("key")))
 
 
-@query("""WITH p AS (SELECT DISTINCT p_brand AS key, 'part:' || p_type AS dst FROM part WHERE p_size < 3), c AS (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM p),
-w AS (SELECT DISTINCT 'order:' || l_orderkey AS src, p_brand AS key FROM lineitem JOIN part ON l_partkey = p_partkey)
+@query("""WITH p AS (SELECT DISTINCT p_brand || p_size AS key, 'part:' || p_type AS dst FROM part), c AS (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM p),
+w AS (SELECT DISTINCT 'order:' || l_orderkey AS src, p_brand || p_size AS key FROM lineitem JOIN part ON l_partkey = p_partkey)
 SELECT src, coalesce(dst, 'external:' || w.key) AS dst, max(CASE WHEN n IS NULL THEN 0.2::DOUBLE WHEN n = 1 THEN 1.0::DOUBLE ELSE 0.6::DOUBLE END) AS confidence FROM w LEFT JOIN (SELECT * FROM c WHERE n <= 8) c ON w.key = c.key GROUP BY 1, 2""")
 def import_resolution(spark, sf_dir):
+    """Orders import the keys of their parts, brand and size, from all parts' types."""
     d = Tables(spark, sf_dir)
-    provided = d.part.where("p_size < 3").select(F.col("p_brand").alias("key"), F.concat(F.lit("part:"), F.col("p_type")).alias("dst"))
-    wanted = d.lineitem.join(d.part, F.col("l_partkey") == F.col("p_partkey")).select(F.concat(F.lit("order:"), F.col("l_orderkey")).alias("src"), F.col("p_brand").alias("key"))
-    return graph.resolve_imports(wanted, provided)
+    key = F.concat("p_brand", F.col("p_size").cast("string")).alias("key")
+    provided = d.part.select(key, F.concat(F.lit("part:"), F.col("p_type")).alias("dst"))
+    wanted = d.lineitem.join(d.part, F.col("l_partkey") == F.col("p_partkey")).select(F.concat(F.lit("order:"), F.col("l_orderkey")).alias("src"), key)
+    return resolution.import_targets(wanted, provided).groupBy("src", "dst").agg(F.max("confidence").alias("confidence"))

@@ -102,7 +102,7 @@ def identifiers(spark, sf_dir):
 
 
 @query(r"""WITH h AS (SELECT page_id, ltrim(substr(html, 1, 400)) AS s FROM pages UNION ALL SELECT -doc_id - 1, ltrim(substr(text, 1, 400)) FROM documents UNION ALL SELECT 1000000000 + event_id, ltrim(substr(props, 1, 400)) FROM events)
-SELECT page_id, CASE WHEN regexp_matches(s, '(?i)^<!doctype html|^<html') THEN 'html' WHEN starts_with(s, '<?xml') OR regexp_matches(s, '^<[A-Za-z]') THEN 'xml' WHEN regexp_matches(s, '^[\[{]') THEN 'json' WHEN regexp_matches(s, '(?m)^#{1,6} ') THEN 'markdown' ELSE 'text' END AS format FROM h""")
+SELECT page_id, CASE WHEN starts_with(s, '<?xml') THEN 'xml' WHEN regexp_matches(s, '(?i)^<!doctype html') OR starts_with(s, '<') AND regexp_matches(s, '(?i)<(html|body|div|p|h1)\b') THEN 'html' WHEN regexp_matches(s, '^<[A-Za-z_][\w:.-]*[\s>/]') THEN 'xml' WHEN regexp_matches(s, '^[\[{]') THEN 'json' WHEN regexp_matches(s, '(?m)^#{1,6} ') THEN 'markdown' ELSE 'text' END AS format FROM h""")
 def sniffed_formats(spark, sf_dir):
     d = Tables(spark, sf_dir)
     rows = d.pages.select("page_id", F.col("html").alias("s")).union(d.documents.select(-F.col("doc_id") - 1, "text")).union(d.events.select(F.col("event_id") + 1000000000, "props"))

@@ -19,9 +19,9 @@ def file_page(spark, sf_dir):
     return scans.key_page(rows, "path", "PROMO B", 100, "P")
 
 
-@query("SELECT doc_id, coalesce(array_to_string(list_slice(string_split(text, chr(10)), 2, 4), chr(10)), '') AS slice FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, coalesce(array_to_string(list_slice(string_split(text, chr(10)), 2, 4), chr(10)), '') AS slice FROM documents")
 def line_slice(spark, sf_dir):
-    return Tables(spark, sf_dir).documents.where("text IS NOT NULL").select("doc_id", scans.line_slice(F.col("text"), 2, 900, 3).alias("slice"))
+    return Tables(spark, sf_dir).documents.select("doc_id", scans.line_slice(F.coalesce("text", F.lit("")), 2, 900, 3).alias("slice"))
 
 
 @query("SELECT doc_id, sha1('blob ' || strlen(text) || chr(0) || text) AS blob_sha1 FROM documents")

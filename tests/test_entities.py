@@ -37,7 +37,7 @@ def test_long_words_end_in_time(spark):
     import time
 
     began = time.perf_counter()
-    for text in ("aA" * 200_000, "a/" * 200_000, "a." * 200_000, "_a" * 200_000, "`" * 200_001, "add " * 100_000, "named " * 60_000):
+    for text in ("aA" * 200_000, "a/" * 200_000, "a." * 200_000, "." * 40_000 + "a" + "." * 40_000 + "-", "_a" * 200_000, "`" * 200_001, "add " * 100_000, "named " * 60_000):
         named(spark, text)
     assert time.perf_counter() - began < 60
 
