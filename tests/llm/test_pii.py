@@ -126,3 +126,37 @@ def test_tokens_without_digits_are_scored():
     own[pii.hash_feature(f"s:{pii.shape(rare)}"), pii.LABELS.index("secret")] += 40
     text = "word " * 50 + rare + " word" * 50
     assert pii.crf_spans([text], pii.Crf(own, m.before, m.after, m.move, m.start)) == [[(4, 250, 260)]]
+
+
+def test_query_against_brute_force(spark, tmp_path):
+    """The contract's columns of the query itself."""
+    import hashlib
+
+    rows = [*enumerate(TEXTS), (0, TEXTS[0]), (50, "a@b.cc +49 30 1234567 é x@y.zz 1.2.3.4, 4111 1111 1111 1111")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = pii.op8_pii(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    texts = dict(rows)
+    kinds = ["email", "ip", "card", "phone"]
+    for r in got:
+        base = sorted(brute(texts[r["doc_id"]]), key=lambda s: (kinds.index(s[0]), s[1]))
+        told = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert [r[f"n_{k}"] for k in kinds] == [sum(s[0] == k for s in base) for k in kinds]
+        assert r["base_sha256"] == hashlib.sha256(told.encode()).hexdigest()
+        spans = [s.split(":") for s in r["spans"].split(",") if s]
+        assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(r["spans"].split(",")) and [(pii.KINDS.index(k), int(a)) for k, a, _ in spans] == sorted((pii.KINDS.index(k), int(a)) for k, a, _ in spans)
+
+
+def test_recall_of_planted_spans(spark):
+    """What no base pattern finds: phones in brackets and values of secret names, by rules of this test."""
+    rules = [r"(?<![+\d] )(?<!\d)\(\d{3}\) \d{3}-\d{4}\b", r"\b(?:password|token|secret|api_key)\s*[=:]\s*[\"']?[A-Za-z0-9]*\d[A-Za-z0-9]{7,}"]
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text rlike '[(][0-9]{3}[)] [0-9]{3}-|(password|token|secret|api_key) ?[=:]'")
+    want = found = 0
+    for r in pii.find_pii(docs.select("doc_id", "text")).collect():
+        base = [(s["start"], s["end"]) for s in r["spans"] if s["base"]]
+        for rule in rules:
+            for m in re.finditer(rule, r["text"]):
+                if not any(a < m.end() and m.start() < b for a, b in base):
+                    want += 1
+                    found += any(s["start"] < m.end() and m.start() < s["end"] for s in r["spans"])
+    assert want > 50 and found >= 0.95 * want, (found, want)

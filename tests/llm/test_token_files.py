@@ -43,3 +43,20 @@ def test_damage_is_found(spark):
     bad = files.selectExpr("part", "doc_ids", "offsets", "lengths", "sizes", "transform(crcs, c -> c + 1) AS crcs", "blocks")
     with pytest.raises(Exception, match="checksum"):
         tf.read_token_files(bad).collect()
+
+
+def test_query_against_the_library(spark, tmp_path):
+    """The contract's columns of the query itself, read back from the files."""
+    import struct
+    import zlib
+
+    rng = random.Random(4)
+    rows = [(i * 7 % 60, " ".join(rng.choice(["The", "word's", "Éa", "12", "<|endoftext|>", "\n"]) for _ in range(rng.randrange(40)))) for i in range(60)] + [(60, None), (61, ""), (62, "long " * 5000)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in tf.op4_token_files(spark, str(tmp_path)).select("doc_id", "start", "n_tokens", "ids_crc32").collect())
+    lib, start, want = Tokenizer.from_file(tf.default_tokenizer()), 0, []
+    for i, text in sorted(rows):
+        ids = [*lib.encode(text or "", add_special_tokens=False).ids, 2]
+        want.append((i, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
+        start += len(ids)
+    assert got == want
