@@ -16,7 +16,7 @@ _key = lambda c: F.concat(F.lit("d:"), F.col(c).cast("string"))
 def _batches(d, per_source=LEVEL.per_source):
     """Hits by content, by number of terms, and by nearness to the best content hit's vector; and the terms' overlap."""
     terms, index = search.question_index(d.documents, d.benchmark)
-    weights = search.idf_weights(terms, search.document_frequency(index, terms), d.documents.count())
+    weights = search.idf_weights(terms, search.document_frequency(index, terms), d.documents)
     hits = stage(index.join(weights, "term").groupBy("q", "doc").agg(F.round(F.sum("idf"), 6).alias("idf"), F.count("*").alias("n")), "hits")
     content = stage(search.top_k(hits.select("q", "doc", F.col("idf").alias("score")), per_source), "content")
     exact = search.top_k(hits.select("q", "doc", F.col("n").alias("score")), per_source)

@@ -117,7 +117,7 @@ fused AS (SELECT q, doc, array_to_string(list_sort(list_distinct(list(source))),
 
 def _fused(d):
     terms, index = search.question_index(d.documents, d.benchmark)
-    weights = search.idf_weights(terms, search.document_frequency(index, terms), d.documents.count())
+    weights = search.idf_weights(terms, search.document_frequency(index, terms), d.documents)
     hits = index.join(weights, "term").groupBy("q", "doc").agg(F.round(F.sum("idf"), 6).alias("idf"), F.count("*").alias("n"))
     content = search.top_k(hits.select("q", "doc", F.col("idf").alias("score")), 10).select("q", "doc", F.lit("content").alias("source"), "rank")
     exact = search.top_k(hits.select("q", "doc", F.col("n").alias("score")), 10).select("q", "doc", F.lit("exact").alias("source"), "rank")
