@@ -131,10 +131,11 @@ def _python(lines: list[str]) -> Marks:
     return out
 
 
-def tags(text: str):
+def tags(text: str, bare: bool = False):
     """(offset, closing, name, attributes) of each tag in turn; comments, CDATA, instructions and the doctype are stepped over.
 
     A bracket that begins no tag, or a tag cut off by the next bracket or the end, is text.  Each character is read once or twice.
+    With ``bare`` the slash of an empty element may follow its name at once; outlines cut at those with a blank only.
     """
     at, missing = 0, set()
     while (at := text.find("<", at)) >= 0:
@@ -156,7 +157,7 @@ def tags(text: str):
             close, opened = _BRACKET.search(text, m.end()), m.end()
             if not close:
                 return
-            if close[0] == ">" and (close.start() == opened or text[opened].isspace()):
+            if close[0] == ">" and (close.start() == opened or text[opened].isspace() or (bare and text[opened] == "/")):
                 yield at, bool(m[1]), m[2], text[opened : close.start()]
                 at = close.end()
             else:

@@ -74,7 +74,7 @@ def _structure(text: str) -> tuple:
     counts: Counter[str] = Counter()
     stack: list[str] = []
     root, depth, top = None, 0, []
-    for _, closing, name, attributes in tags(text):
+    for _, closing, name, attributes in tags(text, bare=True):
         if closing:
             if not stack or stack.pop() != name:
                 return "malformed", None, 0, 0, [], []
