@@ -114,10 +114,20 @@ def round_robin(ranked: DataFrame, bucket: str, order: list[Column], limit: int)
     return ranked.withColumn("place", place).where(F.col("place") <= limit).orderBy("place", bucket).limit(limit)
 
 
+#: Places that points and spans meet in; a span is repeated for each such stretch that it lies over.
+STRETCH = 64
+
+
 def innermost(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, name: str) -> DataFrame:
-    """Each point with the innermost span of its key that holds it, or null: the one that starts last."""
-    met = points.join(spans.select(key, start, end, name), key, "left").where(F.col(start).isNull() | ((F.col(start) <= F.col(at)) & (F.col(at) <= F.col(end))))
-    inside = met.groupBy(key, at).agg(F.max_by(name, F.struct(start, -F.col(end), name)).alias(name))
+    """Each point with the innermost span of its key that holds it, or null: the one that starts last, of these the shortest, then the last name.
+
+    Points and spans meet by key and stretch of STRETCH places, so that a point is held against the spans near it and not against all
+    of its key.  A null place is in no span.
+    """
+    stretch = lambda c: F.floor(F.col(c) / STRETCH)
+    laid = spans.where(F.col(start) <= F.col(end)).select(key, start, end, name, F.explode(F.sequence(stretch(start), stretch(end))).alias("__stretch"))
+    asked = points.select(key, at).distinct().withColumn("__stretch", stretch(at))
+    inside = asked.join(laid, [key, "__stretch"]).where((F.col(start) <= F.col(at)) & (F.col(at) <= F.col(end))).groupBy(key, at).agg(F.max_by(name, F.struct(start, -F.col(end), name)).alias(name))
     return points.join(inside, [key, at], "left")
 
 

@@ -71,3 +71,18 @@ def test_tree(spark, tmp_path):
     state = spark.createDataFrame([("a/b.py", 6, blob(b"x = 2\n")), ("a/win.md", 8, blob(b"one\ntwo\n")), ("gone", 1, "h"), ("big.sql", 200, None), ("bin.dat", 3, blob(b"a\0b")), ("odd.txt", 2, blob(b"\xff\xfe")), ("Dockerfile", 7, blob(b"FROM x\n"))], "path string, size long, blob_sha1 string")
     assert {r["path"]: r["change"] for r in tree.compare(rows, state).collect()} == {"a/b.py": "changed", "gone": "deleted", "a/b": "added"}
     assert rows.where(F.col("language") == "python").count() == 1
+
+
+def test_innermost_spans_against_all_pairs(spark):
+    from sparkloom.operators import measures
+
+    rng = random.Random(7)
+    spans = [(rng.choice("ab"), a, a + rng.choice([0, 3, 50, 400, -1]), k) for k, a in enumerate(rng.randrange(300) for _ in range(60))]
+    points = [(rng.choice("abc"), rng.randrange(-5, 500)) for _ in range(200)] + [("a", None)]
+    got = measures.innermost(spark.createDataFrame(points, "k string, line int"), spark.createDataFrame(spans, "k string, a int, z int, name int"), "k", "line", "a", "z", "name").collect()
+
+    def best(k, line):
+        held = [s for s in spans if s[0] == k and line is not None and s[1] <= line <= s[2]]
+        return max(held, key=lambda s: (s[1], -s[2], s[3]))[3] if held else None
+
+    assert sorted((r["k"], r["line"] or -99, r["name"] or -1) for r in got) == sorted((k, line or -99, best(k, line) or -1) for k, line in points)
