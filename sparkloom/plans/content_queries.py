@@ -26,12 +26,14 @@ def chunk_search(spark, sf_dir):
 
 
 def _questions(d):
-    return d.benchmark.select(F.col("item_id").alias("q"), "text")
+    """The benchmark's texts, each with a source and a number that files are named by."""
+    k = F.col("item_id")
+    return d.benchmark.select(k.alias("q"), F.concat("text", F.lit(" of src"), k % 10, F.lit(", ADR "), k).alias("text"))
 
 
 def _sections(d):
     """Ten documents to a file, each a chunk with its first line as heading: chunks that SQL can make too."""
-    path = F.concat(F.lit("docs/"), F.coalesce("source", F.lit("none")), F.lit("/"), (F.col("doc_id") / 10).cast("long"), F.lit(".md"))
+    path = F.concat(F.lit("docs/"), F.coalesce("source", F.lit("none")), F.lit("/adr-"), (F.col("doc_id") / 10).cast("long"), F.lit(".md"))
     text = F.coalesce("text", F.lit(""))
     return d.documents.select(path.alias("path"), (F.col("doc_id") % 10).alias("ordinal"), F.substring_index(text, "\n", 1).alias("heading"), text.alias("text"), t.names(text).alias("names"))
 
@@ -40,8 +42,9 @@ _ENDINGS = "|".join(t.FILE_ENDINGS)
 _BARE = f"list_transform(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*(?:\\.[A-Za-z_][A-Za-z0-9_]*)*'), lambda w: regexp_replace(w, '(?i)\\.(?:{_ENDINGS})$', ''))"
 _NAMES = f"flatten(list_transform({_BARE}, lambda w: list_filter(list_concat(CASE WHEN contains(w, '.') THEN [w] ELSE [] END, string_split(w, '.')), lambda p: length(p) <= 120 AND (length(p) >= 3 OR contains(p, '.')))))"
 _CHUNKS = f"""
-chunks AS (SELECT 'docs/' || coalesce(source, 'none') || '/' || (doc_id // 10) || '.md' AS path, doc_id % 10 AS ordinal, split_part(coalesce(text, ''), chr(10), 1) AS heading, coalesce(text, '') AS text FROM documents),
-qt AS (SELECT item_id AS q, {kept(tok('text'))} AS ts FROM benchmark),
+bq AS (SELECT item_id, text || ' of src' || (item_id % 10) || ', ADR ' || item_id AS text FROM benchmark),
+chunks AS (SELECT 'docs/' || coalesce(source, 'none') || '/adr-' || (doc_id // 10) || '.md' AS path, doc_id % 10 AS ordinal, split_part(coalesce(text, ''), chr(10), 1) AS heading, coalesce(text, '') AS text FROM documents),
+qt AS (SELECT item_id AS q, {kept(tok('text'))} AS ts FROM bq),
 qw AS (SELECT q, {_stem_sql('w')} AS term, min(pos) AS pos FROM (SELECT q, unnest(d) AS w, unnest(range(0, len(d))) AS pos FROM (SELECT q, ({distinct('ts')})[1:48] AS d FROM qt)) GROUP BY ALL),
 tagged AS (SELECT path, ordinal, unnest({tok('text')}) AS w, 0 AS h, 0 AS p FROM chunks UNION ALL SELECT path, ordinal, unnest({tok('heading')}), 1, 0 FROM chunks UNION ALL SELECT path, ordinal, unnest({tok('path')}), 0, 1 FROM chunks),
 post AS (SELECT path, ordinal, term, max(h) AS h, max(p) AS p FROM (SELECT path, ordinal, {_stem_sql('w')} AS term, h, p FROM tagged) WHERE term IN (SELECT term FROM qw) GROUP BY path, ordinal, term),
@@ -50,7 +53,7 @@ wt AS (SELECT q, term, idf, df <= 3 AS rare FROM (SELECT *, row_number() OVER (P
 cn AS (SELECT path, ordinal, name FROM (SELECT path, ordinal, name, row_number() OVER (PARTITION BY path, ordinal ORDER BY min(pos)) AS r FROM (
   SELECT path, ordinal, unnest(ns) AS name, unnest(range(0, len(ns))) AS pos FROM (SELECT path, ordinal, {_NAMES} AS ns FROM chunks)) GROUP BY path, ordinal, name) WHERE r <= 300),
 qn AS (SELECT q, name FROM (SELECT q, name, row_number() OVER (PARTITION BY q ORDER BY min(pos)) AS r FROM (
-  SELECT item_id AS q, unnest(ns) AS name, unnest(range(0, len(ns))) AS pos FROM (SELECT item_id, {_NAMES} AS ns FROM benchmark)) WHERE regexp_matches(name, '[A-Za-z0-9]_[A-Za-z0-9]|[.]|[a-z][A-Z]') GROUP BY q, name) WHERE r <= 20),
+  SELECT item_id AS q, unnest(ns) AS name, unnest(range(0, len(ns))) AS pos FROM (SELECT item_id, {_NAMES} AS ns FROM bq)) WHERE regexp_matches(name, '[A-Za-z0-9]_[A-Za-z0-9]|[.]|[a-z][A-Z]') GROUP BY q, name) WHERE r <= 20),
 hits AS (SELECT q, path, ordinal, sum(word)::BIGINT AS n_words, sum(rare)::BIGINT AS n_rare, max(named) AS named, round(sum(points), 6) AS score FROM (
   SELECT q, path, ordinal, 1 AS word, rare::INT AS rare, 0 AS named, idf * (1 + 0.5::DOUBLE * h + 0.4::DOUBLE * p) AS points FROM post JOIN wt USING (term)
   UNION ALL SELECT DISTINCT q, path, ordinal, 0, 0, 1, 2.5::DOUBLE FROM cn JOIN qn USING (name)) GROUP BY q, path, ordinal),
@@ -79,7 +82,7 @@ def _covered(stems: str, words: str) -> str:
 _PATHS = f"""
 qs AS (SELECT q, ({distinct('s')})[1:24] AS stems, numbers FROM (SELECT q, list_transform({distinct('ts')}, lambda t: {_stem_sql('t')}) AS s, numbers FROM (
   SELECT item_id AS q, list_filter(({distinct('k')})[1:72], lambda t: length(t) >= 4 AND NOT list_contains({_FILLER}, t) AND NOT list_contains({_FILLER}, {_stem_sql('t')})) AS ts,
-    list_distinct(regexp_extract_all(text, '(?i)\\b(?:adr|rfc|decision)[ #-]*0*([0-9]+)', 1))[1:4] AS numbers FROM (SELECT item_id, text, {kept(tok('text'))} AS k FROM benchmark)))),
+    list_distinct(regexp_extract_all(text, '(?i)\\b(?:adr|rfc|decision)[ #-]*0*([0-9]+)', 1))[1:4] AS numbers FROM (SELECT item_id, text, {kept(tok('text'))} AS k FROM bq)))),
 pf AS (SELECT DISTINCT path FROM chunks),
 pw AS (SELECT path, {tok("translate(path, '/.-', '   ')")} AS words, regexp_extract(lower(path), '(?:^|/)(?:adr[-_ ]?)?0*([0-9]+)[-_. ][^/]*$', 1) AS number FROM pf),
 named AS (SELECT q, path, list_contains(numbers, number)::INT AS numbered, {_covered('stems', 'words')} AS terms FROM qs, pw
