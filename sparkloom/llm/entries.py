@@ -34,5 +34,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_chat_format": chat.ORACLE,
         "op5_line_dedup": line_dedup.ORACLE,
         "op6_exact_dedup": exact_dedup.ORACLE,
+        "op7_decontamination": decontaminate.ORACLE,
         "op11_centroid_clustering": clustering.ORACLE,
     }
