@@ -125,9 +125,9 @@ def test_stubs_and_secrets(spark):
 
 
 def test_names(spark):
-    text = "see pyproject.toml, eios.retention and uq_run_seq; a.b Retry.Policy.py"
+    text = "see pyproject.toml, shop.retention and uq_run_seq; a.b Retry.Policy.py"
     got = spark.createDataFrame([(text,)], "t string").select(t.names(F.col("t"))).first()[0]
-    assert got == ["see", "pyproject", "eios.retention", "eios", "retention", "and", "uq_run_seq", "a.b", "Retry.Policy", "Retry", "Policy"]
+    assert got == ["see", "pyproject", "shop.retention", "shop", "retention", "and", "uq_run_seq", "a.b", "Retry.Policy", "Retry", "Policy"]
 
 
 def test_search_by_heading_path_and_name(spark):

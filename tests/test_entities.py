@@ -18,7 +18,7 @@ def named(spark, text, **hints):
         ("README, Dockerfile and .env.example, not ./env", [("README.md", "path", False, False), ("Dockerfile", "path", False, False), (".env.example", "path", False, False), ("env", "identifier", False, False), ("example", "identifier", False, False)]),
         ("add a nullable correlation_id column to event_log", [("correlation_id", "identifier", False, True), ("event_log", "identifier", False, False)]),
         ("a class called FooBar", [("FooBar", "identifier", False, True)]),
-        ("eios.retention.Service runs", [("eios", "identifier", False, False), ("retention", "identifier", False, False), ("Service", "identifier", False, False)]),
+        ("shop.retention.Service runs", [("shop", "identifier", False, False), ("retention", "identifier", False, False), ("Service", "identifier", False, False)]),
         ("SQL and JSON, The API of YAML; MAX_SIZE", [("MAX_SIZE", "identifier", False, False)]),
         ("config.toml (app.py), x.exe", [("config.toml", "path", False, False), ("app.py", "path", False, False)]),
         ("", []), (None, []),
