@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..arrow import in_batches
 from ..functions import text as t
 from ..functions.outline import SOFT, STRONG, outline
 
@@ -21,6 +22,7 @@ CHARS = (400, 1500, 2000)
 # fixed values: a stub's lines and their length
 STUB_LINES, STUB_CHARS = 12, 200
 
+SCHEMA = pa.schema([("path", pa.string()), ("language", pa.string()), *((c, pa.int32()) for c in ("ordinal", "start_line", "end_line")), ("heading", pa.string()), ("text", pa.string()), ("status", pa.string())])
 ROWS = "path string, language string, ordinal int, start_line int, end_line int, heading string, text string, status string"
 
 
@@ -89,19 +91,16 @@ def file_chunks(files: DataFrame, stub_chars: int | None = None, stub_line: int
     instead.  Repeated rows give repeated chunks; other columns are ignored.
     """
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for path, language, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k in range(batch.num_rows):
+                path, language, text = (c[k].as_py() for c in batch.columns)
                 if not text or not text.strip():
                     continue
                 large = (stub_chars is not None and len(text) > stub_chars) or (stub_line is not None and any(len(x) > stub_line for x in text.split("\n")))
-                found = [x for x in [_stub(text)] if x] if large else list(chunked(text, language))
-                n = len(found)
-                if n:
-                    columns = list(zip(*found, strict=True))
-                    ints = [pa.array(range(n), pa.int32()), *(pa.array(c, pa.int32()) for c in columns[:2])]
-                    strings = [pa.array(c, pa.string()) for c in (*columns[2:], ["stub" if large else "chunked"] * n)]
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array([language] * n, pa.string()), *ints, *strings], [f.split()[0] for f in ROWS.split(", ")])
+                found = [x for x in [_stub(text)] if x] if large else chunked(text, language)
+                for n, chunk in enumerate(found):
+                    yield path, language, n, *chunk, "stub" if large else "chunked"
 
     masked = files.select("path", "language", t.redact(F.col("text")).alias("text"))
-    return masked.mapInArrow(step, ROWS).withColumn("names", t.names(F.col("text")))
+    return masked.mapInArrow(lambda batches: in_batches(rows(batches), SCHEMA), ROWS).withColumn("names", t.names(F.col("text")))

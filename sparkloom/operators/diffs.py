@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..arrow import in_batches
+
 CONTEXT = 3
 #: Rows of bits are kept up to so many; larger problems are split in two first.
 KEPT_BITS = 1 << 26
@@ -132,6 +134,7 @@ def hunks(old: list[str], new: list[str], changed: list[tuple[int, int, int, int
 
 _LINE = pa.struct([("t", pa.string()), ("o", pa.int32()), ("n", pa.int32()), ("s", pa.string())])
 _HUNKS = pa.list_(pa.struct([("old_start", pa.int32()), ("new_start", pa.int32()), ("lines", pa.list_(_LINE))]))
+_SCHEMA = pa.schema([("path", pa.string()), ("additions", pa.int64()), ("deletions", pa.int64()), ("hunks", _HUNKS)])
 DIFF = "path string, additions bigint, deletions bigint, hunks array<struct<old_start:int,new_start:int,lines:array<struct<t:string,o:int,n:int,s:string>>>>"
 
 
@@ -148,14 +151,12 @@ def file_diffs(old: DataFrame, new: DataFrame, context: int = CONTEXT) -> DataFr
     sides = (df.join(differ, "path", "left_semi").select("path", F.col("text").alias(c)) for df, c in ((old, "old"), (new, "new")))
     texts = next(sides).join(next(sides), "path", "full").select(F.col("path").cast("string"), "old", "new")
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for k in range(batch.num_rows):
                 path, a, b = (c[k].as_py() for c in batch.columns)
                 a, b = lines_of(a), lines_of(b)
                 changed = changes(matches(a, b), len(a), len(b))
-                counts = sum(c[3] - c[2] for c in changed), sum(c[1] - c[0] for c in changed)
-                arrays = [pa.array([path], pa.string()), *(pa.array([n], pa.int64()) for n in counts), pa.array([hunks(a, b, changed, context)], _HUNKS)]
-                yield pa.RecordBatch.from_arrays(arrays, ["path", "additions", "deletions", "hunks"])
+                yield path, sum(c[3] - c[2] for c in changed), sum(c[1] - c[0] for c in changed), hunks(a, b, changed, context)
 
-    return texts.mapInArrow(step, DIFF)
+    return texts.mapInArrow(lambda batches: in_batches(rows(batches), _SCHEMA, 64), DIFF)

@@ -8,12 +8,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..arrow import in_batches
 from ..functions import text as t
 from ..functions.source import facts
 from .resolution import import_targets, resolve_calls
 
 FACTS = "path string, language string, fact string, kind string, name string, qualified string, start_line int, end_line int, detail string"
 
+SCHEMA = pa.schema([*((c, pa.string()) for c in ("path", "language", "fact", "kind", "name", "qualified")), ("start_line", pa.int32()), ("end_line", pa.int32()), ("detail", pa.string())])
+
 
 def source_facts(files: DataFrame) -> DataFrame:
     """Facts of files (path, language, text): one Arrow pass where they lie, a text at a time.
@@ -21,19 +24,15 @@ def source_facts(files: DataFrame) -> DataFrame:
     Null texts and unknown languages have none.  Text that doesn't parse gives what can be told: brackets that never close end with
     the text.  Repeated rows give repeated facts.
     """
-    types = [pa.string()] * 4 + [pa.int32()] * 2 + [pa.string()]
-    names = [f.split()[0] for f in FACTS.split(", ")]
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for k in range(batch.num_rows):
                 path, language, text = (c[k].as_py() for c in batch.columns)
-                found = list(facts(language, text or ""))
-                if found:
-                    columns = [pa.array(c, x) for c, x in zip(zip(*found, strict=True), types, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(found), pa.string()), pa.array([language] * len(found), pa.string()), *columns], names)
+                for fact in facts(language, text or ""):
+                    yield path, language, *fact
 
-    return files.select("path", "language", "text").mapInArrow(step, FACTS)
+    return files.select("path", "language", "text").mapInArrow(lambda batches: in_batches(rows(batches), SCHEMA), FACTS)
 
 
 def symbol_key(path, qualified):
