@@ -92,20 +92,30 @@ def path_hits(paths: DataFrame, questions: DataFrame) -> DataFrame:
     """q, path, numbered, terms: files whose lower-cased path holds a stem of the question, or the number of a decision it names.
 
     ``terms`` are the question's stems that match a word of the path.  Stems meet paths in their first GRAM letters, which every stem
-    has, so that no question is held against all paths.
+    has, and words in theirs, so that no question is held against all paths; a path is cut into words, and each stemmed, once.
     """
-    asked = questions.select("q", t.query_terms(F.col("text"), 24).alias("stems"), t.document_numbers(F.col("text")).alias("numbers"))
+    asked = stage(questions.select("q", t.query_terms(F.col("text"), 24).alias("stems"), t.document_numbers(F.col("text")).alias("numbers")), "asked")
+    stems = asked.select("q", F.posexplode("stems").alias("pos", "stem"))
+    wanted = stems.select("stem", F.substring("stem", 1, GRAM).alias("gram")).distinct()
     low = F.lower("path")
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("path") - GRAM + 1))
     grams = paths.select("path", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(low, i, F.lit(GRAM))))).alias("gram"))
-    stems = asked.select("q", F.explode("stems").alias("stem")).withColumn("gram", F.substring("stem", 1, GRAM))
-    by_word = grams.join(stems, "gram").where(low.contains(F.col("stem"))).select("q", "path")
+    by_word = grams.join(wanted, "gram").where(low.contains(F.col("stem"))).select("path", "stem").join(stems.select("q", "stem"), "stem")
     number = F.regexp_extract(low, "(?:^|/)(?:adr[-_ ]?)?0*([0-9]+)[-_. ][^/]*$", 1)
-    numbered = paths.where(low.rlike("(^|/)((adrs?|decisions?|rfcs?)/|adr[-_ ]?)0*[0-9]+[-_. ][^/]*$")).select("path", number.alias("number"))
-    by_number = numbered.join(asked.select("q", F.explode("numbers").alias("number")), "number").select("q", "path")
-    words = t.tokens(F.translate("path", "/.-", "   "))
-    found = by_word.unionByName(by_number).distinct().join(asked, "q").withColumn("words", words)
-    return found.select("q", "path", F.array_contains("numbers", number).cast("int").alias("numbered"), t.covered_terms(F.col("stems"), F.col("words")).alias("terms"))
+    of_decision = low.rlike("(^|/)((adrs?|decisions?|rfcs?)/|adr[-_ ]?)0*[0-9]+[-_. ][^/]*$")
+    by_number = paths.select("path", number.alias("number"), of_decision.alias("found")).join(asked.select("q", F.explode("numbers").alias("number")), "number")
+    words = paths.select("path", F.explode(t.tokens(F.translate("path", "/.-", "   "))).alias("word")).select("path", t.stem(F.col("word")).alias("word")).distinct()
+    # stems have GRAM letters at least, and match words that share these
+    alike = words.withColumn("gram", F.substring("word", 1, GRAM)).join(wanted, "gram").where(t.stems_match(F.col("stem"), F.col("word")))
+    covered = alike.select("path", "stem").distinct().join(stems, "stem")
+
+    def of(rows: DataFrame, found: Column, numbered: int, term: Column) -> DataFrame:
+        return rows.select("q", "path", found.alias("found"), F.lit(numbered).alias("numbered"), term.alias("term"))
+
+    none = F.lit(None).cast("struct<pos:int,stem:string>")
+    every = of(by_word, F.lit(True), 0, none).unionByName(of(by_number, F.col("found"), 1, none)).unionByName(of(covered, F.lit(False), 0, F.struct("pos", "stem")))
+    each = every.groupBy("q", "path").agg(F.max("found").alias("found"), F.max("numbered").alias("numbered"), F.sort_array(F.collect_set("term")).alias("terms"))
+    return each.where("found").select("q", "path", "numbered", F.col("terms.stem").alias("terms"))
 
 
 def name_bonus(hits: DataFrame) -> DataFrame:

@@ -196,3 +196,25 @@ def test_covers_against_all_stretches(spark):
     got = {(r["q"], r["doc"]): (r["n_covers"], r["last"] - r["first"], r["score"]) for r in covers.cover_search(spark.createDataFrame(docs, "doc long, title string, body string"), queries).collect()}
     want = {(q, i): x for q, (_, clauses) in asked.items() for i, title, body in docs if (x := brute_covers(title or "", body or "", clauses))}
     assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_paths_are_stemmed_once_and_not_for_each_question(spark):
+    from sparkloom.functions import text as t
+
+    names = ["docs/source_web/adr-7.md", "docs/sources/adr-17.md", "src/renderers/tables.py", "decisions/0017-caching.md", "caches/17-x.md", "a/cach.py"]
+    paths = spark.createDataFrame([(p,) for p in names], "path string")
+    asked = [(1, "caching of the renderer, see ADR 17"), (2, "sources"), (3, "renders tables"), (4, None)]
+    questions = spark.createDataFrame(asked, "q long, text string")
+    hits = content.path_hits(paths, questions)
+    # words of paths and stems of questions meet as rows: no lambda runs over both for each pair
+    assert "exists(" not in hits._jdf.queryExecution().optimizedPlan().toString()
+    stems = F.col("stems")
+    words = t.tokens(F.translate("path", "/.-", "   "))
+    pairs = paths.crossJoin(questions.select("q", t.query_terms(F.col("text"), 24).alias("stems")).where(stems.isNotNull()))
+    want = {(r["q"], r["path"]): r["terms"] for r in pairs.select("q", "path", t.covered_terms(stems, words).alias("terms")).collect()}
+    got = hits.collect()
+    assert all(want[r["q"], r["path"]] == r["terms"] for r in got)
+    assert {(r["q"], r["path"], r["numbered"]) for r in got} == {
+        (1, "docs/sources/adr-17.md", 1), (1, "decisions/0017-caching.md", 1), (1, "caches/17-x.md", 1), (1, "a/cach.py", 0), (1, "src/renderers/tables.py", 0),
+        (2, "docs/source_web/adr-7.md", 0), (2, "docs/sources/adr-17.md", 0), (3, "src/renderers/tables.py", 0),
+    }
