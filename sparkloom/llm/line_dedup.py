@@ -170,12 +170,12 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_C
     probes = hashes.select("*", in_shard).join(loads, "shard").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
     copies = shards.select("*", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     hits = probes.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInArrow(_probe_shard(min_docs), "id long, hash binary")
-    # written, so that its size is known when Spark picks the join with the texts
     cuts = cut(hits.groupBy("id").agg(F.collect_set("hash").alias("cuts")), "line-cuts")
     discard(hashes, shards)
 
     rows = with_rest(docs, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"))
-    joined = rows.join(cuts, "id", "left").drop("id")
+    # cuts grow with the documents: the join that holds at any size, at each size
+    joined = rows.join(cuts.hint("merge"), "id", "left").drop("id")
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         kept, n_lines, n_dropped = [], [], []

@@ -71,3 +71,11 @@ def test_minimal_perfect_hash():
     assert sorted(order) == list(range(5000))
     at = line_dedup.probe_index(keys[4:], sizes, bits, keys[left])
     assert (at == order[4:]).all()
+
+
+def test_texts_meet_cuts_by_the_same_join_at_any_size(spark):
+    docs = spark.createDataFrame([(k, f"{'a line that many documents hold ' * 2}\n{k}") for k in range(8)], "doc_id long, text string")
+    done = line_dedup.drop_lines(docs)
+    plan = done._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert sorted((r["doc_id"], r["n_dropped"]) for r in done.collect()) == [(k, int(k < 7)) for k in range(8)]
