@@ -165,3 +165,20 @@ def test_retrieval_pipeline_ranks_what_repeats_nothing(spark):
         kept = sorted((r for r in rows if r["rank"]), key=lambda r: r["rank"])
         assert [r["rank"] for r in kept] == list(range(1, len(kept) + 1)) and len(kept) <= 20
         assert [(-r["final"], r["doc"]) for r in kept] == sorted((-r["final"], r["doc"]) for r in kept)
+
+
+def test_near_copies_deal_hashes_and_only_those_that_are_shared(spark, monkeypatch):
+    kept = {}
+
+    def staged(df, name):
+        kept[name] = df.localCheckpoint()
+        return kept[name]
+
+    monkeypatch.setattr(search, "stage", staged)
+    words = [f"w{k}" for k in range(40)]
+    docs = spark.createDataFrame([(1, " ".join(words), "x"), (2, " ".join(words + ["end"]), "x"), (3, " ".join(words), "y"), (4, " ".join(words), "x"), (5, " ".join(f"v{k}" for k in range(40)), "x"), (6, None, "x")], "doc_id long, text string, subject string")
+    got = sorted(map(tuple, search.near_copies(docs).collect()))
+    assert got == [(1, 2, round(38 / 39, 6)), (1, 4, 1.0)]
+    assert not any("array<string>" in kind for df in kept.values() for _, kind in df.dtypes)
+    assert {r["doc"] for r in kept["prefixes"].collect()} == {1, 2, 3}
+    assert {r["doc"] for r in kept["candidate-sets"].collect()} <= {1, 2, 3}
