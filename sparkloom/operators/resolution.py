@@ -21,29 +21,42 @@ def only_symbols(symbols: DataFrame) -> DataFrame:
     return symbols.distinct().groupBy("name").agg(F.count("*").alias("n"), F.first("symbol").alias("symbol")).where("n = 1").select("name", "symbol")
 
 
+def _packed_targets(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
+    """src, file, name, dsts, confidence: each call's surest targets in one row.
+
+    Targets are those of file and name, whoever calls there: they are found once for each such place, and only places without a symbol
+    of their own look into imported files.  Callers get them as arrays, which are as long as what the own and imported files define.
+    """
+    # written, as they are read several times and each reading would deal out all rows again
+    asked = stage(calls.distinct(), "calls")
+    places = stage(asked.select("file", "name").distinct(), "places")
+    defined = stage(symbols.distinct(), "symbols")
+    target = lambda df, confidence: df.select("file", "name", F.col("symbol").alias("dst"), F.lit(confidence).alias("confidence"))
+    own = target(places.join(defined, ["file", "name"]), OWN)
+    outside = places.join(defined.select("file", "name"), ["file", "name"], "left_anti").join(imports.distinct(), "file")
+    through = target(outside.join(defined.withColumnRenamed("file", "imported"), ["imported", "name"]), IMPORTED)
+    only = target(places.join(only_symbols(defined), "name"), ONLY)
+    sure = F.collect_set(F.when(F.col("confidence") > ONLY, F.col("dst"))).alias("sure")
+    best = own.unionByName(through).unionByName(only).groupBy("file", "name").agg(sure, F.max(F.when(F.col("confidence") == ONLY, F.col("dst"))).alias("one"), F.max("confidence").alias("confidence"))
+    known = best.select("file", "name", F.when(F.size("sure") > 0, F.col("sure")).otherwise(F.array("one")).alias("dsts"), "confidence")
+    dsts = F.coalesce("dsts", F.array(F.concat(F.lit("callee:"), F.col("name"))))
+    return asked.join(known, ["file", "name"], "left").select("src", "file", "name", dsts.alias("dsts"), F.coalesce("confidence", F.lit(UNKNOWN)).alias("confidence"))
+
+
 def call_targets(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
     """src, file, name, dst, confidence: each call's surest targets, or the placeholder ``callee:name``.
 
     Symbols of the call's own file come before those of imported files, these before the only symbol of the name in all files.
     Callers and definitions meet by file and name, never by a name that many share.
     """
-    asked = calls.distinct()
-    defined = symbols.distinct()
-    own = asked.join(defined, ["file", "name"]).select("src", "file", "name", F.col("symbol").alias("dst"), F.lit(OWN).alias("confidence"))
-    through = asked.join(imports.distinct(), "file").join(defined.withColumnRenamed("file", "imported"), ["imported", "name"])
-    imported = through.select("src", "file", "name", F.col("symbol").alias("dst"), F.lit(IMPORTED).alias("confidence"))
-    only = asked.join(only_symbols(symbols), "name").select("src", "file", "name", F.col("symbol").alias("dst"), F.lit(ONLY).alias("confidence"))
-    unknown = asked.select("src", "file", "name", F.concat(F.lit("callee:"), F.col("name")).alias("dst"), F.lit(UNKNOWN).alias("confidence"))
-    every = own.unionByName(imported).unionByName(only).unionByName(unknown)
-    best = every.groupBy("src", "file", "name").agg(F.max("confidence").alias("best"), F.collect_set(F.struct("confidence", "dst")).alias("found"))
-    # a call has as many targets as its own and imported files have symbols of its name
-    kept = best.select("src", "file", "name", "best", F.explode("found").alias("x")).where(F.col("x.confidence") == F.col("best"))
-    return kept.select("src", "file", "name", "x.dst", F.col("best").alias("confidence"))
+    return _packed_targets(calls, symbols, imports).select("src", "file", "name", F.explode("dsts").alias("dst"), "confidence")
 
 
 def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
-    """src, dst, confidence: the surest of several calls from one place to another."""
-    return call_targets(calls, symbols, imports).groupBy("src", "dst").agg(F.max("confidence").alias("confidence"))
+    """src, dst, confidence: the surest of several calls from one place to another; targets are dealt to their callers before they are
+    written out, a row each."""
+    packed = _packed_targets(calls, symbols, imports).select("src", "dsts", "confidence").repartition("src")
+    return packed.select("src", F.explode("dsts").alias("dst"), "confidence").groupBy("src", "dst").agg(F.max("confidence").alias("confidence"))
 
 
 def _differences(old: DataFrame, new: DataFrame) -> DataFrame:

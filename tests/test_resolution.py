@@ -67,3 +67,22 @@ def test_imports(spark):
     assert {tuple(x) for x in before.where("key <> 'k4'").collect()} == {("a", "k1", "p1", 1.0), ("c", "k1", "p1", 1.0), ("a", "k2", "p2", 0.6), ("a", "k2", "p3", 0.6), ("b", "k3", "external:k3", 0.2)}
     got = r.re_resolve_imports(before, wanted, old, new, wanted.select("src").limit(0))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, r.import_targets(wanted, new).collect())) and got.where("key = 'k4'").first()["dst"] == "external:k4"
+
+
+def test_targets_are_found_once_a_place_and_packed_for_each_call(spark, monkeypatch):
+    kept = {}
+    real = r.stage
+
+    def staged(df, name):
+        kept[name] = real(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(r, "stage", staged)
+    calls = spark.createDataFrame([(f"o{k}", "a", "f") for k in range(50)] + [("o1", "a", "g"), ("o1", "b", "g"), ("o2", "b", "h"), ("o3", "b", "i"), ("o3", "b", "i")], "src string, file string, name string")
+    symbols = spark.createDataFrame([("f", "s", "s::1"), ("f", "s", "s::2"), ("f", "t", "t::1"), ("g", "a", "a::9"), ("g", "s", "s::9"), ("h", "z", "z::1")], "name string, file string, symbol string")
+    imports = spark.createDataFrame([("a", "s"), ("a", "t"), ("a", "none")], "file string, imported string")
+    packed = {(x["src"], x["file"], x["name"]): (sorted(x["dsts"]), x["confidence"]) for x in r._packed_targets(calls, symbols, imports).collect()}
+    assert kept["places"].count() == 5
+    assert packed == {("o%d" % k, "a", "f"): (["s::1", "s::2", "t::1"], 0.8) for k in range(50)} | {
+        ("o1", "a", "g"): (["a::9"], 0.95), ("o1", "b", "g"): (["callee:g"], 0.2), ("o2", "b", "h"): (["z::1"], 0.3), ("o3", "b", "i"): (["callee:i"], 0.2)
+    }
