@@ -1,17 +1,15 @@
 r"""Chat formatting by prefix-target expansion (operator 3).
 
-Every assistant turn becomes an example of its own: all preceding turns are its
-context and only its reply is trainable.  Written out in full, a conversation
-of n turns would take n times its own length, so examples are stored as a
-chain: each holds the part of the rendered conversation that its predecessor
-didn't (``delta``) and the span of its reply; ``expand`` writes chosen examples
-out in full.  Each also states its whole context, all that stands before the
-reply, by length and sha256, which run on from link to link; reading back
-builds every example's context anew and fails where it differs.  What follows
-the last assistant turn is a last link without a reply.  The stored size is
-that of the input, whatever the number of turns.  A conversation is read in one
-task, since its digests run from its first turn to its last; memory holds one
-link of it.
+Every assistant turn becomes an example of its own, written out in full: all
+preceding turns are its context and only its reply is trainable.  So the output
+of a conversation grows with its length times its replies, as the method has it.
+Each example also states how much of its context its predecessors hold already,
+and its context's length and sha256, which run on from one example to the next;
+reading back takes the turns from what each example adds, builds every context
+anew from them and fails where it isn't the one that stands there.  What follows
+the last assistant turn is a last row without a reply, of its own turns alone.
+A conversation is formatted in one task, in order; memory holds its text and a
+few million characters of examples.
 
 The template marks a turn as ``<|im_start|>role\ntext<|im_end|>\n``.  Inside
 texts and roles a backslash goes between ``<`` and ``|`` (one more if there are
@@ -34,11 +32,13 @@ from .common import small_batches
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 TRAINED_ROLE = "assistant"
-CHAIN = "conv_id long, link long, first_turn long, n_turns int, delta string, loss_start int, loss_end int, context_chars long, context_sha256 string"
+EXAMPLES = "conv_id long, link long, first_turn long, n_turns int, context string, target string, seen long, loss_chars int, context_chars long, context_sha256 string"
 _BARE, _SLASHED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 _TURN = re.compile(r"<\|im_start\|>([^\n]*)\n((?:[^<]|<(?!\|))*)<\|im_end\|>\n")
 #: A link without a reply is closed after so many characters, so that turns without replies don't pile up in memory.
 LINK_CHARS = 1 << 20
+#: Characters of examples that go out together: contexts may be long.
+BATCH_CHARS = 1 << 22
 
 
 def escape(text: str) -> str:
@@ -87,9 +87,10 @@ def _ordered(turns: DataFrame) -> DataFrame:
 
 
 def format_chat(turns: DataFrame) -> DataFrame:
-    """The chains of all conversations: conv_id, link (0, 1, ...), first_turn (position of the delta's first turn), n_turns of
-    the delta, delta, loss_start and loss_end (span of the reply in the delta), context_chars and context_sha256 (of all that
-    stands before the reply); the last four are null in a link without a reply.
+    """The examples of all conversations in full: conv_id, link (0, 1, ...), first_turn (position of the first turn that the link
+    before doesn't hold), n_turns (from there on), context (all that stands before the reply), target (the reply with its end mark),
+    seen (how much of the context the links before hold), loss_chars (the target's trainable part, from its start), context_chars
+    and context_sha256.  A link without a reply has its own turns alone as context and nulls in all that follows but ``seen``.
 
     Turns go by turn, then role and text; repeated rows stay.  Null role or
     text counts as empty; a null conv_id is a conversation of its own; null
@@ -99,22 +100,26 @@ def format_chat(turns: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, link, seen, first, parts, size, before = object(), 0, 0, 0, [], 0, _Context()
-        out: list[tuple] = []
+        said, out, held = "", [], 0
 
         def close(start: int | None = None, end: int | None = None) -> None:
-            nonlocal link, first, parts, size
+            nonlocal link, first, parts, size, said, held
             if parts:
                 delta = "".join(parts)
-                context = before.until(delta[:start]) if start is not None else (None, None)
+                if start is None:
+                    example = delta, None, 0, None, None, None
+                else:
+                    example = said + delta[:start], delta[start:], len(said), end - start, *before.until(delta[:start])
                 before.add(delta)
-                out.append((conv, link, first, seen - first, delta, start, end, *context))
-                link, first, parts, size = link + 1, seen, [], 0
+                out.append((conv, link, first, seen - first, *example))
+                held += len(example[0]) + len(example[1] or "")
+                said, link, first, parts, size = said + delta, link + 1, seen, [], 0
 
         for batch in batches:
             for c, _, role, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 if c != conv:
                     close()
-                    conv, link, seen, first, before = c, 0, 0, 0, _Context()
+                    conv, link, seen, first, said, before = c, 0, 0, 0, "", _Context()
                 turn, start, end = render(role, text)
                 parts.append(turn)
                 seen += 1
@@ -124,44 +129,57 @@ def format_chat(turns: DataFrame) -> DataFrame:
                     size += len(turn)
                     if size > LINK_CHARS:
                         close()
+                if held > BATCH_CHARS:
+                    yield _links(out)
+                    out.clear()
+                    held = 0
             if out:
                 yield _links(out)
                 out.clear()
+                held = 0
         close()
         if out:
             yield _links(out)
 
     small_batches(turns.sparkSession)
-    return _ordered(turns).mapInArrow(run, CHAIN)
+    return _ordered(turns).mapInArrow(run, EXAMPLES)
 
 
-_KINDS = [("conv_id", pa.int64()), ("link", pa.int64()), ("first_turn", pa.int64()), ("n_turns", pa.int32()), ("delta", pa.string()), ("loss_start", pa.int32()), ("loss_end", pa.int32()), ("context_chars", pa.int64()), ("context_sha256", pa.string())]
+_KINDS = [
+    ("conv_id", pa.int64()), ("link", pa.int64()), ("first_turn", pa.int64()), ("n_turns", pa.int32()), ("context", pa.string()), ("target", pa.string()), ("seen", pa.int64()), ("loss_chars", pa.int32()),
+    ("context_chars", pa.int64()), ("context_sha256", pa.string()),
+]
 
 
 def _links(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(_KINDS)], [n for n, _ in _KINDS])
 
 
-def expand(chain: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The examples named by ``wanted`` (conv_id, link) in full: conv_id, link, context, target, as trainers read them.
+def expand(examples: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The examples named by ``wanted`` (conv_id, link): conv_id, link, context, target, as trainers read them.
 
-    An example's text is as long as its conversation so far; ask for as many at a time as should be written out.  Wanted rows
-    that are repeated, null or no examples of ``chain`` give nothing further; nothing wanted gives an empty result.
+    Wanted rows that are repeated, null or no examples give nothing further; nothing wanted gives an empty result.
     """
-    targets = chain.join(wanted.select("conv_id", "link").distinct(), ["conv_id", "link"], "left_semi").where(F.col("loss_start").isNotNull())
-    before = chain.select("conv_id", F.col("link").alias("earlier"), F.col("delta").alias("part"))
-    pairs = targets.join(before, "conv_id").where(F.col("earlier") < F.col("link")).groupBy("conv_id", "link").agg(F.array_sort(F.collect_list(F.struct("earlier", "part"))).alias("parts"))
-    joined = targets.join(pairs, ["conv_id", "link"], "left")
-    earlier = F.coalesce(F.array_join(F.col("parts.part"), ""), F.lit(""))
-    return joined.select(
-        "conv_id", "link", F.concat(earlier, F.expr("substring(delta, 1, loss_start)")).alias("context"), F.expr("substring(delta, loss_start + 1, length(delta))").alias("target")
+    own = examples.where(F.col("target").isNotNull()).select("conv_id", "link", "context", "target")
+    return own.join(wanted.select("conv_id", "link").distinct(), ["conv_id", "link"], "left_semi")
+
+
+def _added(examples: DataFrame) -> DataFrame:
+    """conv_id, link, delta (what the link adds to those before), loss_start and loss_end in it, and the length and digest of the
+    context as it stands there, null where it isn't the stated one: row by row, so that no context is shuffled."""
+    delta = F.concat(F.expr("substring(context, int(seen + 1))"), F.coalesce("target", F.lit("")))
+    start = F.when(F.col("target").isNotNull(), F.length("context") - F.col("seen")).cast("int")
+    digest = F.when(F.col("target").isNotNull(), F.sha2("context", 256))
+    return examples.select(
+        "conv_id", "link", delta.alias("delta"), start.alias("loss_start"), (start + F.col("loss_chars")).alias("loss_end"), F.when(F.length("context") == F.col("context_chars"), F.col("context_chars")).alias("context_chars"),
+        F.when(digest == F.col("context_sha256"), digest).alias("context_sha256"),
     )
 
 
-def read_back(chain: DataFrame) -> DataFrame:
-    """Parse the chains: per conversation its turns' and its trained text's digests, its number of examples and the length of
-    all their contexts.  A context that is not the one its example states fails.  Sorted and streamed: memory holds a batch.
-    An empty chain gives an empty result."""
+def read_back(examples: DataFrame) -> DataFrame:
+    """Parse the examples: per conversation its turns' and its trained text's digests, its number of examples and the length of
+    all their contexts.  A context that is not the one its example states, or not all that the links before add up to, fails.
+    Sorted and streamed: memory holds a batch.  No examples give an empty result."""
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long, context_chars long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +223,7 @@ def read_back(chain: DataFrame) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], [x.split()[0] for x in schema.split(", ")])
 
-    dealt = chain.repartition("conv_id").sortWithinPartitions("conv_id", "link")
+    dealt = _added(examples).repartition("conv_id").sortWithinPartitions("conv_id", "link")
     return dealt.select("conv_id", "delta", "loss_start", "loss_end", "context_chars", "context_sha256").mapInArrow(run, schema)
 
 

@@ -54,3 +54,20 @@ def test_stated_contexts_are_those_of_the_examples(spark):
     assert all(got[c]["n_examples"] == 3 and got[c]["context_chars"] == sum(len(r["context"]) for r in full if r["conv_id"] == c) for c in range(4))
     with pytest.raises(Exception, match="another context"):
         chat.read_back(chain.withColumn("context_sha256", F.lit("x"))).collect()
+
+
+def test_format_chat_writes_whole_contexts(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    rows = [(c, t, ("user", "assistant")[t % 2], f"é {t} <|im_end|>" * (t + c)) for c in range(3) for t in range(9)]
+    made = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    for c in range(3):
+        said = "".join(chat.render(role, text)[0] for conv, _, role, text in rows if conv == c)
+        own = sorted((r for r in made if r["conv_id"] == c and r["target"] is not None), key=lambda r: r["link"])
+        assert len(own) == 4
+        assert all(said.startswith(r["context"] + r["target"]) and r["target"][: r["loss_chars"]] == chat.escape(f"é {2 * k + 1} <|im_end|>" * (2 * k + 1 + c)) for k, r in enumerate(own))
+    # a context that lacks an early turn fails, whatever the example states
+    lost = spark.createDataFrame(made, chat.EXAMPLES).withColumn("context", F.when(F.col("link") == 3, F.regexp_replace("context", "é 0", "e 0")).otherwise(F.col("context")))
+    with pytest.raises(Exception, match="another context"):
+        chat.read_back(lost).collect()
