@@ -13,13 +13,15 @@ from ..functions import text as t
 from ..functions.source import facts
 from .resolution import import_targets, resolve_calls
 
+#: Texts that are taken out of an Arrow batch together.
+SLICE = 64
 FACTS = "path string, language string, fact string, kind string, name string, qualified string, start_line int, end_line int, detail string"
 
 SCHEMA = pa.schema([*((c, pa.string()) for c in ("path", "language", "fact", "kind", "name", "qualified")), ("start_line", pa.int32()), ("end_line", pa.int32()), ("detail", pa.string())])
 
 
-def source_facts(files: DataFrame) -> DataFrame:
-    """Facts of files (path, language, text): one Arrow pass where they lie, a text at a time.
+def source_facts(files: DataFrame, *wanted: str) -> DataFrame:
+    """Facts of files (path, language, text), of all kinds or those ``wanted``: one Arrow pass where they lie, a text at a time.
 
     Null texts and unknown languages have none.  Text that doesn't parse gives what can be told: brackets that never close end with
     the text.  Repeated rows give repeated facts.
@@ -27,10 +29,10 @@ def source_facts(files: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                path, language, text = (c[k].as_py() for c in batch.columns)
-                for fact in facts(language, text or ""):
-                    yield path, language, *fact
+            for k in range(0, batch.num_rows, SLICE):
+                for path, language, text in zip(*(c.to_pylist() for c in batch.slice(k, SLICE).columns), strict=True):
+                    for fact in facts(language, text or "", wanted or None):
+                        yield path, language, *fact
 
     return files.select("path", "language", "text").mapInArrow(lambda batches: in_batches(rows(batches), SCHEMA), FACTS)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import entities, symbols
-from ..storage import stage
+from ..storage import spread, stage
 from .registry import Tables, query
 
 _JAVA = """package shop.parts;
@@ -63,14 +63,17 @@ SELECT * FROM customer_%d JOIN part USING (k);
 
 
 def source_files(d: Tables):
-    """path, language, text: a class for each part, a module for each supplier, a script for each customer, a view for each order."""
+    """path, language, text: a class for each part, a module for each supplier, a script for each customer, a view for each order.
+
+    The rows are spread before texts are made of them: a row of a few bytes becomes a file that takes long to read.
+    """
     file = lambda path, c, language, body, *values: (F.format_string(path, c).alias("path"), F.lit(language).alias("language"), F.format_string(body, *values).alias("text"))
-    parts = d.part.select(*file("parts/Part%d.java", "p_partkey", "java", _JAVA, "p_partkey", "p_size", "p_size", "p_partkey", "p_partkey"))
+    parts = spread(d.part.select("p_partkey", "p_size"), "p_partkey").select(*file("parts/Part%d.java", "p_partkey", "java", _JAVA, "p_partkey", "p_size", "p_size", "p_partkey", "p_partkey"))
     near = F.col("s_suppkey") % 10
-    modules = d.supplier.select(*file("shop/suppliers/s%d.py", "s_suppkey", "python", _PYTHON, near, "s_nationkey", "s_suppkey", "s_suppkey", near))
+    modules = spread(d.supplier.select("s_suppkey", "s_nationkey"), "s_suppkey").select(*file("shop/suppliers/s%d.py", "s_suppkey", "python", _PYTHON, near, "s_nationkey", "s_suppkey", "s_suppkey", near))
     half = F.expr("c_custkey div 2")
-    scripts = d.customer.select(*file("web/c%d.ts", "c_custkey", "typescript", _SCRIPT, half, "c_custkey", half))
-    views = d.orders.select(*file("db/o%d.sql", "o_orderkey", "sql", _SQL, "o_orderkey", "o_custkey"))
+    scripts = spread(d.customer.select("c_custkey"), "c_custkey").select(*file("web/c%d.ts", "c_custkey", "typescript", _SCRIPT, half, "c_custkey", half))
+    views = spread(d.orders.select("o_orderkey", "o_custkey"), "o_orderkey").select(*file("db/o%d.sql", "o_orderkey", "sql", _SQL, "o_orderkey", "o_custkey"))
     return parts.unionByName(modules).unionByName(scripts).unionByName(views)
 
 
@@ -89,13 +92,13 @@ calls AS (SELECT path, 'Part' || p || '.label' AS qualified, 'fmt' || z AS name,
 
 @query(f"WITH {_FACTS} SELECT path, kind, name, qualified, start_line, end_line FROM symbols")
 def source_symbols(spark, sf_dir):
-    found = symbols.source_facts(source_files(Tables(spark, sf_dir)))
+    found = symbols.source_facts(source_files(Tables(spark, sf_dir)), "symbol")
     return found.where("fact = 'symbol'").select("path", "kind", "name", "qualified", "start_line", "end_line")
 
 
 @query(f"WITH {_FACTS} SELECT path, qualified, name, line FROM calls UNION ALL SELECT path, 'orders_' || o, 'customer_' || c, 3 FROM v UNION ALL SELECT path, 'orders_' || o, 'part', 3 FROM v")
 def source_calls(spark, sf_dir):
-    found = symbols.source_facts(source_files(Tables(spark, sf_dir)))
+    found = symbols.source_facts(source_files(Tables(spark, sf_dir)), "call")
     return found.where("fact = 'call'").select("path", "qualified", "name", F.col("start_line").alias("line"))
 
 
@@ -106,7 +109,7 @@ edges AS (SELECT DISTINCT w.path AS src, w.key AS key, g.path AS dst FROM wanted
 
 @query(f"WITH {_FACTS}, {_IMPORTED} SELECT 'file:' || src AS src, key, coalesce('file:' || dst, 'external:' || key) AS dst, CASE WHEN dst IS NULL THEN 0.2::DOUBLE ELSE 1.0::DOUBLE END AS confidence FROM edges")
 def source_imports(spark, sf_dir):
-    return symbols.import_edges(stage(symbols.source_facts(source_files(Tables(spark, sf_dir))), "facts"))
+    return symbols.import_edges(stage(symbols.source_facts(source_files(Tables(spark, sf_dir)), "symbol", "import", "provides"), "facts"))
 
 
 _MET = """named AS (SELECT DISTINCT 'symbol:' || path || '::' || qualified AS src, path, name FROM calls), known AS (SELECT DISTINCT name, path, 'symbol:' || path || '::' || qualified AS symbol FROM symbols),
@@ -136,7 +139,7 @@ def exact_hits(spark, sf_dir):
     """A question for each part that names its file, a method in backticks, a dotted name, a view and a table that only texts mention."""
     d = Tables(spark, sf_dir)
     files = stage(source_files(d), "files")
-    found = symbols.source_facts(files).where("fact = 'symbol'").select("path", "name", "qualified", "kind", F.lit(True).alias("exported"))
+    found = symbols.source_facts(files, "symbol").where("fact = 'symbol'").select("path", "name", "qualified", "kind", F.lit(True).alias("exported"))
     names = files.select("path", "language", F.explode(t.names(F.col("text"))).alias("name"), F.lit(1).alias("chunks"))
     k, s = F.col("p_partkey"), F.col("p_partkey") % 10
     text = F.format_string("why does `name%d(x)` of Part%d.java need Supplier%d.offer%d, orders_%d and customer_%d?", k, k, s, s, k, k)

@@ -39,3 +39,12 @@ def discard(*staged: DataFrame | None) -> None:
             where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
             df.staged_path = None
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The rows dealt over as many tasks as a shuffle has, by a key that few rows share.
+
+    Small rows that much is made of lie in few files, and would be left to the few tasks that read these; Spark doesn't put together
+    again what is dealt by a number of tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)

@@ -170,3 +170,32 @@ def test_files_as_tables(spark):
     calls = {(r["src"], r["dst"]): r["confidence"] for r in symbols.call_edges(found, imports).collect()}
     assert calls == {("symbol:a/m.py::run", "symbol:a/n.py::go"): 0.8, ("symbol:a/n.py::go", "callee:other"): 0.2, ("symbol:web/a/x.ts::x", "symbol:web/b/y.ts::y"): 0.8}
     assert symbols.source_facts(spark.createDataFrame([], "path string, language string, text string")).count() == 0
+
+
+def test_facts_of_some_kinds_are_those_of_all():
+    texts = {
+        "java": "package a.b;\nimport x.Y;\nclass A {\n  int A2(int A) { return call(A); }\n  void a_b() { b(); }\n}\n", "python": "import os\nX = 1\nclass A:\n    y: int = 2\n    def go(self):\n        return run(1)\n",
+        "typescript": "import { a } from './b';\nexport const go2 = (x) => { return go(x); };\nfunction é2() { return go2(1); }\n", "sql": "CREATE VIEW [a].\"b\" AS SELECT * FROM `c`.d JOIN e;\n", "go": "package p\nfunc (x *T) Go() {\n\trun()\n}\n",
+    }
+    for language, text in texts.items():
+        every = list(s.facts(language, text))
+        assert every
+        for wanted in (("symbol",), ("call",), ("import",), ("provides",), ("symbol", "import", "provides"), ()):
+            assert list(s.facts(language, text, wanted)) == [x for x in every if x[0] in wanted], (language, wanted)
+
+
+def test_names_are_looked_for_as_words():
+    import re
+
+    for text, word in (("xab ab", "ab"), ("ab", "ab"), ("ab_ ab2 (ab)", "ab"), ("éab ab", "ab"), ("ababab ab ", "ab")):
+        assert s._word_at("  " + text, word, 2, 2 + len(text)) == 2 + re.search(rf"\b{word}\b", text).start()
+    assert s._word_at("xab", "ab", 1, 3) == 1
+
+
+def test_source_files_are_spread_over_tasks(spark):
+    from sparkloom.plans import source_queries
+    from sparkloom.plans.registry import Tables
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made = source_queries.source_files(Tables(spark, "/root/testdata/sf0.001"))
+    assert made.rdd.getNumPartitions() == 4 * n  # rows of few bytes lie in few files: each table's are dealt over all tasks
