@@ -140,18 +140,19 @@ def supersession(steps: DataFrame, hops: int = 30) -> DataFrame:
     """id, last, hops, cycle: where each item's chain of successors (id, superseded_by) ends.
 
     Chains are followed by doubling, so a chain of n links takes log2(n) joins; one of over ``2 ** hops`` links or without
-    an end is a cycle, which has no last item.
+    an end is a cycle, which has no last item.  The joins are sorted ones: chains of numbers are small as files, by which Spark would
+    broadcast them, but not in the driver.
     """
     links = stage(steps.where("superseded_by IS NOT NULL").select("id", "superseded_by"), "successors")
     at = links.select("id", F.col("superseded_by").alias("last"), F.lit(1).cast("long").alias("hops"))
     n, most = links.count(), 1
     for _ in range(hops):
         to = at.select(F.col("id").alias("last"), F.col("last").alias("further"), F.col("hops").alias("more"))
-        at = stage(at.join(to, "last", "left").select("id", F.coalesce("further", "last").alias("last"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops")), "chains")
+        at = stage(at.join(to.hint("merge"), "last", "left").select("id", F.coalesce("further", "last").alias("last"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops")), "chains")
         most *= 2
-        if most > n or at.join(links.select(F.col("id").alias("last")), "last", "left_semi").isEmpty():
+        if most > n or at.join(links.select(F.col("id").alias("last")).hint("merge"), "last", "left_semi").isEmpty():
             break
-    open_ = at.join(links.select(F.col("id").alias("last"), F.lit(True).alias("goes_on")), "last", "left")
+    open_ = at.join(links.select(F.col("id").alias("last"), F.lit(True).alias("goes_on")).hint("merge"), "last", "left")
     cycle = F.coalesce("goes_on", F.lit(False))
     return open_.select("id", F.when(~cycle, F.col("last")).alias("last"), F.when(~cycle, F.col("hops")).alias("hops"), cycle.alias("cycle"))
 

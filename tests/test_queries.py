@@ -182,3 +182,14 @@ def test_near_copies_deal_hashes_and_only_those_that_are_shared(spark, monkeypat
     assert not any("array<string>" in kind for df in kept.values() for _, kind in df.dtypes)
     assert {r["doc"] for r in kept["prefixes"].collect()} == {1, 2, 3}
     assert {r["doc"] for r in kept["candidate-sets"].collect()} <= {1, 2, 3}
+
+
+def test_chains_are_not_broadcast(spark):
+    """Chains are small as files but not in the driver's memory."""
+    from sparkloom.operators import graph
+
+    steps = spark.range(100).selectExpr("id", "CASE WHEN id % 10 < 9 THEN id + 1 END AS superseded_by")
+    done = graph.supersession(steps)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    assert {(r["id"], r["last"], r["hops"], r["cycle"]) for r in done.collect()} == {(k, k - k % 10 + 9, 9 - k % 10, False) for k in range(100) if k % 10 < 9}
