@@ -44,9 +44,13 @@ def parsed(queries: DataFrame) -> DataFrame:
 
 
 def positions(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """doc, term, pos, weight: where the stems in ``terms`` stand in docs (doc, title, body); a body's words come after its title's."""
+    """doc, term, pos, weight: where the stems in ``terms`` stand in docs (doc, title, body); a body's words come after its title's.
+
+    The title's words are counted before words become rows: beside the generator they would be counted anew for every word.
+    """
     title, body = (words(F.coalesce(F.col(c), F.lit(""))) for c in ("title", "body"))
-    each = docs.select("doc", F.size(title).alias("n_title"), F.posexplode(F.concat(title, body)).alias("pos", "word"))
+    held = docs.select("doc", F.size(title).alias("n_title"), F.concat(title, body).alias("words"))
+    each = held.select("doc", "n_title", F.posexplode("words").alias("pos", "word"))
     found = t.of_stems(each, "word", terms)
     return found.select("doc", "term", "pos", F.when(F.col("pos") < F.col("n_title"), TITLE).otherwise(BODY).alias("weight"))
 
@@ -88,8 +92,11 @@ def cover_search(docs: DataFrame, queries: DataFrame) -> DataFrame:
     index = stage(positions(docs, asked), "positions")
     met = index.join(asked, "term")
     key = ["q", "doc", "clause", "item", "excluded"]
-    hits = met.groupBy(*key, (F.col("pos") - F.col("place")).alias("base"), "n_words").agg(F.min("pos").alias("start"), F.max("pos").alias("end"), F.sort_array(F.collect_list(F.struct("pos", "weight"))).alias("at"), F.count("*").alias("n")).where(F.col("n") == F.col("n_words"))
-    hits = stage(hits.drop("n", "n_words", "base"), "occurrences")
+    at = F.struct("pos", "weight")
+    # a single word stands where it stands; only words of phrases have to meet
+    single = met.where("n_words = 1").select(*key, F.col("pos").alias("start"), F.col("pos").alias("end"), F.array(at).alias("at"))
+    phrases = met.where("n_words > 1").groupBy(*key, (F.col("pos") - F.col("place")).alias("base"), "n_words").agg(F.min("pos").alias("start"), F.max("pos").alias("end"), F.sort_array(F.collect_list(at)).alias("at"), F.count("*").alias("n"))
+    hits = stage(single.unionByName(phrases.where(F.col("n") == F.col("n_words")).select(single.columns)), "occurrences")
     needed = asked.where(~F.col("excluded")).groupBy("q", "clause").agg(F.countDistinct("item").cast("int").alias("needed"))
     state = hits.groupBy("q", "doc", "clause").agg(F.countDistinct(F.when(~F.col("excluded"), F.col("item"))).alias("has"), F.max("excluded").alias("barred"))
     good = state.join(F.broadcast(needed), ["q", "clause"]).where(~F.col("barred") & (F.col("has") == F.col("needed"))).select("q", "doc", "clause", "needed")
@@ -100,9 +107,14 @@ def cover_search(docs: DataFrame, queries: DataFrame) -> DataFrame:
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for q, doc, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                occurrences = [(f["end"], f["start"], f["clause"], f["item"], f["pos"], f["weight"]) for f in found]
-                out.append((q, doc, *covers(occurrences, {f["clause"]: f["needed"] for f in found})))
+            # nested values are taken a column at a time, not a row at a time
+            bounds, each = batch.column(2).offsets.to_pylist(), batch.column(2).values
+            end, start, clause, item, needed = (each.field(c).to_pylist() for c in ("end", "start", "clause", "item", "needed"))
+            cuts = each.field("pos").offsets.to_pylist()
+            pos, weight = each.field("pos").values.to_pylist(), each.field("weight").values.to_pylist()
+            for q, doc, i, j in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), bounds, bounds[1:]):
+                occurrences = [(end[k], start[k], clause[k], item[k], pos[cuts[k] : cuts[k + 1]], weight[cuts[k] : cuts[k + 1]]) for k in range(i, j)]
+                out.append((q, doc, *covers(occurrences, dict(zip(clause[i:j], needed[i:j], strict=True)))))
             types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], x) for k, x in enumerate(types)], [f.split()[0] for f in FOUND.split(", ")])
 

@@ -218,3 +218,14 @@ def test_paths_are_stemmed_once_and_not_for_each_question(spark):
         (1, "docs/sources/adr-17.md", 1), (1, "decisions/0017-caching.md", 1), (1, "caches/17-x.md", 1), (1, "a/cach.py", 0), (1, "src/renderers/tables.py", 0),
         (2, "docs/source_web/adr-7.md", 0), (2, "docs/sources/adr-17.md", 0), (3, "src/renderers/tables.py", 0),
     }
+
+
+def test_long_titles_are_counted_once_and_not_for_every_word(spark):
+    from sparkloom.operators import covers
+
+    docs = spark.createDataFrame([(1, "kappa lambda " * 30_000, "sigma"), (2, "sigma", "lambda")], "doc long, title string, body string")
+    queries = spark.createDataFrame([(1, "sigma"), (2, '"lambda sigma" -kappa or "kappa lambda" sigma')], "q long, text string")
+    began = time.perf_counter()
+    got = sorted((r["q"], r["doc"], r["n_covers"], r["first"], r["last"]) for r in covers.cover_search(docs, queries).collect())
+    assert got == [(1, 1, 1, 60_000, 60_000), (1, 2, 1, 0, 0), (2, 1, 1, 59_998, 60_000)]
+    assert time.perf_counter() - began < 30
