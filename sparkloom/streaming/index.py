@@ -59,6 +59,19 @@ def frequencies(spark: SparkSession, root: str) -> DataFrame:
     return _complete(spark, root, "frequencies", None).groupBy("term").agg(F.sum("change").alias("df")).where("df > 0")
 
 
+def counted(texts: DataFrame) -> DataFrame:
+    """path, term, tf of texts (path, text), a row for each path: words are counted within their text, so that no task holds the counts of many."""
+    sorted_ = texts.select("path", F.array_sort(t.tokens(F.col("text"))).alias("words"))
+    # a word that differs from the one behind it is the last of its kind, and counts from the last of the kind before
+    follows = F.concat(F.slice("words", F.lit(2), F.size("words")), F.array(F.lit(None).cast("string")))
+    told = F.transform(F.arrays_zip(F.col("words").alias("term"), follows.alias("next")), lambda x, i: F.struct(x["term"].alias("term"), (i + 1).alias("upto"), (~x["term"].eqNullSafe(x["next"])).alias("last")))
+    ends = sorted_.select("path", F.filter(told, lambda x: x["last"]).alias("ends"))
+    before = F.slice(F.concat(F.array(F.lit(0)), "ends.upto"), F.lit(1), F.size("ends"))
+    # outer, as Spark would first cut and sort each text once more to see whether it has words
+    each = ends.select("path", F.inline_outer(F.zip_with("ends", before, lambda x, n: F.struct(x["term"].alias("term"), (x["upto"] - n).cast("long").alias("tf")))))
+    return each.where("term IS NOT NULL").select("path", "term", "tf")
+
+
 def apply_changes(spark: SparkSession, root: str, changes: DataFrame, batch: int) -> None:
     """Bring the index up to one batch of changes (path, seq, text, deleted).
 
@@ -69,8 +82,7 @@ def apply_changes(spark: SparkSession, root: str, changes: DataFrame, batch: int
     last = changes.groupBy("path").agg(F.max(F.struct("seq", "deleted", F.coalesce("text", F.lit("")).alias("text"))).alias("last")).select("path", "last.text", (~F.col("last.deleted")).alias("present"))
     _write(last.select("path", "present"), root, "files", batch)
     files = spark.read.schema(TABLES["files"]).parquet(f"{root}/files/batch={batch}")
-    own = last.where("present").select("path", F.explode(t.tokens(F.col("text"))).alias("term")).groupBy("path", "term").agg(F.count("*").alias("tf"))
-    _write(own, root, "postings", batch)
+    _write(counted(last.where("present")), root, "postings", batch)
     new = spark.read.schema(TABLES["postings"]).parquet(f"{root}/postings/batch={batch}")
     old = postings(spark, root, batch, files.select("path"))
     change = new.select("term", F.lit(1).alias("n")).unionByName(old.select("term", F.lit(-1).alias("n"))).groupBy("term").agg(F.sum("n").alias("change")).where("change <> 0")

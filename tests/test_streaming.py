@@ -132,3 +132,13 @@ def test_states_are_kept_between_batches(spark, tmp_path):
     assert run() == set()
     arrive([(4, "started"), (3, "open")])
     assert run() == {(3, "completed")} | ({(4, "open")} if "started" not in logs.MOVES.get("open", []) else set())
+
+
+def test_words_are_counted_within_their_text_and_not_in_a_table_of_many(spark):
+    from sparkloom.streaming import index
+
+    texts = spark.createDataFrame([("a", "b a b fooBar"), ("c", ""), ("d", None), ("e", "x"), ("f", "y y Y")], "path string, text string")
+    counts = index.counted(texts)
+    assert sorted(map(tuple, counts.collect())) == [("a", "a", 1), ("a", "b", 2), ("a", "bar", 1), ("a", "foo", 1), ("a", "foobar", 1), ("e", "x", 1), ("f", "y", 3)]
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Exchange" not in plan
