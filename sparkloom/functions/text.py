@@ -80,7 +80,8 @@ def of_stems(rows: DataFrame, word: str, terms: DataFrame) -> DataFrame:
     wanted = terms.select("term").distinct()
     start = F.substring(word, 1, MIN_STEM)
     likely = rows.join(wanted.select(F.substring("term", 1, MIN_STEM).alias("start")).distinct(), start == F.col("start"), "left_semi")
-    return likely.withColumn("term", stem(F.col(word))).join(wanted, "term", "left_semi")
+    # of a word that may be null Spark would first ask whether its stem is null, and so stem it twice
+    return likely.withColumn("term", stem(F.coalesce(F.col(word), F.lit("")))).join(wanted, "term", "left_semi")
 
 
 def stems_match(a: Column, b: Column) -> Column:

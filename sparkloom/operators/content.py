@@ -35,14 +35,16 @@ def question_names(questions: DataFrame) -> DataFrame:
 def field_postings(chunks: DataFrame, terms: DataFrame) -> DataFrame:
     """path, ordinal, term, in_heading, in_path: one row for each chunk and stem, of the stems in ``terms`` alone.
 
-    Heading and path are part of what a chunk holds.  Every chunk is tokenised once, and rows of other stems go before the shuffle.
+    Heading and path are part of what a chunk holds.  Every chunk is tokenised once, a field's different words alone become rows, and
+    rows of other stems go before the shuffle.
     """
 
-    def tagged(c: str, heading: bool, path: bool) -> Column:
-        return F.transform(t.tokens(F.coalesce(F.col(c), F.lit(""))), lambda w: F.struct(w.alias("w"), F.lit(heading).alias("h"), F.lit(path).alias("p")))
+    def words(c: str, heading: bool, path: bool) -> Column:
+        return F.struct(F.array_distinct(t.tokens(F.coalesce(F.col(c), F.lit("")))).alias("words"), F.lit(heading).alias("h"), F.lit(path).alias("p"))
 
-    words = chunks.select("path", "ordinal", F.explode(F.concat(tagged("text", False, False), tagged("heading", True, False), tagged("path", False, True))).alias("x"))
-    held = t.of_stems(words.select("path", "ordinal", F.col("x.w").alias("w"), "x.h", "x.p"), "w", terms)
+    # fields are rows before their words are, so that no word carries a struct of its own
+    fields = chunks.select("path", "ordinal", F.inline(F.array(words("text", False, False), words("heading", True, False), words("path", False, True))))
+    held = t.of_stems(fields.select("path", "ordinal", F.explode("words").alias("w"), "h", "p"), "w", terms)
     return held.groupBy("path", "ordinal", "term").agg(F.max("h").alias("in_heading"), F.max("p").alias("in_path"))
 
 

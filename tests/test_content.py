@@ -1,6 +1,7 @@
 """Files in chunks, and what is found in them."""
 
 import random
+import re
 import time
 
 import pytest
@@ -229,3 +230,14 @@ def test_long_titles_are_counted_once_and_not_for_every_word(spark):
     got = sorted((r["q"], r["doc"], r["n_covers"], r["first"], r["last"]) for r in covers.cover_search(docs, queries).collect())
     assert got == [(1, 1, 1, 60_000, 60_000), (1, 2, 1, 0, 0), (2, 1, 1, 59_998, 60_000)]
     assert time.perf_counter() - began < 30
+
+
+def test_words_of_a_field_become_rows_once_and_are_stemmed_once(spark):
+    chunks = spark.createDataFrame([("docs/sets.md", 0, "set Sets", "set setting sets " * 1000), ("b", 1, None, None), ("b", 1, "set", "words"), ("b", 1, "", "sets")], "path string, ordinal int, heading string, text string")
+    terms = spark.createDataFrame([("sets",), ("sett",), ("word",)], "term string")
+    postings = content.field_postings(chunks, terms)
+    assert sorted(map(tuple, postings.collect())) == [("b", 1, "sets", False, False), ("b", 1, "word", False, False), ("docs/sets.md", 0, "sets", True, True), ("docs/sets.md", 0, "sett", False, False)]
+    # different words are taken out of each field before any becomes a row, and none is stemmed a second time to see that its stem isn't null
+    plan = postings._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_distinct") >= 3 and plan.count("ility") == 1
+    assert t.of_stems(chunks.select(F.col("text").alias("w")), "w", terms.limit(0)).count() == 0
