@@ -134,10 +134,20 @@ def token_estimate(text: Column) -> Column:
 def dotted(text: Column) -> Column:
     """Every run of names joined by dots, in order: a name is a letter or underscore and letters, digits and underscores.
 
-    Signs and dots that join no names are cut out first, as a pattern that repeats a group would recurse once a name.
+    Dots that join no names are cut out first, as a pattern that repeats a group would recurse once a name.
     """
-    spaced = F.regexp_replace(text, "[^A-Za-z0-9_.]+|\\.(?![A-Za-z_])|(?<![A-Za-z0-9_])\\.", " ")
-    return F.filter(F.transform(F.split(spaced, " "), lambda w: F.regexp_replace(w, "^[0-9.]+", "")), lambda w: w != "")
+    return _dotted(_runs(text))
+
+
+def _runs(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit("[A-Za-z0-9_.]+"), F.lit(0))
+
+
+def _dotted(runs: Column) -> Column:
+    """The names in runs of letters, digits, ``_`` and dots; most runs have no dot and aren't looked into."""
+    parted = F.flatten(F.transform(runs, lambda w: F.when(w.contains("."), F.split(F.regexp_replace(w, "\\.(?![A-Za-z_])|(?<![A-Za-z0-9_])\\.", " "), " ")).otherwise(F.array(w))))
+    # digits and dots, and nothing, come before all letters and ``_``
+    return F.filter(F.transform(parted, lambda w: F.when(w < "A", F.regexp_replace(w, "^[0-9.]+", "")).otherwise(w)), lambda w: w != "")
 
 
 def identifiers(text: Column, most: int = 300) -> Column:
@@ -152,8 +162,11 @@ FILE_ENDINGS = "py md yaml yml json toml sql ts tsx js jsx sh txt lock cfg ini e
 
 def names(text: Column, most: int = 300) -> Column:
     """Distinct dotted names of up to 120 characters, without a file's ending, and their parts of 3 to 120, in order of appearance."""
-    bare = F.transform(dotted(text), lambda w: F.regexp_replace(w, f"(?i)\\.(?:{'|'.join(FILE_ENDINGS)})$", ""))
-    each = F.transform(bare, lambda w: F.filter(F.concat(F.when(w.contains("."), F.array(w)).otherwise(F.array().cast("array<string>")), F.split(w, "\\.")), lambda p: (F.length(p) <= 120) & ((F.length(p) >= 3) | p.contains("."))))
+    # a run that comes again has no new names, and one without a dot is one name
+    ending = f"(?i)\\.(?:{'|'.join(FILE_ENDINGS)})$"
+    bare = F.transform(_dotted(F.array_distinct(_runs(text))), lambda w: F.when(w.contains("."), F.regexp_replace(w, ending, "")).otherwise(w))
+    of = lambda w: F.when(w.contains("."), F.concat(F.array(w), F.split(w, "\\."))).otherwise(F.array(w))
+    each = F.transform(bare, lambda w: F.filter(of(w), lambda p: (F.length(p) <= 120) & ((F.length(p) >= 3) | p.contains("."))))
     return F.slice(F.array_distinct(F.flatten(each)), 1, most)
 
 
@@ -166,7 +179,9 @@ def document_numbers(text: Column, most: int = 4) -> Column:
 def redact(text: Column) -> Column:
     """Credentials in URLs and values assigned to secret names become ***."""
     # a scheme begins where no letter or sign of one stands before, so that a long word is tried once and not from each letter
-    urls = F.regexp_replace(text, "(?i)(?<![a-z0-9+.-])(?=[0-9+.-]*+[a-z])([a-z0-9+.-]++://)[^/\\s:@]++:[^/\\s@]++@", "$1***@")
+    masked = F.regexp_replace(text, "(?i)(?<![a-z0-9+.-])(?=[0-9+.-]*+[a-z])([a-z0-9+.-]++://)[^/\\s:@]++:[^/\\s@]++@", "$1***@")
+    # most texts hold no URL and aren't searched for one
+    urls = F.when(text.contains("://"), masked).otherwise(text)
     return F.regexp_replace(urls, "(?i)((?:password|passwd|secret|token|api_?key)\\s*[=:]\\s*)[^\\s,;]+", "$1***")
 
 

@@ -241,3 +241,18 @@ def test_words_of_a_field_become_rows_once_and_are_stemmed_once(spark):
     plan = postings._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array_distinct") >= 3 and plan.count("ility") == 1
     assert t.of_stems(chunks.select(F.col("text").alias("w")), "w", terms.limit(0)).count() == 0
+
+
+def test_names_of_runs_that_come_again_are_taken_once(spark):
+    rng = random.Random(10)
+    texts = ["".join(rng.choice(["aB", "_", "1", ".", "..", " ", "-", "é", "x.py", ".md", "abc ", "k.lmn"]) for _ in range(rng.randrange(60))) for _ in range(300)] + [None, "", "1.a", "a" * 121 + ".b", "abc " * 500 + "d.efg"]
+    endings = re.compile(rf"(?i)\.(?:{'|'.join(t.FILE_ENDINGS)})$")
+
+    def plain(text):
+        found = [endings.sub("", w) for w in re.findall(r"[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*", text)]
+        return list(dict.fromkeys(p for w in found for p in [*([w] if "." in w else []), *w.split(".")] if len(p) <= 120 and (len(p) >= 3 or "." in p)))[:300]
+
+    names = spark.createDataFrame([(x,) for x in texts], "t string").select("t", t.names(F.col("t")).alias("n"))
+    assert all(r["n"] == (None if r["t"] is None else plain(r["t"])) for r in names.collect())
+    # runs are made distinct before names are taken out of them, not only after
+    assert names._jdf.queryExecution().optimizedPlan().toString().count("array_distinct") == 2
