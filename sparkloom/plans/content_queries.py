@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import chunks, content, covers, diffs
+from ..storage import stage
 from .files import files
 from .registry import Tables, query
 from .search_queries import _FILLER, _stem_sql, distinct, kept, tok
@@ -22,7 +23,9 @@ def file_chunks(spark, sf_dir):
 def chunk_search(spark, sf_dir):
     """The benchmark's texts as questions to the chunks of all files; no SQL, as file_chunks; content_search holds the ranking against SQL."""
     d = Tables(spark, sf_dir)
-    return content.content_search(chunks.file_chunks(files(d)).select("path", "ordinal", "heading", "text", "names"), _questions(d))
+    # written once: the search reads its chunks three times, and each reading would cut all files anew
+    cut = stage(chunks.file_chunks(files(d)).select("path", "ordinal", "heading", "text", "names"), "chunks")
+    return content.content_search(cut, _questions(d))
 
 
 def _questions(d):

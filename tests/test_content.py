@@ -256,3 +256,14 @@ def test_names_of_runs_that_come_again_are_taken_once(spark):
     assert all(r["n"] == (None if r["t"] is None else plain(r["t"])) for r in names.collect())
     # runs are made distinct before names are taken out of them, not only after
     assert names._jdf.queryExecution().optimizedPlan().toString().count("array_distinct") == 2
+
+
+def test_chunks_are_cut_once_for_a_search(spark, monkeypatch):
+    from sparkloom.operators import chunks
+    from sparkloom.plans import content_queries
+
+    given = []
+    monkeypatch.setattr(content_queries.content, "content_search", lambda cut, questions: given.append(cut) or cut)
+    content_queries.chunk_search(spark, "/root/testdata/sf0.001")
+    plan = given[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and given[0].count() == chunks.file_chunks(content_queries.files(content_queries.Tables(spark, "/root/testdata/sf0.001"))).count()
