@@ -88,10 +88,15 @@ def area_relations(edges: DataFrame, area: DataFrame) -> DataFrame:
 
 
 def through_hubs(imports: DataFrame, hubs: DataFrame) -> DataFrame:
-    """src, dst: imports, and what lies behind imported hubs (re-exporting files) one hop further."""
+    """src, dst: imports, and what lies behind imported hubs (re-exporting files) one hop further.
+
+    Hubs give what they import as arrays, as long as one file's imports.  These are dealt to their importers, and become pairs, of which
+    each stays once, only where all of an importer meets.
+    """
     own = imports.select("src", "dst").distinct()
-    behind = own.join(hubs.select(F.col("node").alias("dst")), "dst").select("src", F.col("dst").alias("hub")).join(own.select(F.col("src").alias("hub"), "dst"), "hub").where("src <> dst").select("src", "dst")
-    return own.unionByName(behind).distinct()
+    given = imports.select(F.col("src").alias("hub"), "dst").join(hubs.select(F.col("node").alias("hub")).distinct(), "hub", "left_semi").groupBy("hub").agg(F.collect_set("dst").alias("dsts"))
+    behind = own.select("src", F.col("dst").alias("hub")).join(given, "hub").select("src", F.array_remove("dsts", F.col("src")).alias("dsts"))
+    return own.select("src", F.array("dst").alias("dsts")).unionByName(behind).repartition("src").select("src", F.explode("dsts").alias("dst")).distinct()
 
 
 def named_importers(imports: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -193,3 +193,16 @@ def test_chains_are_not_broadcast(spark):
     plan = done._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
     assert {(r["id"], r["last"], r["hops"], r["cycle"]) for r in done.collect()} == {(k, k - k % 10 + 9, 9 - k % 10, False) for k in range(100) if k % 10 < 9}
+
+
+def test_what_hubs_import_is_dealt_as_arrays(spark):
+    from sparkloom.operators import rules
+
+    rows = [(1, 2), (1, 2), (1, 4), (2, 1), (2, 7), (2, None), (4, 7), (4, 8), (3, 3), (None, 2), (5, 6), (7, None)]
+    imports = spark.createDataFrame(rows, "src int, dst int")
+    found = rules.through_hubs(imports, spark.createDataFrame([(2,), (2,), (4,), (6,), (None,)], "node int"))
+    want = set(rows) | {(a, d) for a, b in rows for c, d in rows if b == c and b in (2, 4, 6) and None not in (a, d) and a != d}
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+    # pairs are made behind the last shuffle, by importer, and not before it
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("explode(dsts") < plan.index("RepartitionByExpression [src")
