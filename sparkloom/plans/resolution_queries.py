@@ -22,31 +22,37 @@ every AS (SELECT src, c.file, c.name, symbol AS dst, 0.95::DOUBLE AS c FROM call
 targets AS (SELECT src, file, name, dst, c AS confidence FROM (SELECT *, max(c) OVER (PARTITION BY src, file, name) AS best FROM every) WHERE c = best)"""
 
 
-def _state(d, parts):
-    lines = d.lineitem.join(d.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
+def _lines(d):
+    """Lines with their order's customer and their part's name, joined and written once for all that is made of them."""
+    lines = d.lineitem.join(d.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(d.part, F.col("l_partkey") == F.col("p_partkey"))
+    return stage(lines.select("l_orderkey", "o_custkey", "l_suppkey", "p_partkey", "p_brand", "p_size", "l_returnflag", "l_linenumber"), "lines")
+
+
+def _state(lines):
+    """calls, symbols and imports; their rows repeat."""
     own = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
     rows = lines.select(own("o", "l_orderkey").alias("src"), own("c", "o_custkey").alias("file"), F.concat("p_brand", F.col("p_size").cast("string")).alias("name"), own("s", "l_suppkey").alias("sfile"), "p_partkey", "l_returnflag", "l_linenumber")
     symbol = lambda c: F.concat(F.col(c), F.lit("::"), F.col("p_partkey").cast("string")).alias("symbol")
     seventh = rows.where("l_linenumber = 7").select("name", "file", symbol("file"))
-    symbols = rows.select("name", F.col("sfile").alias("file"), symbol("sfile")).unionByName(seventh).distinct()
-    return rows.select("src", "file", "name").distinct(), symbols, rows.where("l_returnflag = 'R'").select("file", F.col("sfile").alias("imported")).distinct()
+    symbols = rows.select("name", F.col("sfile").alias("file"), symbol("sfile")).unionByName(seventh)
+    return rows.select("src", "file", "name"), symbols, rows.where("l_returnflag = 'R'").select("file", F.col("sfile").alias("imported"))
 
 
 @query(f"WITH {_STATE} SELECT src, dst, max(confidence) AS confidence FROM targets GROUP BY src, dst")
 def call_resolution(spark, sf_dir):
-    d = Tables(spark, sf_dir)
-    return r.resolve_calls(*_state(d, d.part))
+    return r.resolve_calls(*_state(_lines(Tables(spark, sf_dir))))
 
 
 @query(f"WITH {_STATE} SELECT src, file, name, dst, confidence FROM targets")
 def call_re_resolution(spark, sf_dir):
     """Calls resolved without every fiftieth part, then brought up to all parts; SQL resolves all at once."""
-    d = Tables(spark, sf_dir)
-    old = [stage(x, "old") for x in _state(d, d.part.where("p_partkey % 50 <> 0"))]
-    new = [stage(x, "new") for x in _state(d, d.part)]
-    before = stage(r.call_targets(*old), "resolved")
-    changed = r._differences(old[0], new[0]).select("file").union(r._differences(old[1], new[1]).select("file")).distinct()
-    return r.re_resolve_calls(before, new[0], old[1], new[1], old[2], new[2], changed)
+    lines = _lines(Tables(spark, sf_dir))
+    missing = F.col("p_partkey") % 50 == 0
+    old, new = _state(lines.where(~missing)), _state(lines)
+    # files that lines of the missing parts say something of
+    calls, symbols, _ = _state(lines.where(missing))
+    changed = calls.select("file").unionByName(symbols.select("file")).distinct()
+    return r.re_resolve_calls(r.call_targets(*old), new[0], old[1], new[1], old[2], new[2], changed)
 
 
 _PROVIDED = """p AS (SELECT DISTINCT p_brand || p_size AS key, 'part:' || p_type AS dst FROM part), n AS (SELECT key, count(*) AS n FROM p GROUP BY key HAVING count(*) <= 8),

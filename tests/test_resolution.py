@@ -86,3 +86,39 @@ def test_targets_are_found_once_a_place_and_packed_for_each_call(spark, monkeypa
     assert packed == {("o%d" % k, "a", "f"): (["s::1", "s::2", "t::1"], 0.8) for k in range(50)} | {
         ("o1", "a", "g"): (["a::9"], 0.95), ("o1", "b", "g"): (["callee:g"], 0.2), ("o2", "b", "h"): (["z::1"], 0.3), ("o3", "b", "i"): (["callee:i"], 0.2)
     }
+
+
+def planned(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def test_targets_stay_with_their_file(spark):
+    rng = random.Random(7)
+    files = [f"f{k}" for k in range(8)]
+    state = some_state(rng, files)
+    frame = frames(spark, *state)
+    resolved = r.resolve_calls(*frame)
+    # no target is dealt out by its caller, nor what is kept by anything but its file
+    assert "hashpartitioning(src" not in planned(resolved)
+    assert {tuple(x) for x in resolved.collect()} == {(src, dst, c) for src, _, _, dst, c in plain(*state)}
+    again = r.re_resolve_calls(r.call_targets(*frame), *frame[:1], *frame[1:2] * 2, *frame[2:] * 2, spark.createDataFrame([("f1",)], "file string"))
+    assert "hashpartitioning(src" not in planned(again)
+    assert {tuple(x) for x in again.collect()} == plain(*state)
+
+
+def test_callers_in_several_files_odd_names_and_nulls(spark):
+    calls = [("x", "a", "f"), ("x", "b", "f"), ("y", "a", "f"), ("x", "b", "g"), (None, "a", "f"), (None, "b", "f"), ("z", None, "one"), ("z", "c", None), ("z", "d", "one")]
+    symbols = [("f", "a", "s\n1"), ("f", "s", "s\\n1"), ("f", "s", "s\\b\n"), ("f", "t", ""), ("g", "b", "s\n1"), ("one", "z", "z::\\")]
+    c = spark.createDataFrame(calls * 2, "src string, file string, name string")
+    s = spark.createDataFrame(symbols, "name string, file string, symbol string")
+    i = spark.createDataFrame([("b", "s"), ("b", "t"), ("b", "b"), ("a", "t"), (None, "a")], "file string, imported string")
+    got = sorted(map(str, r.resolve_calls(c, s, i).collect()))
+    near = ["s\\n1", "s\\b\n", ""]
+    want = {(src, "s\n1", 0.95) for src in ("x", "y", None)} | {(src, x, 0.8) for src in ("x", None) for x in near} | {("z", "z::\\", 0.3), ("z", None, 0.2)}
+    assert got == sorted(str(x) for x in spark.createDataFrame(sorted(want, key=str), "src string, dst string, confidence double").collect())
+    # brought up from nothing, rows without a file among them
+    none = (c.limit(0), s.limit(0), i.limit(0))
+    changed = c.select("file").unionByName(s.select("file"))
+    again = r.re_resolve_calls(r.call_targets(c.where("file IS NULL"), s.limit(0), i.limit(0)), c, none[1], s, none[2], i, changed)
+    assert sorted(map(str, again.collect())) == sorted(map(str, r.call_targets(c, s, i).collect()))
