@@ -206,3 +206,19 @@ def test_what_hubs_import_is_dealt_as_arrays(spark):
     # pairs are made behind the last shuffle, by importer, and not before it
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("explode(dsts") < plan.index("RepartitionByExpression [src")
+
+
+def test_near_copies_read_each_text_once(spark, monkeypatch):
+    plans = {}
+    real = search.stage
+
+    def staged(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return real(df, name)
+
+    monkeypatch.setattr(search, "stage", staged)
+    docs = spark.createDataFrame([(1, "a b c d", "x"), (2, "A b, c d", "x"), (3, "b a", None), (4, "B a", None), (5, "a b", None), (6, "b", None), (7, "", "x"), (None, "q r s", "x")], "doc_id long, text string, subject string")
+    assert sorted(map(tuple, search.near_copies(docs).collect())) == [(1, 2, 1.0), (3, 4, 1.0)]
+    assert plans["shingles"].count("regexp_extract_all") == 1
+    found = search.near_copies(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count("array_intersect") == 1
