@@ -65,23 +65,24 @@ def extract(questions: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.array().cast("array<string>")
     hints = {c: F.coalesce(F.col(c), none) if c in questions.columns else none for c in ("paths", "symbols")}
-    ticked = F.filter(F.transform(_all(text, r"`([^`\n]{1,200})`", 1), lambda x: F.trim(x)), lambda x: x != "")
     file_like = lambda x: x.contains("/") | x.rlike(FILE_ENDING)
-    runs = _bare(text)
+    # what is taken out of a text once, before its mentions become rows
+    dots = F.filter(t.dotted(text), lambda x: x.contains(".") & ~x.rlike(FILE_ENDING))
+    ticks = F.filter(F.transform(_all(text, r"`([^`\n]{1,200})`", 1), lambda x: F.trim(x)), lambda x: x != "")
+    parts = {"introduced": F.concat(_all(text, CALLED, 1), _all(text, INTRODUCED, 1)), "ticked": ticks, "runs": _bare(text), "words": _all(text, r"\w+"), "dotted": dots, "paths": hints["paths"], "symbols": hints["symbols"]}
+    once = questions.select("q", *(c.alias(name) for name, c in parts.items()))
+    ticked, runs, words, dotted = (F.col(c) for c in ("ticked", "runs", "words", "dotted"))
     folder = lambda x: x.rlike(r"^[\w.-]+/") & ~x.contains("//") & x.rlike(r"[^/]\.[A-Za-z0-9]{1,8}$")
     paths = F.filter(runs, lambda x: folder(x) | (x.rlike(r"^[\w-]+\.[a-z]+$") & x.rlike(FILE_ENDING)))
     bare = F.create_map(*(F.lit(x) for kv in BARE_FILES.items() for x in kv))
     known = F.filter(F.transform(runs, lambda x: F.element_at(bare, F.regexp_replace(x, r"\.md$", ""))), lambda x: x.isNotNull())
-    words = _all(text, r"\w+")
-    dotted = F.filter(t.dotted(text), lambda x: x.contains(".") & ~x.rlike(FILE_ENDING))
-    parts = F.filter(F.flatten(F.transform(dotted, lambda x: F.split(x, "\\."))), lambda x: F.length(x) > 2)
+    pieces = F.filter(F.flatten(F.transform(dotted, lambda x: F.split(x, "\\."))), lambda x: F.length(x) > 2)
     found = F.concat(
-        _named(hints["paths"], "path", True, 0), _named(hints["symbols"], "identifier", True, 1), _named(F.filter(ticked, file_like), "path", True, 2),
+        _named(F.col("paths"), "path", True, 0), _named(F.col("symbols"), "identifier", True, 1), _named(F.filter(ticked, file_like), "path", True, 2),
         _named(F.transform(F.filter(ticked, lambda x: ~file_like(x)), lambda x: F.substring_index(x, "(", 1)), "identifier", True, 3), _named(paths, "path", False, 4), _named(known, "path", False, 5),
-        _named(F.filter(runs, lambda x: x.rlike(DOT_FILE)), "path", False, 6), _named(F.filter(words, is_camel), "identifier", False, 7), _named(F.filter(words, is_snake), "identifier", False, 8), _named(parts, "identifier", False, 9),
+        _named(F.filter(runs, lambda x: x.rlike(DOT_FILE)), "path", False, 6), _named(F.filter(words, is_camel), "identifier", False, 7), _named(F.filter(words, is_snake), "identifier", False, 8), _named(pieces, "identifier", False, 9),
     )
-    introduced = F.concat(_all(text, CALLED, 1), _all(text, INTRODUCED, 1))
-    rows = questions.select("q", introduced.alias("introduced"), F.explode(found).alias("x")).select("q", "introduced", "x.*")
+    rows = once.select("q", "introduced", F.explode(found).alias("x")).select("q", "introduced", "x.*")
     own = F.trim("entity")
     trimmed = F.when(F.col("kind") == "path", F.rtrim(F.ltrim(own, F.lit("([{\"'")), F.lit(".,;:)]}\"'"))).otherwise(F.trim(own, F.lit(".,;:()[]{}\"'")))
     clean = rows.withColumn("entity", trimmed).where((F.col("entity") != "") & (F.length("entity") <= 200) & ~F.col("entity").isin(NO_NAMES))
@@ -131,8 +132,10 @@ def mentioning_files(entities: DataFrame, matched: DataFrame, names: DataFrame)
     last = F.element_at(F.split("entity", "\\."), -1)
     tried = F.array_compact(F.array(F.when(F.col("explicit") | identifier_like(F.col("entity")), F.col("entity")), F.when((last != F.col("entity")) & (F.length(last) >= 3) & (F.col("explicit") | identifier_like(last)), last)))
     asked = open_.select("q", "entity", "explicit", F.posexplode(tried).alias("turn", "name"))
+    # those that are asked for are found once and written, as making names of texts takes long
+    names = stage(names.join(asked.select("name").distinct(), "name", "left_semi"), "named")
     # counted first, so that a word of everyday is never paired with all its files
-    spread = names.join(asked.select("name").distinct(), "name", "left_semi").groupBy("name").agg(F.countDistinct("path").alias("n_files"))
+    spread = names.groupBy("name").agg(F.countDistinct("path").alias("n_files"))
     good = asked.join(spread, "name").where(F.col("explicit") | (F.col("n_files") <= COMMON_FILES))
     first = good.groupBy("q", "entity").agg(F.min(F.struct("turn", "name")).alias("best")).select("q", "entity", F.col("best.name").alias("name"))
     low = F.lower("path")

@@ -139,8 +139,11 @@ def exact_hits(spark, sf_dir):
     """A question for each part that names its file, a method in backticks, a dotted name, a view and a table that only texts mention."""
     d = Tables(spark, sf_dir)
     files = stage(source_files(d), "files")
-    found = symbols.source_facts(files, "symbol").where("fact = 'symbol'").select("path", "name", "qualified", "kind", F.lit(True).alias("exported"))
+    # read for names, qualified names and what is left of these
+    found = stage(symbols.source_facts(files, "symbol").where("fact = 'symbol'").select("path", "name", "qualified", "kind", F.lit(True).alias("exported")), "symbols")
     names = files.select("path", "language", F.explode(t.names(F.col("text"))).alias("name"), F.lit(1).alias("chunks"))
     k, s = F.col("p_partkey"), F.col("p_partkey") % 10
     text = F.format_string("why does `name%d(x)` of Part%d.java need Supplier%d.offer%d, orders_%d and customer_%d?", k, k, s, s, k, k)
-    return entities.exact_retriever(d.part.select(k.alias("q"), text.alias("text")), files, found, names)
+    # as with the files, a question is made of a few bytes and takes long to read
+    questions = spread(d.part.select("p_partkey"), "p_partkey").select(k.alias("q"), text.alias("text"))
+    return entities.exact_retriever(questions, files, found, names)

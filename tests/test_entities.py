@@ -63,3 +63,24 @@ def test_matches(spark):
         5: ["file:db/migrations/1.sql", "file:docs/x.md", "file:z.yaml"],
         7: ["file:f12.py", "file:f11.py", "file:f10.py"],
     }
+
+
+def test_exact_hits_read_files_and_texts_once(spark, monkeypatch):
+    from sparkloom.plans import source_queries as s
+
+    plans = {}
+    real = e.stage
+
+    def staged(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return real(df, name)
+
+    monkeypatch.setattr(e, "stage", staged)
+    monkeypatch.setattr(s, "stage", staged)
+    found = s.exact_hits(spark, "/root/testdata/sf0.001")
+    # files are scanned for symbols in one pass, and for names in one; questions are spread before they are read
+    assert plans["symbols"].count("MapInArrow") == 1 and "MapInArrow" not in plans["meant"]
+    assert plans["named"].count("regexp_extract_all") == 1 and "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plans["entities"] and plans["entities"].count("called|named") == 1
+    # a question's parts are taken out below where its mentions become rows
+    assert plans["entities"].index("Generate explode") < plans["entities"].index("called|named")
